@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from .functions.binning import REFERENCE_LABELS
 from .operators import cleaning as cl
+from .operators import distribution as dist
 from .operators import monthly, preview, profiling
+from .operators import split as sp
 from .sources import CLEAN_COLUMNS, SURVEY_KEY, read_table, survey
 
 PLACES = 6
@@ -45,6 +48,19 @@ def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
         for f in df.schema.fields])
 
 
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey with the cleaning rules applied, all columns kept."""
+    return cl.apply_rules(survey(spark, sf_dir), CLEANING_RULES)
+
+
+def portable_hash() -> Column:
+    """Row hash spelled with integer arithmetic so SQL engines agree on it."""
+    return F.col("l_orderkey") * 7919 + F.col("activity_n") * 104729 + F.col("l_partkey")
+
+
+ORDER_RANGE = 1_000_003
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned survey: rules applied, key plus model columns kept."""
     cols = SURVEY_KEY + [c for c in CLEAN_COLUMNS if c not in SURVEY_KEY]
@@ -126,6 +142,82 @@ def q_cleaning_funnel(spark, sf_dir):
     return cl.cleaning_funnel(survey(spark, sf_dir), CLEANING_RULES)
 
 
+# -- distributions -------------------------------------------------------------
+
+def q_equal_width_bins(spark, sf_dir):
+    return rounded(dist.bin_counts(edited(spark, sf_dir), "prim_min", 5, REFERENCE_LABELS))
+
+
+def q_histogram(spark, sf_dir):
+    return rounded(dist.histogram(edited(spark, sf_dir), "prim_min", 10))
+
+
+def q_box_stats_by_code(spark, sf_dir):
+    ev = events_table(spark, sf_dir, ["event_type", "value"])
+    return rounded(dist.box_stats(ev, "value", "event_type"))
+
+
+def q_box_stats_bmi_by_exercise(spark, sf_dir):
+    src = edited(spark, sf_dir).where(F.col("exercise").isin(1, 2))
+    return rounded(dist.box_stats(src, "bmi", "exercise"))
+
+
+def q_box_stats_by_bin(spark, sf_dir):
+    binned = dist.with_bins(edited(spark, sf_dir), "prim_min", 5, REFERENCE_LABELS)
+    return rounded(dist.box_stats(binned, "bmi", ["bin", "bin_label"]))
+
+
+def q_box_stats_by_earn_bin(spark, sf_dir):
+    src = cl.drop_sentinel(edited(spark, sf_dir), "earn", -1, keep_null=True)
+    binned = dist.with_bins(src, "earn", 5, REFERENCE_LABELS)
+    return rounded(dist.box_stats(binned, "bmi", ["bin", "bin_label"]))
+
+
+def q_joint_histogram(spark, sf_dir):
+    return dist.joint_histogram(edited(spark, sf_dir), "prim_min", "bmi", 10, 10)
+
+
+def q_correlation_pairs(spark, sf_dir):
+    return rounded(dist.correlation_pairs(cleaned(spark, sf_dir), CLEAN_COLUMNS))
+
+
+def q_top_values(spark, sf_dir):
+    return rounded(dist.top_values(edited(spark, sf_dir), "sec_min", 25))
+
+
+def q_rows_in_top_values(spark, sf_dir):
+    return rounded(dist.rows_with_top_values(edited(spark, sf_dir), "sec_min", 25))
+
+
+# -- splits ------------------------------------------------------------------------
+
+def _split_summary(df: DataFrame, by: str) -> DataFrame:
+    return (df.groupBy(by).agg(F.count(F.lit(1)).alias("n"),
+                               F.sum("l_orderkey").alias("sum_orderkey"),
+                               F.avg("bmi").alias("mean_bmi")))
+
+
+def q_split_counts(spark, sf_dir):
+    return rounded(_split_summary(sp.with_split(cleaned(spark, sf_dir), portable_hash(), 70),
+                                  "split"))
+
+
+def q_kfold_counts(spark, sf_dir):
+    return rounded(_split_summary(sp.with_folds(cleaned(spark, sf_dir), portable_hash(), 3),
+                                  "fold"))
+
+
+def exact_split_frame(spark, sf_dir, test_fraction=0.3):
+    src = cl.drop_sentinel(edited(spark, sf_dir), "earn", -1, keep_null=True)
+    src = src.withColumn("_order", F.pmod(portable_hash(), F.lit(ORDER_RANGE)))
+    return sp.with_exact_split(src, test_fraction, "_order", SURVEY_KEY, ORDER_RANGE,
+                               buckets=4096).drop("_order")
+
+
+def q_exact_split_counts(spark, sf_dir):
+    return rounded(_split_summary(exact_split_frame(spark, sf_dir), "split"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "case_calendar": q_case_calendar,
     "monthly_mean_by_year": q_monthly_mean_by_year,
@@ -141,6 +233,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_sentinel_nullsafe": q_drop_sentinel_nullsafe,
     "clean_survey": q_clean_survey,
     "cleaning_funnel": q_cleaning_funnel,
+    "equal_width_bins": q_equal_width_bins,
+    "histogram": q_histogram,
+    "box_stats_by_code": q_box_stats_by_code,
+    "box_stats_bmi_by_exercise": q_box_stats_bmi_by_exercise,
+    "box_stats_by_bin": q_box_stats_by_bin,
+    "box_stats_by_earn_bin": q_box_stats_by_earn_bin,
+    "joint_histogram": q_joint_histogram,
+    "correlation_pairs": q_correlation_pairs,
+    "top_values": q_top_values,
+    "rows_in_top_values": q_rows_in_top_values,
+    "split_counts": q_split_counts,
+    "kfold_counts": q_kfold_counts,
+    "exact_split_counts": q_exact_split_counts,
 }
 
 

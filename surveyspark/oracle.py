@@ -8,7 +8,7 @@ bigint so both sides hash alike.
 
 from __future__ import annotations
 
-from .sources.survey import with_survey
+from .sources.survey import CLEAN_COLUMNS, with_survey
 
 # Declared schema of ``survey`` (FIXTURES.md B), in column order.
 SURVEY_TYPES = [
@@ -93,6 +93,66 @@ def _funnel_sql() -> str:
     return with_survey("\nunion all\n".join(parts))
 
 
+EDITED = f"edited as (select * from survey where {CLEAN_WHERE})"
+HASH = "(l_orderkey*7919 + activity_n*104729 + l_partkey)"
+REFERENCE_LABELS_SQL = "['Very High', 'High', 'Med', 'Low', 'Very Low']"
+
+
+def _edited(sql: str) -> str:
+    return with_survey(f", {EDITED}\n{sql}")
+
+
+def _bin(x: str, lo: str, hi: str, n: int) -> str:
+    return (f"case when {x} is null then null when {hi} = {lo} then {n // 2 + 1} "
+            f"else least(cast(floor(({x} - {lo}) * {n} / ({hi} - {lo})) as integer) + 1, {n}) end")
+
+
+def _box(src: str, groups: list[str], value: str) -> str:
+    g = ", ".join(groups)
+    notnull = " and ".join(f"{c} is not null" for c in groups + [value])
+    lo = "q.q1 - 15E-1 * (q.q3 - q.q1)"
+    hi = "q.q3 + 15E-1 * (q.q3 - q.q1)"
+    return f""", d as (select {g}, {value} as v from {src} where {notnull}),
+q as (select {g}, count(*) as n, avg(v) as mean, quantile_cont(v, 0.25) as q1,
+        quantile_cont(v, 0.5) as median, quantile_cont(v, 0.75) as q3,
+        min(v) as mn, max(v) as mx
+      from d group by {g}),
+w as (select q.*, min(case when d.v >= {lo} then d.v end) as wlo,
+        max(case when d.v <= {hi} then d.v end) as whi,
+        count_if(d.v < {lo} or d.v > {hi}) as nout
+      from d join q using ({g})
+      group by all)
+select {g}, n, round(mean, 6) as mean, round(q1, 6) as q1, round(median, 6) as median,
+  round(q3, 6) as q3, round(q3 - q1, 6) as iqr,
+  round(case when wlo is null or wlo > q1 then q1 else wlo end, 6) as whislo,
+  round(case when whi is null or whi < q3 then q3 else whi end, 6) as whishi,
+  cast(nout as bigint) as n_outliers, round(mn, 6) as min, round(mx, 6) as max
+from w"""
+
+
+def _binned_box(value_col: str, extra_where: str) -> str:
+    b = _bin(value_col, "lo", "hi", 5)
+    return _edited(f""", s as (select * from edited where {extra_where}),
+r as (select min(cast({value_col} as double)) as lo, max(cast({value_col} as double)) as hi
+      from s where {value_col} is not null),
+bs as (select s.*, {b} as bin from s, r),
+bl as (select *, {REFERENCE_LABELS_SQL}[bin] as bin_label from bs)"""
+                   + _box("bl", ["bin", "bin_label"], "bmi"))
+
+
+def _corr_sql() -> str:
+    cols = list(CLEAN_COLUMNS)
+    parts = [f"select '{a}' as col_x, '{b}' as col_y, "
+             f"round(corr(cast({a} as double), cast({b} as double)), 6) as corr from edited"
+             for i, a in enumerate(cols) for b in cols[i + 1:]]
+    return _edited("\nunion all\n".join(parts))
+
+
+def _split_summary(by: str) -> str:
+    return (f"{by}, count(*) as n, cast(sum(l_orderkey) as bigint) as sum_orderkey, "
+            "round(avg(bmi), 6) as mean_bmi")
+
+
 ORACLE: dict[str, str] = {
     "case_calendar": _cal(
         "select year, month, count(*) as rows from calendar group by year, month"),
@@ -128,4 +188,55 @@ ORACLE: dict[str, str] = {
         "age, income, exfreq, loc, sex "
         f"from survey where {CLEAN_WHERE}"),
     "cleaning_funnel": _funnel_sql(),
+    "equal_width_bins": _edited(f"""
+, r as (select min(cast(prim_min as double)) as lo, max(cast(prim_min as double)) as hi
+        from edited where prim_min is not null),
+b as (select {_bin('prim_min', 'lo', 'hi', 5)} as bin, lo, hi
+      from edited, r where prim_min is not null)
+select bin, {REFERENCE_LABELS_SQL}[bin] as bin_label,
+  round(lo + (hi - lo) * (bin - 1) / 5, 6) as bin_lo, round(lo + (hi - lo) * bin / 5, 6) as bin_hi,
+  count(*) as n
+from b group by bin, lo, hi"""),
+    "histogram": _edited(f"""
+, r as (select min(cast(prim_min as double)) as lo, max(cast(prim_min as double)) as hi
+        from edited where prim_min is not null),
+c as (select {_bin('prim_min', 'lo', 'hi', 10)} as bin, count(*) as n
+      from edited, r where prim_min is not null group by 1),
+g as (select cast(range as integer) as bin from range(1, 11))
+select g.bin, round(lo + (hi - lo) * (g.bin - 1) / 10, 6) as bin_lo,
+  round(lo + (hi - lo) * g.bin / 10, 6) as bin_hi, coalesce(c.n, 0) as n
+from g cross join r left join c on g.bin = c.bin"""),
+    "box_stats_by_code": "with e as (select * from events)" + _box("e", ["event_type"], "value"),
+    "box_stats_bmi_by_exercise": _edited(
+        ", ex as (select * from edited where exercise in (1, 2))"
+        + _box("ex", ["exercise"], "bmi")),
+    "box_stats_by_bin": _binned_box("prim_min", "true"),
+    "box_stats_by_earn_bin": _binned_box("earn", "(earn is null or earn <> -1)"),
+    "joint_histogram": _edited(f"""
+, e as (select * from edited where prim_min is not null and bmi is not null),
+r as (select min(cast(prim_min as double)) as xlo, max(cast(prim_min as double)) as xhi,
+             min(bmi) as ylo, max(bmi) as yhi from e)
+select {_bin('cast(prim_min as double)', 'xlo', 'xhi', 10)} as bin_x,
+       {_bin('bmi', 'ylo', 'yhi', 10)} as bin_y, count(*) as n
+from e, r group by 1, 2"""),
+    "correlation_pairs": _corr_sql(),
+    "top_values": _edited(
+        "select round(sec_min, 6) as sec_min, count(*) as n from edited group by sec_min "
+        "order by n desc, sec_min asc nulls first limit 25"),
+    "rows_in_top_values": _edited(
+        ", top as (select sec_min from edited group by sec_min "
+        "order by count(*) desc, sec_min asc nulls first limit 25)\n"
+        f"select {ROUNDED_SURVEY_COLS} from edited where sec_min in (select sec_min from top)"),
+    "split_counts": _edited(
+        f"select {_split_summary(f'case when {HASH} % 100 < 70 then ' + chr(39) + 'train' + chr(39) + ' else ' + chr(39) + 'test' + chr(39) + ' end as split')} "
+        "from edited group by 1"),
+    "kfold_counts": _edited(
+        f"select {_split_summary(f'cast({HASH} % 3 as integer) as fold')} from edited group by 1"),
+    "exact_split_counts": _edited(f"""
+, e as (select * from edited where earn is null or earn <> -1),
+r as (select *, row_number() over (order by {HASH} % 1000003, l_orderkey, activity_n,
+                                            l_partkey, l_suppkey) as rn,
+             count(*) over () as total from e)
+select {_split_summary("case when rn <= ceil(3E-1 * total) then 'test' else 'train' end as split")}
+from r group by 1"""),
 }
