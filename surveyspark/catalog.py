@@ -14,12 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from pyspark.ml import Pipeline
+from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import ParamGridBuilder
+
 from .functions.binning import REFERENCE_LABELS
 from .operators import cleaning as cl
+from .operators import compare, metrics, models, tuning
 from .operators import distribution as dist
 from .operators import monthly, preview, profiling
 from .operators import split as sp
-from .sources import CLEAN_COLUMNS, SURVEY_KEY, read_table, survey
+from .sources import CLEAN_COLUMNS, LABEL, MODEL_FEATURES, SURVEY_KEY, read_table, survey
 
 PLACES = 6
 
@@ -218,6 +223,239 @@ def q_exact_split_counts(spark, sf_dir):
     return rounded(_split_summary(exact_split_frame(spark, sf_dir), "split"))
 
 
+# -- models ------------------------------------------------------------------------
+
+ONE = ["prim_min"]
+TWO = ["prim_min", "age"]
+
+# Fixed tuning grids of the analysis.
+ELASTIC_NET_MIX = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
+REG_PARAMS = [i * 0.01 for i in range(10)]          # 0, 0.01, ..., 0.09
+FOREST_TREES = [2, 4, 5, 8]
+FOREST_DEPTHS = [2, 3, 4, 5, 6]
+SEED = 42
+
+_memo: dict[tuple, object] = {}
+
+
+def _memoized(spark: SparkSession, sf_dir: str, name: str, build):
+    """Per-session cache of fitted results shared by several registered
+    queries (a CV run feeds its fit log, ranking, top-k and comparisons)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _memo:
+        _memo[key] = build()
+    return _memo[key]
+
+
+def train_test(spark, sf_dir):
+    return sp.hash_split(cleaned(spark, sf_dir), portable_hash(), 70)
+
+
+def exact_train_test(spark, sf_dir):
+    df = exact_split_frame(spark, sf_dir)
+    return df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
+
+
+def _test_rmse(model, test) -> DataFrame:
+    return metrics.rmse(model.transform(test), LABEL)
+
+
+def q_intercept_model_rmse(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    model = models.intercept_only(LABEL).fit(train)
+    return rounded(_test_rmse(model, test).select(F.lit("intercept").alias("model"), "rmse"))
+
+
+def q_ols_one_feature(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    return rounded(models.coefficients(spark, models.ols(LABEL, ONE).fit(train), ONE, "ols"))
+
+
+def q_ols_two_features(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    return rounded(models.coefficients(spark, models.ols(LABEL, TWO).fit(train), TWO, "ols2"))
+
+
+def q_ols_scaled(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    fitted = models.scaled_linear(LABEL, TWO, max_iter=5).fit(train)
+    return rounded(models.coefficients(spark, fitted, TWO, "ols2_scaled"))
+
+
+def q_scaled_features(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    return rounded(models.scaled_columns(train, TWO, keep=SURVEY_KEY))
+
+
+def q_coefficient_table(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    raw = models.coefficients(spark, models.ols(LABEL, TWO).fit(train), TWO, "not_scaled")
+    scl = models.coefficients(spark, models.scaled_linear(LABEL, TWO).fit(train), TWO, "scaled")
+    return rounded(compare.coefficient_table(raw.unionByName(scl), ["not_scaled", "scaled"]))
+
+
+def q_ols_r2(spark, sf_dir):
+    train, test = exact_train_test(spark, sf_dir)
+    model = models.ols(LABEL, ONE).fit(train)
+    return rounded(metrics.r2(model.transform(test), LABEL)
+                   .select(F.lit("ols").alias("model"), "r2"))
+
+
+def q_ols_residuals(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    model = models.ols(LABEL, ONE).fit(train)
+    return rounded(model.transform(test).select(
+        *SURVEY_KEY, "prediction", (F.col(LABEL) - F.col("prediction")).alias("residual")))
+
+
+def ols_cv(spark, sf_dir) -> tuning.CVResult:
+    """3-fold CV of one-feature least squares over ``fitIntercept``."""
+    def build():
+        train, _ = train_test(spark, sf_dir)
+        folded = sp.with_folds(train, portable_hash(), 3)
+        lr = LinearRegression(labelCol=LABEL, featuresCol=models.FEATURES, regParam=0.0)
+        grid = ParamGridBuilder().addGrid(lr.fitIntercept, [True, False]).build()
+        return tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3,
+                                     feature_stages=Pipeline(stages=[models.assembler(ONE)]))
+    return _memoized(spark, sf_dir, "ols_cv", build)
+
+
+def q_cv_fold_metrics_ols(spark, sf_dir):
+    return rounded(ols_cv(spark, sf_dir).fit_log)
+
+
+def q_cv_running_average(spark, sf_dir):
+    return rounded(tuning.running_average(ols_cv(spark, sf_dir).fit_log))
+
+
+def q_cv_ranking(spark, sf_dir):
+    return rounded(tuning.ranking(ols_cv(spark, sf_dir).fit_log))
+
+
+def q_topk_configs(spark, sf_dir):
+    return rounded(tuning.top_k(tuning.ranking(ols_cv(spark, sf_dir).fit_log), 3))
+
+
+def q_model_comparison(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    cv = ols_cv(spark, sf_dir)
+    ranked = tuning.ranking(cv.fit_log)
+    best_cv = ranked.where(F.col("rank") == 1).select("avg_metric")
+    rows = [
+        compare.metric_row(_test_rmse(models.intercept_only(LABEL).fit(train), test),
+                           "intercept", "test", "rmse"),
+        compare.metric_row(_test_rmse(models.ols(LABEL, ONE).fit(train), test),
+                           "ols", "test", "rmse"),
+        compare.metric_row(best_cv, "cv_best", "validation_mean", "avg_metric"),
+        compare.metric_row(_test_rmse(cv.best_model, test), "cv_best", "test", "rmse"),
+    ]
+    return rounded(compare.model_comparison(rows))
+
+
+def q_generalisation_ratio(spark, sf_dir):
+    _, test = train_test(spark, sf_dir)
+    cv = ols_cv(spark, sf_dir)
+    return rounded(compare.generalisation_ratio(_test_rmse(cv.best_model, test),
+                                                tuning.ranking(cv.fit_log)))
+
+
+# -- elastic net and forest (rows-only checks; see tests for invariants) -----------
+
+def elastic_net_cv(spark, sf_dir) -> tuning.CVResult:
+    def build():
+        train, _ = train_test(spark, sf_dir)
+        folded = sp.with_folds(train, portable_hash(), 3)
+        lr = models.linear_stage(LABEL, models.SCALED, max_iter=5)
+        grid = (ParamGridBuilder().addGrid(lr.elasticNetParam, ELASTIC_NET_MIX)
+                .addGrid(lr.regParam, REG_PARAMS).build())
+        return tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3,
+                                     feature_stages=models.feature_stages(MODEL_FEATURES),
+                                     canonical=tuning.linear_canonical, parallelism=8)
+    return _memoized(spark, sf_dir, "elastic_net_cv", build)
+
+
+def forest_cv(spark, sf_dir) -> tuning.CVResult:
+    def build():
+        train, _ = train_test(spark, sf_dir)
+        folded = sp.with_folds(train, portable_hash(), 4)
+        rf = models.forest_stage(LABEL, models.SCALED, seed=SEED)
+        grid = (ParamGridBuilder().addGrid(rf.numTrees, FOREST_TREES)
+                .addGrid(rf.maxDepth, FOREST_DEPTHS).build())
+        return tuning.cross_validate(folded, rf, grid, LABEL, "fold", 4,
+                                     feature_stages=models.feature_stages(MODEL_FEATURES),
+                                     parallelism=8)
+    return _memoized(spark, sf_dir, "forest_cv", build)
+
+
+def default_forest(spark, sf_dir):
+    def build():
+        train, _ = train_test(spark, sf_dir)
+        return models.forest(LABEL, MODEL_FEATURES, seed=SEED).fit(train)
+    return _memoized(spark, sf_dir, "forest", build)
+
+
+def scaled_all_features(spark, sf_dir):
+    def build():
+        train, _ = train_test(spark, sf_dir)
+        return models.scaled_linear(LABEL, MODEL_FEATURES, max_iter=5).fit(train)
+    return _memoized(spark, sf_dir, "scaled_linear", build)
+
+
+def q_elastic_net_cv(spark, sf_dir):
+    return rounded(tuning.ranking(elastic_net_cv(spark, sf_dir).fit_log))
+
+
+def q_elastic_net_comparison(spark, sf_dir):
+    """Top three grid points (validation mean) beside the baselines' test RMSE."""
+    train, test = train_test(spark, sf_dir)
+    cv = elastic_net_cv(spark, sf_dir)
+    top = tuning.top_k(tuning.ranking(cv.fit_log), 3).select(
+        F.col("params").alias("model"), F.lit("validation_mean").alias("metric_split"),
+        F.lit("rmse").alias("metric"), F.col("avg_metric").alias("value"))
+    rows = [
+        top,
+        compare.metric_row(_test_rmse(models.intercept_only(LABEL).fit(train), test),
+                           "intercept", "test", "rmse"),
+        compare.metric_row(_test_rmse(models.ols(LABEL, MODEL_FEATURES).fit(train), test),
+                           "unscaled", "test", "rmse"),
+        compare.metric_row(_test_rmse(cv.best_model, test), "tuned", "test", "rmse"),
+    ]
+    return rounded(compare.model_comparison(rows))
+
+
+def q_forest_rmse(spark, sf_dir):
+    _, test = train_test(spark, sf_dir)
+    return rounded(_test_rmse(default_forest(spark, sf_dir), test)
+                   .select(F.lit("forest").alias("model"), "rmse"))
+
+
+def q_forest_importances(spark, sf_dir):
+    return rounded(models.importances(spark, default_forest(spark, sf_dir), MODEL_FEATURES,
+                                      "forest"))
+
+
+def q_forest_cv(spark, sf_dir):
+    return rounded(tuning.ranking(forest_cv(spark, sf_dir).fit_log))
+
+
+def q_forest_topk(spark, sf_dir):
+    return rounded(tuning.top_k(tuning.ranking(forest_cv(spark, sf_dir).fit_log), 5))
+
+
+def q_forest_generalisation_ratio(spark, sf_dir):
+    _, test = train_test(spark, sf_dir)
+    cv = forest_cv(spark, sf_dir)
+    return rounded(compare.generalisation_ratio(_test_rmse(cv.best_model, test),
+                                                tuning.ranking(cv.fit_log)))
+
+
+def q_importance_vs_coefficient(spark, sf_dir):
+    coefs = models.coefficients(spark, scaled_all_features(spark, sf_dir), MODEL_FEATURES,
+                                "scaled")
+    imps = models.importances(spark, default_forest(spark, sf_dir), MODEL_FEATURES, "forest")
+    return rounded(compare.importance_vs_coefficient(coefs, imps))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "case_calendar": q_case_calendar,
     "monthly_mean_by_year": q_monthly_mean_by_year,
@@ -246,6 +484,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_counts": q_split_counts,
     "kfold_counts": q_kfold_counts,
     "exact_split_counts": q_exact_split_counts,
+    "intercept_model_rmse": q_intercept_model_rmse,
+    "ols_one_feature": q_ols_one_feature,
+    "ols_two_features": q_ols_two_features,
+    "ols_scaled": q_ols_scaled,
+    "scaled_features": q_scaled_features,
+    "coefficient_table": q_coefficient_table,
+    "ols_r2": q_ols_r2,
+    "ols_residuals": q_ols_residuals,
+    "cv_fold_metrics_ols": q_cv_fold_metrics_ols,
+    "cv_running_average": q_cv_running_average,
+    "cv_ranking": q_cv_ranking,
+    "topk_configs": q_topk_configs,
+    "model_comparison": q_model_comparison,
+    "generalisation_ratio": q_generalisation_ratio,
+    "elastic_net_cv": q_elastic_net_cv,
+    "elastic_net_comparison": q_elastic_net_comparison,
+    "forest_rmse": q_forest_rmse,
+    "forest_importances": q_forest_importances,
+    "forest_cv": q_forest_cv,
+    "forest_topk": q_forest_topk,
+    "forest_generalisation_ratio": q_forest_generalisation_ratio,
+    "importance_vs_coefficient": q_importance_vs_coefficient,
 }
 
 

@@ -153,6 +153,45 @@ def _split_summary(by: str) -> str:
             "round(avg(bmi), 6) as mean_bmi")
 
 
+SPLIT = f""", tr as (select * from edited where {HASH} % 100 < 70),
+te as (select * from edited where {HASH} % 100 >= 70)"""
+
+# Two-feature least squares (prim_min, age) by the normal equations.
+OLS2 = """, st as (select covar_pop(prim_min, prim_min) as v11, covar_pop(age, age) as v22,
+        covar_pop(prim_min, age) as v12, covar_pop(prim_min, bmi) as c1y,
+        covar_pop(age, bmi) as c2y, avg(prim_min) as m1, avg(age) as m2, avg(bmi) as my,
+        stddev_samp(prim_min) as sd1, stddev_samp(age) as sd2 from tr),
+b as (select (v22 * c1y - v12 * c2y) / (v11 * v22 - v12 * v12) as b1,
+        (v11 * c2y - v12 * c1y) / (v11 * v22 - v12 * v12) as b2, * from st),
+coef as (select my - b1 * m1 - b2 * m2 as b0, * from b)"""
+
+# One-feature CV over fitIntercept, folds = hash % 3 on the training split.
+CV = f""", cvd as (select *, cast({HASH} % 3 as integer) as fold from tr),
+fl as (select distinct fold from cvd),
+fits as (select fl.fold, regr_slope(t.bmi, t.prim_min) as s1,
+           regr_intercept(t.bmi, t.prim_min) as i1,
+           sum(t.bmi * t.prim_min) / sum(t.prim_min * t.prim_min) as s0
+         from fl join cvd t on t.fold <> fl.fold group by fl.fold),
+log as (select v.fold, 0 as param_id, 'fitIntercept=true' as params,
+          sqrt(avg(power(v.bmi - (f.i1 + f.s1 * v.prim_min), 2))) as metric
+        from cvd v join fits f on v.fold = f.fold group by v.fold
+        union all
+        select v.fold, 1, 'fitIntercept=false', sqrt(avg(power(v.bmi - f.s0 * v.prim_min, 2)))
+        from cvd v join fits f on v.fold = f.fold group by v.fold),
+rk as (select param_id, params, avg(metric) as avg_metric, stddev_samp(metric) as std_metric,
+         arg_max(metric, fold) as last_fold_metric, count(*) as folds,
+         cast(row_number() over (order by avg(metric), params) as integer) as rank
+       from log group by param_id, params),
+full_fit as (select regr_slope(bmi, prim_min) as s1, regr_intercept(bmi, prim_min) as i1,
+               sum(bmi * prim_min) / sum(prim_min * prim_min) as s0 from tr),
+best_test as (select sqrt(avg(power(te.bmi - case when rk.param_id = 0
+                    then ff.i1 + ff.s1 * te.prim_min else ff.s0 * te.prim_min end, 2))) as rmse
+              from te, full_fit ff, (select * from rk where rank = 1) rk)"""
+
+RANK_COLS = ("param_id, params, round(avg_metric, 6) as avg_metric, "
+             "round(std_metric, 6) as std_metric, round(last_fold_metric, 6) as last_fold_metric, "
+             "folds, rank")
+
 ORACLE: dict[str, str] = {
     "case_calendar": _cal(
         "select year, month, count(*) as rows from calendar group by year, month"),
@@ -232,6 +271,72 @@ from e, r group by 1, 2"""),
         "from edited group by 1"),
     "kfold_counts": _edited(
         f"select {_split_summary(f'cast({HASH} % 3 as integer) as fold')} from edited group by 1"),
+    "intercept_model_rmse": _edited(SPLIT + """
+, m as (select avg(bmi) as mu from tr)
+select 'intercept' as model, round(sqrt(avg(power(bmi - mu, 2))), 6) as rmse from te, m"""),
+    "ols_one_feature": _edited(SPLIT + """
+select 'ols' as model, 'intercept' as feature, round(regr_intercept(bmi, prim_min), 6) as coefficient
+from tr
+union all
+select 'ols', 'prim_min', round(regr_slope(bmi, prim_min), 6) from tr"""),
+    "ols_two_features": _edited(SPLIT + OLS2 + """
+select 'ols2' as model, 'intercept' as feature, round(b0, 6) as coefficient from coef
+union all select 'ols2', 'prim_min', round(b1, 6) from coef
+union all select 'ols2', 'age', round(b2, 6) from coef"""),
+    "ols_scaled": _edited(SPLIT + OLS2 + """
+select 'ols2_scaled' as model, 'intercept' as feature, round(b0, 6) as coefficient from coef
+union all select 'ols2_scaled', 'prim_min', round(b1 * sd1, 6) from coef
+union all select 'ols2_scaled', 'age', round(b2 * sd2, 6) from coef"""),
+    "scaled_features": _edited(SPLIT + """
+, sd as (select stddev_samp(prim_min) as sd1, stddev_samp(age) as sd2 from tr)
+select l_orderkey, activity_n, l_partkey, l_suppkey, round(prim_min / sd1, 6) as prim_min_scaled,
+  round(age / sd2, 6) as age_scaled
+from tr, sd"""),
+    "coefficient_table": _edited(SPLIT + OLS2 + """
+select 'intercept' as feature, round(b0, 6) as not_scaled, round(b0, 6) as scaled from coef
+union all select 'prim_min', round(b1, 6), round(b1 * sd1, 6) from coef
+union all select 'age', round(b2, 6), round(b2 * sd2, 6) from coef"""),
+    "ols_r2": _edited(f"""
+, e as (select * from edited where earn is null or earn <> -1),
+r as (select *, row_number() over (order by {HASH} % 1000003, l_orderkey, activity_n,
+                                            l_partkey, l_suppkey) as rn,
+             count(*) over () as total from e),
+tr as (select * from r where rn > ceil(3E-1 * total)),
+te as (select * from r where rn <= ceil(3E-1 * total)),
+f as (select regr_slope(bmi, prim_min) as s, regr_intercept(bmi, prim_min) as i from tr),
+m as (select avg(bmi) as mu from te)
+select 'ols' as model,
+  round(1 - sum(power(bmi - (i + s * prim_min), 2)) / sum(power(bmi - mu, 2)), 6) as r2
+from te, f, m"""),
+    "ols_residuals": _edited(SPLIT + """
+, f as (select regr_slope(bmi, prim_min) as s, regr_intercept(bmi, prim_min) as i from tr)
+select l_orderkey, activity_n, l_partkey, l_suppkey, round(i + s * prim_min, 6) as prediction,
+  round(bmi - (i + s * prim_min), 6) as residual
+from te, f"""),
+    "cv_fold_metrics_ols": _edited(SPLIT + CV + """
+select fold, param_id, params, round(metric, 6) as metric from log"""),
+    "cv_running_average": _edited(SPLIT + CV + """
+select fold, param_id, params, round(metric, 6) as metric,
+  round(avg(metric) over (partition by param_id order by fold
+                          rows between unbounded preceding and current row), 6) as running_avg
+from log"""),
+    "cv_ranking": _edited(SPLIT + CV + f"\nselect {RANK_COLS} from rk"),
+    "topk_configs": _edited(SPLIT + CV + f"\nselect {RANK_COLS} from rk where rank <= 3"),
+    "model_comparison": _edited(SPLIT + CV + """
+, m as (select avg(bmi) as mu from tr)
+select 'intercept' as model, 'test' as metric_split, 'rmse' as metric,
+  round(sqrt(avg(power(bmi - mu, 2))), 6) as value from te, m
+union all
+select 'ols', 'test', 'rmse', round(sqrt(avg(power(bmi - (ff.i1 + ff.s1 * prim_min), 2))), 6)
+from te, full_fit ff
+union all
+select 'cv_best', 'validation_mean', 'rmse', round(avg_metric, 6) from rk where rank = 1
+union all
+select 'cv_best', 'test', 'rmse', round(rmse, 6) from best_test"""),
+    "generalisation_ratio": _edited(SPLIT + CV + """
+select round(bt.rmse, 6) as test_metric, round(rk.avg_metric, 6) as best_cv,
+  round(bt.rmse / rk.avg_metric, 6) as ratio
+from best_test bt, (select * from rk where rank = 1) rk"""),
     "exact_split_counts": _edited(f"""
 , e as (select * from edited where earn is null or earn <> -1),
 r as (select *, row_number() over (order by {HASH} % 1000003, l_orderkey, activity_n,
