@@ -20,7 +20,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 
 from .functions.binning import REFERENCE_LABELS
 from .operators import cleaning as cl
-from .operators import compare, metrics, models, tuning
+from .operators import compare, linear_gram, metrics, models, tuning
 from .operators import distribution as dist
 from .operators import monthly, preview, profiling
 from .operators import split as sp
@@ -361,17 +361,41 @@ def q_generalisation_ratio(spark, sf_dir):
 
 # -- elastic net and forest (rows-only checks; see tests for invariants) -----------
 
+def elastic_net_grid():
+    lr = models.linear_stage(LABEL, models.SCALED, max_iter=5)
+    return lr, (ParamGridBuilder().addGrid(lr.elasticNetParam, ELASTIC_NET_MIX)
+                .addGrid(lr.regParam, REG_PARAMS).build())
+
+
 def elastic_net_cv(spark, sf_dir) -> tuning.CVResult:
+    """60-point elastic-net grid, 3 folds, from one per-fold Gram aggregation;
+    the chosen point is refitted with the Spark ML pipeline."""
     def build():
         train, _ = train_test(spark, sf_dir)
         folded = sp.with_folds(train, portable_hash(), 3)
-        lr = models.linear_stage(LABEL, models.SCALED, max_iter=5)
-        grid = (ParamGridBuilder().addGrid(lr.elasticNetParam, ELASTIC_NET_MIX)
-                .addGrid(lr.regParam, REG_PARAMS).build())
+        lr, grid = elastic_net_grid()
+        points = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam])) for pm in grid]
+
+        def refit(point):
+            reg, mix = point
+            return models.scaled_linear(LABEL, MODEL_FEATURES, max_iter=5, reg_param=reg,
+                                        elastic_net=mix).fit(train)
+        return linear_gram.gram_cross_validate(
+            folded, MODEL_FEATURES, LABEL, "fold", 3, points,
+            [tuning.param_label(pm) for pm in grid], refit=refit)
+    return _memoized(spark, sf_dir, "elastic_net_cv", build)
+
+
+def elastic_net_cv_spark_ml(spark, sf_dir) -> tuning.CVResult:
+    """The same search through Spark ML fits (one or more scans per fit)."""
+    def build():
+        train, _ = train_test(spark, sf_dir)
+        folded = sp.with_folds(train, portable_hash(), 3)
+        lr, grid = elastic_net_grid()
         return tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3,
                                      feature_stages=models.feature_stages(MODEL_FEATURES),
                                      canonical=tuning.linear_canonical, parallelism=8)
-    return _memoized(spark, sf_dir, "elastic_net_cv", build)
+    return _memoized(spark, sf_dir, "elastic_net_cv_spark_ml", build)
 
 
 def forest_cv(spark, sf_dir) -> tuning.CVResult:

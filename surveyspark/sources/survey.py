@@ -26,13 +26,16 @@ SURVEY_KEY = ["l_orderkey", "activity_n", "l_partkey", "l_suppkey"]
 
 LABEL = "bmi"
 
-# Model features of the stand-in, in the order the reference's feature
-# list maps onto it (duration, duration, codes, age, codes, ...).
+# Model features of the stand-in, in the order the analysed feature list
+# maps onto it (durations, codes, age, ...). ``activity_n`` is kept as a
+# column but not used as a feature: once ``exfreq = -1`` rows are cleaned
+# out, ``exfreq`` equals ``activity_n`` on every row of the stand-in, and an
+# exact duplicate makes unregularised least squares ill-posed.
 MODEL_FEATURES = ["prim_min", "sec_min", "soda", "exercise", "age", "income",
-                  "exfreq", "activity_n", "loc", "sex"]
+                  "exfreq", "loc", "sex"]
 
 # Columns kept by the cleaning step (label first, then features).
-CLEAN_COLUMNS = [LABEL] + MODEL_FEATURES
+CLEAN_COLUMNS = [LABEL] + MODEL_FEATURES + ["activity_n"]
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
