@@ -24,6 +24,7 @@ from .operators import compare, linear_gram, metrics, models, tuning
 from .operators import distribution as dist
 from .operators import monthly, preview, profiling
 from .operators import split as sp
+from .plans import materialize
 from .sources import CLEAN_COLUMNS, LABEL, MODEL_FEATURES, SURVEY_KEY, read_table, survey
 
 PLACES = 6
@@ -247,12 +248,21 @@ def _memoized(spark: SparkSession, sf_dir: str, name: str, build):
     return _memo[key]
 
 
+def model_input(spark, sf_dir) -> DataFrame:
+    """Cleaned survey written once per session (checkpoint into the
+    session's checkpoint directory): every model fit, split and fold below
+    reads it instead of re-running the four-table join."""
+    return _memoized(spark, sf_dir, "model_input",
+                     lambda: materialize(cleaned(spark, sf_dir)))
+
+
 def train_test(spark, sf_dir):
-    return sp.hash_split(cleaned(spark, sf_dir), portable_hash(), 70)
+    return sp.hash_split(model_input(spark, sf_dir), portable_hash(), 70)
 
 
 def exact_train_test(spark, sf_dir):
-    df = exact_split_frame(spark, sf_dir)
+    df = _memoized(spark, sf_dir, "exact_split",
+                   lambda: materialize(exact_split_frame(spark, sf_dir)))
     return df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
 
 
@@ -316,7 +326,8 @@ def ols_cv(spark, sf_dir) -> tuning.CVResult:
         lr = LinearRegression(labelCol=LABEL, featuresCol=models.FEATURES, regParam=0.0)
         grid = ParamGridBuilder().addGrid(lr.fitIntercept, [True, False]).build()
         return tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3,
-                                     feature_stages=Pipeline(stages=[models.assembler(ONE)]))
+                                     feature_stages=Pipeline(stages=[models.assembler(ONE)]),
+                                     materialize_input=False)
     return _memoized(spark, sf_dir, "ols_cv", build)
 
 
@@ -382,7 +393,7 @@ def elastic_net_cv(spark, sf_dir) -> tuning.CVResult:
                                         elastic_net=mix).fit(train)
         return linear_gram.gram_cross_validate(
             folded, MODEL_FEATURES, LABEL, "fold", 3, points,
-            [tuning.param_label(pm) for pm in grid], refit=refit)
+            [tuning.param_label(pm) for pm in grid], refit=refit, materialize_input=False)
     return _memoized(spark, sf_dir, "elastic_net_cv", build)
 
 
@@ -394,7 +405,8 @@ def elastic_net_cv_spark_ml(spark, sf_dir) -> tuning.CVResult:
         lr, grid = elastic_net_grid()
         return tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3,
                                      feature_stages=models.feature_stages(MODEL_FEATURES),
-                                     canonical=tuning.linear_canonical, parallelism=8)
+                                     canonical=tuning.linear_canonical, parallelism=8,
+                                     materialize_input=False)
     return _memoized(spark, sf_dir, "elastic_net_cv_spark_ml", build)
 
 
@@ -407,7 +419,7 @@ def forest_cv(spark, sf_dir) -> tuning.CVResult:
                 .addGrid(rf.maxDepth, FOREST_DEPTHS).build())
         return tuning.cross_validate(folded, rf, grid, LABEL, "fold", 4,
                                      feature_stages=models.feature_stages(MODEL_FEATURES),
-                                     parallelism=8)
+                                     parallelism=8, materialize_input=False)
     return _memoized(spark, sf_dir, "forest_cv", build)
 
 

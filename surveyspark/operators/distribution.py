@@ -147,12 +147,51 @@ def joint_histogram(df: DataFrame, x: str, y: str, nx: int = 10, ny: int = 10) -
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair ``i < j`` in one aggregation pass."""
+    """Pearson correlation of every pair ``i < j``.
+
+    Two passes: the first (an action returning ``k`` means and non-null
+    counts) finds a centring shift; the second sums centred cross-products,
+    ``k (k+1) / 2`` plain ``sum`` aggregates that stay in generated code,
+    and the correlations are arithmetic on that one aggregated row. A wide
+    ``corr`` aggregate per pair is several times slower. When a column has
+    missing values, pairwise deletion changes the rows behind each pair, so
+    the per-pair ``corr`` aggregate is used instead (``correlation_pairs_long``).
+    """
+    cols = list(columns)
+    x = [F.col(c).cast("double") for c in cols]
+    first = df.agg(F.count(F.lit(1)).alias("n"),
+                   *[F.avg(e).alias(f"m{i}") for i, e in enumerate(x)],
+                   *[F.count(e).alias(f"c{i}") for i, e in enumerate(x)]).first()
+    n = first["n"]
+    if n == 0 or any(first[f"c{i}"] != n for i in range(len(cols))):
+        return correlation_pairs_long(df, cols)
+    d = [e - F.lit(float(first[f"m{i}"])) for i, e in enumerate(x)]
+    k = len(cols)
+    sums = df.agg(*[F.sum(d[i]).alias(f"s{i}") for i in range(k)],
+                  *[F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)])
+    nn = F.lit(float(n))
+
+    def centred(i, j):
+        return F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / nn
+
+    structs = []
+    for i in range(k):
+        for j in range(i + 1, k):
+            den = F.sqrt(centred(i, i) * centred(j, j))
+            structs.append(F.struct(F.lit(cols[i]).alias("col_x"), F.lit(cols[j]).alias("col_y"),
+                                    F.when(den > 0, centred(i, j) / den).alias("corr")))
+    return sums.select(F.inline(F.array(*structs)))
+
+
+def correlation_pairs_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per-pair ``corr`` over ``(pair, x, y)`` rows: exact pairwise deletion
+    of missing values, one small aggregate grouped by pair."""
     cols = list(columns)
     structs = [F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
-                        F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("corr"))
+                        F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
                for i, a in enumerate(cols) for b in cols[i + 1:]]
-    return df.agg(F.array(*structs).alias("c")).select(F.inline("c"))
+    return (df.select(F.inline(F.array(*structs)))
+              .groupBy("col_x", "col_y").agg(F.corr("x", "y").alias("corr")))
 
 
 def top_values(df: DataFrame, column: str, k: int = 25, dropna: bool = False) -> DataFrame:

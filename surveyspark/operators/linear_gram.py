@@ -128,7 +128,8 @@ def sse(n: float, s: np.ndarray, c: np.ndarray, intercept: float, coef: np.ndarr
 
 def gram_cross_validate(df: DataFrame, features: Sequence[str], label: str, fold_col: str,
                         num_folds: int, grid: Sequence[tuple[float, float]],
-                        labels: Sequence[str], refit=None) -> CVResult:
+                        labels: Sequence[str], refit=None,
+                        materialize_input: bool = True) -> CVResult:
     """RMSE cross-validation of ``(regParam, elasticNetParam)`` points.
 
     ``labels`` name the grid points in the fit log. ``refit`` (optional)
@@ -136,7 +137,9 @@ def gram_cross_validate(df: DataFrame, features: Sequence[str], label: str, fold
     final model fitted on all rows (e.g. a Spark ML pipeline).
     """
     spark = df.sparkSession
-    data = materialize(df.select(*features, label, fold_col))
+    data = df.select(*features, label, fold_col)
+    if materialize_input:
+        data = materialize(data)
     _, per_fold = fold_statistics(data, features, label, fold_col)
     total_n = sum(v[0] for v in per_fold.values())
     total_s = sum(v[1] for v in per_fold.values())
@@ -158,6 +161,6 @@ def gram_cross_validate(df: DataFrame, features: Sequence[str], label: str, fold
     best = min(range(len(avg)), key=lambda j: (avg[j], j))
     model = refit(grid[best]) if refit else None
     fit_log = spark.createDataFrame(rows, FIT_LOG_SCHEMA)
-    if data.is_cached:
+    if materialize_input and data.is_cached:
         data.unpersist()
     return CVResult(fit_log, avg, best, labels[best], model, "rmse", True)

@@ -86,9 +86,11 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
                    label: str, fold_col: str, num_folds: int, metric: str = "rmse",
                    feature_stages: Pipeline | None = None, parallelism: int = 4,
                    canonical: Callable[[dict], tuple] | None = None,
-                   refit: bool = True) -> CVResult:
+                   refit: bool = True, materialize_input: bool = True) -> CVResult:
     """Fit every grid point on every fold's training rows, score it on the
     fold's validation rows, and (``refit``) fit the best point on all rows.
+    ``materialize_input=False`` skips the lineage cut when ``df`` already
+    reads a written table.
 
     ``estimator`` is the final model stage; ``feature_stages`` are fitted per
     fold ahead of it. The best point minimises the mean metric (maximises
@@ -101,7 +103,7 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
         first_of.setdefault(key_of(pm), j)
     distinct = sorted(set(first_of.values()))
 
-    data = materialize(df)
+    data = materialize(df) if materialize_input else df
     log_rows = []
     pool = ThreadPool(processes=max(1, min(parallelism, len(distinct))))
     try:
@@ -145,7 +147,7 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
         best_est = estimator.copy(param_maps[best])
         best_model = Pipeline(stages=stages + [best_est]).fit(data)
     fit_log = spark.createDataFrame(log_rows, FIT_LOG_SCHEMA)
-    if data.is_cached:
+    if materialize_input and data.is_cached:
         data.unpersist()
     return CVResult(fit_log, avg, best, param_label(param_maps[best]), best_model, metric,
                     smaller)
