@@ -216,8 +216,8 @@ def q_kfold_counts(spark, sf_dir):
 def exact_split_frame(spark, sf_dir, test_fraction=0.3):
     src = cl.drop_sentinel(edited(spark, sf_dir), "earn", -1, keep_null=True)
     src = src.withColumn("_order", F.pmod(portable_hash(), F.lit(ORDER_RANGE)))
-    return sp.with_exact_split(src, test_fraction, "_order", SURVEY_KEY, ORDER_RANGE,
-                               buckets=4096).drop("_order")
+    return sp.with_exact_split(src, test_fraction, "_order", SURVEY_KEY,
+                               ORDER_RANGE).drop("_order")
 
 
 def q_exact_split_counts(spark, sf_dir):

@@ -6,20 +6,20 @@ side is a function of its own key through a hash: stable across runs,
 partitionings and cluster sizes, and computed inside the scan stage with
 no shuffle.
 
-``exact_split`` gives an exact-size split (first ``ceil(f * n)`` rows in
-hash order) without sorting the whole table in one partition: bucket
-counts locate the boundary bucket, and only that bucket is ranked.
+``with_exact_split`` gives an exact-size split (first ``ceil(f * n)`` rows
+in hash order) without sorting the whole table in one partition: bucket
+counts locate the boundary bucket, which is refined until small, and only
+that bucket is ranked.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import bounded_broadcast
-
 
 def key_hash(key: Sequence[str]) -> Column:
     """Non-negative 63-bit hash of the key columns."""
@@ -50,44 +50,55 @@ def with_random_folds(df: DataFrame, k: int, seed: int, out: str = "fold") -> Da
     return df.withColumn(out, F.least(F.floor(F.rand(seed) * k), F.lit(k - 1)).cast("int"))
 
 
-def test_size(n: Column, test_fraction: float) -> Column:
-    """``ceil(test_fraction * n)`` in double arithmetic (the usual convention
-    of exact-size splitters)."""
-    return F.ceil(F.lit(float(test_fraction)) * n)
-
-
 def with_exact_split(df: DataFrame, test_fraction: float, order_col: str,
                      tiebreak: Sequence[str], order_range: int,
-                     buckets: int = 1 << 16, out: str = "split") -> DataFrame:
+                     buckets: int = 1 << 16, max_rank_rows: int = 1_000_000,
+                     out: str = "split") -> DataFrame:
     """Mark the first ``ceil(test_fraction * n)`` rows in ``(order_col,
     *tiebreak)`` order as 'test', the rest 'train'.
 
-    ``order_col`` must be a non-negative integer below ``order_range`` (a
-    hash). Plan: (1) count rows per bucket ``order * buckets / order_range``
-    (at most ``buckets`` rows); (2) a running sum over those counts finds the
-    bucket holding the boundary; (3) only that bucket (~n / buckets rows) is
-    ranked to find the cutoff row; (4) every row is compared with the
-    one-row cutoff. Choose ``buckets`` so n / buckets rows fit in one task.
+    ``order_col`` must be an integer in ``[0, order_range)`` (a hash). No
+    global sort: (1) count rows per bucket of the order range (at most
+    ``buckets`` counts; a running sum over them, one small task, finds the
+    bucket holding the boundary); (2) while that bucket holds more than
+    ``max_rank_rows`` rows, re-bucket only its sub-range; (3) rank the rows
+    of the final bucket to find the cutoff row; (4) compare every row with
+    the cutoff. Each step returns one row to the driver, and at most
+    ``max_rank_rows`` rows are ranked in one task whatever the data size.
     """
     o = F.col(order_col)
-    bucket = F.floor(o.cast("double") * F.lit(buckets) / F.lit(float(order_range))).cast("long")
-    src = df.withColumn("_bk", bucket)
-    counts = src.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
-    running = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    cum = counts.select("_bk", "_c", F.sum("_c").over(running).alias("_cum"),
-                        F.sum("_c").over(whole).alias("_n"))
-    m = test_size(F.col("_n"), test_fraction)
-    boundary = (cum.where((F.col("_cum") - F.col("_c") < m) & (F.col("_cum") >= m))
-                   .select(F.col("_bk").alias("_bb"),
-                           (m - (F.col("_cum") - F.col("_c"))).alias("_need")))
     order = [o] + [F.col(c) for c in tiebreak]
-    ranked = (src.join(bounded_broadcast(boundary, 1), F.col("_bk") == F.col("_bb"))
-                 .withColumn("_rn", F.row_number().over(Window.orderBy(*order))))
+    n = df.count()
+    m = math.ceil(float(test_fraction) * n)       # double arithmetic, as splitters do
+    types = dict(df.dtypes)
+    if m <= 0:
+        return df.withColumn(out, F.lit("train"))
+    if m >= n:
+        return df.withColumn(out, F.lit("test"))
+    lo, hi, need = 0, int(order_range), m
+    while True:
+        width = hi - lo
+        step = -(-width // buckets)                   # integer buckets [lo + b*step, ...)
+        in_range = (o >= F.lit(lo)) & (o < F.lit(hi))
+        bucket = F.expr(f"(`{order_col}` - {lo}L) div {step}L")   # integral division
+        counts = (df.where(in_range).select(bucket.alias("_bk"))
+                    .groupBy("_bk").agg(F.count(F.lit(1)).alias("_c")))
+        running = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding,
+                                                    Window.currentRow)
+        hit = (counts.withColumn("_cum", F.sum("_c").over(running))
+                     .where(F.col("_cum") >= F.lit(need)).orderBy("_bk").first())
+        b, count, before = hit["_bk"], hit["_c"], hit["_cum"] - hit["_c"]
+        need -= before
+        lo, hi = lo + b * step, min(hi, lo + (b + 1) * step)
+        if count <= max_rank_rows or hi - lo <= 1:
+            break
+    ranked = (df.where((o >= F.lit(lo)) & (o < F.lit(hi)))
+                .select(*[c.alias(f"_k{i}") for i, c in enumerate(order)])
+                .withColumn("_rn", F.row_number().over(Window.orderBy(
+                    *[F.col(f"_k{i}") for i in range(len(order))]))))
+    cut = ranked.where(F.col("_rn") == need).first()
+    names = [order_col] + list(tiebreak)
+    cutoff = F.struct(*[F.lit(cut[f"_k{i}"]).cast(types[c]).alias(f"_k{i}")
+                        for i, c in enumerate(names)])
     key = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)])
-    cutoff = ranked.where(F.col("_rn") == F.col("_need")).agg(F.max(key).alias("_cut"))
-    cut = F.col("_cut")
-    return (src.crossJoin(bounded_broadcast(cutoff, 1))
-               .withColumn(out, F.when(cut.isNotNull() & (key <= cut), F.lit("test"))
-                                 .otherwise(F.lit("train")))
-               .drop("_bk", "_cut"))
+    return df.withColumn(out, F.when(key <= cutoff, F.lit("test")).otherwise(F.lit("train")))

@@ -28,11 +28,14 @@ def test_folds_cover_rows_once(keyed):
     assert set(counts) == {0, 1, 2} and sum(counts.values()) == 2000
 
 
-@pytest.mark.parametrize("fraction,buckets", [(0.3, 4), (0.3, 64), (0.5, 1), (0.0, 8),
-                                              (1.0, 8), (0.123, 1 << 16)])
-def test_exact_split_matches_full_sort(keyed, fraction, buckets):
+@pytest.mark.parametrize("fraction,buckets,max_rows", [
+    (0.3, 4, 1_000_000), (0.3, 4, 10), (0.3, 2, 1), (0.3, 64, 50), (0.5, 1, 10**6),
+    (0.0, 8, 10), (1.0, 8, 10), (0.123, 1 << 16, 10**6), (0.7, 3, 5)])
+def test_exact_split_matches_full_sort(keyed, fraction, buckets, max_rows):
+    # 997 order values for 2000 rows: ties on the order value, broken by key
     order = keyed.withColumn("o", F.pmod(F.col("k") * 7919 + 13, F.lit(997)))
-    out = sp.with_exact_split(order, fraction, "o", ["k"], 997, buckets=buckets)
+    out = sp.with_exact_split(order, fraction, "o", ["k"], 997, buckets=buckets,
+                              max_rank_rows=max_rows)
     got = {r.k for r in out.where(F.col("split") == "test").collect()}
     rows = sorted((r.o, r.k) for r in order.collect())
     m = math.ceil(fraction * len(rows))
