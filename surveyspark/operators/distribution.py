@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import bin_index, bin_label, bin_lower, bin_upper
 from ..plans import bounded_broadcast
 from .profiling import value_counts
+from .quantiles import exact_quantiles
 
 
 def _valid(column: str, exclude: Sequence | None) -> Column:
@@ -95,7 +96,8 @@ def box_stats(df: DataFrame, value: str, groups: str | Sequence[str],
 
     Plan: values are first counted per ``(group, value)`` -- a shuffle keyed
     on both, so a group holding a third of all rows is still spread over
-    many tasks -- then quartiles use those counts as frequencies, and the
+    many tasks. Quartiles come from ``quantiles.exact_quantiles`` over those
+    counts (interval refinement; no task holds a whole group), and the
     per-group summary (one row per group) is joined back to the counted
     values to place the whiskers. The join side is tiny; AQE broadcasts it
     once its measured size is known.
@@ -108,14 +110,13 @@ def box_stats(df: DataFrame, value: str, groups: str | Sequence[str],
     counted = (df.where(valid).groupBy(*gcols, value)
                  .agg(F.count(F.lit(1)).alias("_w")))
     w = F.col("_w")
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quarts = exact_quantiles(counted, value, gcols, [0.25, 0.5, 0.75], weight="_w",
+                             names=["q1", "median", "q3"])
     summary = (counted.groupBy(*gcols)
                .agg(F.sum(w).alias("n"), (F.sum(v * w) / F.sum(w)).alias("mean"),
-                    F.percentile(v, probs, w).alias("_q"),
                     F.min(v).alias("min"), F.max(v).alias("max"))
-               .select(*gcols, "n", "mean", F.col("_q")[0].alias("q1"),
-                       F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
-                       "min", "max"))
+               .join(quarts, gcols)
+               .select(*gcols, "n", "mean", "q1", "median", "q3", "min", "max"))
     q1, q3 = F.col("q1"), F.col("q3")
     lo_fence = q1 - F.lit(whisker) * (q3 - q1)
     hi_fence = q3 + F.lit(whisker) * (q3 - q1)

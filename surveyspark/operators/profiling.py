@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -48,25 +50,31 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
                      exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """count, mean, sample std, min, quartiles, max for every numeric column.
 
-    Values are unpivoted and aggregated by column name, so each column's
-    final aggregate runs in its own task. Exact quartiles interpolate
-    linearly between order statistics; their buffer is a value -> count map,
-    so memory grows with the number of *distinct* values per column (small
-    for codes and rounded durations). ``exact=False`` switches to the
-    bounded-memory ``percentile_approx`` sketch for continuous columns.
+    Values are unpivoted to ``(column, value)`` rows. Moments come from one
+    aggregate grouped by column. Exact quartiles (linear interpolation
+    between order statistics) are computed from per-``(column, value)``
+    counts by ``quantiles.exact_quantiles``, which never holds a whole
+    column in one task; ``exact=False`` uses the ``percentile_approx``
+    sketch instead (bounded memory, one pass).
     """
     cols = list(columns) if columns else numeric_columns(df)
     v = F.col("value")
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile(v, probs) if exact else F.percentile_approx(v, probs, accuracy)
-    out = (long_values(df, cols)
-           .groupBy("position", "column_name")
-           .agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
-                F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-                q.alias("q"), F.max(v).alias("max")))
-    return out.select("position", "column_name", "count", "mean", "std", "min",
-                      F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
-                      F.col("q")[2].alias("p75"), "max")
+    long = long_values(df, cols)
+    keys = ["position", "column_name"]
+    aggs = [F.count(v).alias("count"), F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
+    if not exact:
+        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        out = long.groupBy(*keys).agg(*aggs, F.percentile_approx(v, probs, accuracy).alias("q"))
+        return out.select(*keys, "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
+                          F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    moments = long.groupBy(*keys).agg(*aggs)
+    counted = (long.where(v.isNotNull()).groupBy(*keys, "value")
+                   .agg(F.count(F.lit(1)).alias("_w")))
+    quarts = exact_quantiles(counted, "value", keys, [0.25, 0.5, 0.75], weight="_w",
+                             names=["p25", "p50", "p75"])
+    return (moments.join(quarts, keys, "left")
+                   .select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 def value_counts(df: DataFrame, column: str, dropna: bool = True,
