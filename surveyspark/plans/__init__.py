@@ -34,6 +34,28 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return df
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate of ``df`` (planning only, no job runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_threshold(df: DataFrame) -> int:
+    conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    text = conf.strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+             "g": 1 << 30, "gb": 1 << 30}
+    for suffix in sorted(units, key=len, reverse=True):
+        if text.endswith(suffix) and text[:-len(suffix)].strip().lstrip("-").isdigit():
+            return int(text[:-len(suffix)]) * units[suffix]
+    return int(text)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """True when the optimizer would broadcast ``df`` by its size estimate."""
+    limit = broadcast_threshold(df)
+    return 0 <= estimated_bytes(df) <= limit and limit > 0
+
+
 def checkpoint_dir(df: DataFrame) -> str | None:
     jdir = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
     return jdir.get() if jdir.isDefined() else None

@@ -12,7 +12,9 @@ Plan notes: column pruning keeps only the 17 source columns needed; small
 dimensions broadcast when their *measured* size is under
 ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime) and fall
 back to sort-merge joins at scale. Without table statistics Catalyst keeps
-the written join order, so it is chosen here: ``orders x customer`` first.
+the written join order, so it is chosen here from the optimizer's size
+estimates (planning only): a star of broadcast joins when every dimension
+fits the broadcast threshold, otherwise ``orders x customer`` first.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import fits_broadcast
 from .tables import read_table
 
 # Row key: unique at sf0.01 and sf0.1 (one duplicate at sf0.001).
@@ -48,12 +51,17 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer",
                       ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
 
-    # orders x customer first: the custkey shuffle then moves orders-sized
-    # rows, and lineitem-sized rows are shuffled at most twice (orderkey,
-    # partkey) when the dimensions are too large to broadcast.
-    oc = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    j = (li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
-           .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    if all(fits_broadcast(t) for t in (orders, part, cust)):
+        # star order: lineitem streams through three broadcast hash joins
+        j = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+               .join(part, F.col("l_partkey") == F.col("p_partkey"))
+               .join(cust, F.col("o_custkey") == F.col("c_custkey")))
+    else:
+        # orders x customer first: the custkey shuffle moves orders-sized
+        # rows, and lineitem-sized rows are shuffled twice (orderkey, partkey)
+        oc = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+        j = (li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
+               .join(part, F.col("l_partkey") == F.col("p_partkey")))
     return j.select(*_survey_columns())
 
 

@@ -50,3 +50,26 @@ def test_box_stats_has_no_python_and_preaggregates(spark):
     plan = plan_text(C.q_box_stats_by_code(spark, SF_SMALL))
     assert "PythonUDF" not in plan
     assert "percentile" in plan.lower()
+
+
+def test_survey_join_order_without_broadcast(spark):
+    """At scale (no side broadcastable) lineitem-sized rows are shuffled only
+    by orderkey and partkey; the custkey join runs on orders-sized rows."""
+    from surveyspark.sources import survey
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(survey(spark, SF_SMALL), "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    keys = [line.split("hashpartitioning(")[1].split("#")[0] for line in exchanges]
+    assert plan.count("SortMergeJoin") == 3
+    assert sorted(keys) == sorted(["l_orderkey", "o_orderkey", "l_partkey", "p_partkey",
+                                   "o_custkey", "c_custkey"])
+
+
+def test_survey_star_broadcast_when_small(spark):
+    from surveyspark.sources import survey
+    plan = plan_text(survey(spark, SF_SMALL), "simple")
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
