@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import materialize
+
 
 def key_hash(key: Sequence[str]) -> Column:
     """Non-negative 63-bit hash of the key columns."""
@@ -65,10 +67,13 @@ def with_exact_split(df: DataFrame, test_fraction: float, order_col: str,
     of the final bucket to find the cutoff row; (4) compare every row with
     the cutoff. Each step returns one row to the driver, and at most
     ``max_rank_rows`` rows are ranked in one task whatever the data size.
+    Steps 1-3 read a narrow ``(order, tiebreak)`` table written once.
     """
     o = F.col(order_col)
     order = [o] + [F.col(c) for c in tiebreak]
-    n = df.count()
+    # the counting and ranking passes read only a narrow key table, written once
+    keys = materialize(df.select(order_col, *tiebreak))
+    n = keys.count()
     m = math.ceil(float(test_fraction) * n)       # double arithmetic, as splitters do
     types = dict(df.dtypes)
     if m <= 0:
@@ -81,7 +86,7 @@ def with_exact_split(df: DataFrame, test_fraction: float, order_col: str,
         step = -(-width // buckets)                   # integer buckets [lo + b*step, ...)
         in_range = (o >= F.lit(lo)) & (o < F.lit(hi))
         bucket = F.expr(f"(`{order_col}` - {lo}L) div {step}L")   # integral division
-        counts = (df.where(in_range).select(bucket.alias("_bk"))
+        counts = (keys.where(in_range).select(bucket.alias("_bk"))
                     .groupBy("_bk").agg(F.count(F.lit(1)).alias("_c")))
         running = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding,
                                                     Window.currentRow)
@@ -92,7 +97,7 @@ def with_exact_split(df: DataFrame, test_fraction: float, order_col: str,
         lo, hi = lo + b * step, min(hi, lo + (b + 1) * step)
         if count <= max_rank_rows or hi - lo <= 1:
             break
-    ranked = (df.where((o >= F.lit(lo)) & (o < F.lit(hi)))
+    ranked = (keys.where((o >= F.lit(lo)) & (o < F.lit(hi)))
                 .select(*[c.alias(f"_k{i}") for i, c in enumerate(order)])
                 .withColumn("_rn", F.row_number().over(Window.orderBy(
                     *[F.col(f"_k{i}") for i in range(len(order))]))))
