@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_index, bin_label, bin_lower, bin_upper
-from ..plans import bounded_broadcast
+from ..plans import bounded_broadcast, materialize
 from .profiling import value_counts
 from .quantiles import exact_quantiles
 
@@ -107,11 +107,12 @@ def box_stats(df: DataFrame, value: str, groups: str | Sequence[str],
     valid = v.isNotNull()
     for g in gcols:
         valid = valid & F.col(g).isNotNull()
-    counted = (df.where(valid).groupBy(*gcols, value)
-                 .agg(F.count(F.lit(1)).alias("_w")))
+    # counted once and written: quartiles, summary and whiskers all read it
+    counted = materialize(df.where(valid).groupBy(*gcols, value)
+                            .agg(F.count(F.lit(1)).alias("_w")))
     w = F.col("_w")
     quarts = exact_quantiles(counted, value, gcols, [0.25, 0.5, 0.75], weight="_w",
-                             names=["q1", "median", "q3"])
+                             names=["q1", "median", "q3"], materialize_input=False)
     summary = (counted.groupBy(*gcols)
                .agg(F.sum(w).alias("n"), (F.sum(v * w) / F.sum(w)).alias("mean"),
                     F.min(v).alias("min"), F.max(v).alias("max"))

@@ -38,8 +38,12 @@ from ..plans import materialize
 def exact_quantiles(df: DataFrame, value: str, groups: Sequence[str], probs: Sequence[float],
                     weight: str | None = None, buckets: int = 1024,
                     max_rank_rows: int = 50_000, max_levels: int = 32,
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """``groups`` + one column per probability (``q0, q1, ...`` or ``names``)."""
+                    names: Sequence[str] | None = None,
+                    materialize_input: bool = True) -> DataFrame:
+    """``groups`` + one column per probability (``q0, q1, ...`` or ``names``).
+
+    ``materialize_input=False`` when ``df`` already reads a written table.
+    """
     gcols = list(groups)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     valid = F.col(value).isNotNull()
@@ -47,8 +51,10 @@ def exact_quantiles(df: DataFrame, value: str, groups: Sequence[str], probs: Seq
         valid = valid & F.col(g).isNotNull()
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     # narrow (groups, value, weight) rows, written once: every pass reads them
-    base = materialize(df.where(valid).select(*gcols, F.col(value).cast("double").alias("_v"),
-                                              w.alias("_w")))
+    base = df.where(valid).select(*gcols, F.col(value).cast("double").alias("_v"),
+                                  w.alias("_w"))
+    if materialize_input:
+        base = materialize(base)
     stats = base.groupBy(*gcols).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_min"),
                                      F.max("_v").alias("_max"), F.count(F.lit(1)).alias("_rows"))
     largest = stats.agg(F.max("_rows")).first()[0] or 0
