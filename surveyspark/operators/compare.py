@@ -37,10 +37,10 @@ def model_comparison(rows: Sequence[DataFrame]) -> DataFrame:
 def generalisation_ratio(test_metric: DataFrame, ranked: DataFrame,
                          test_col: str = "rmse") -> DataFrame:
     """Test metric of the refitted best model over the best mean CV metric."""
-    best = ranked.where(F.col("rank") == 1).select(F.col("avg_metric").alias("best_cv"))
-    return (test_metric.crossJoin(F.broadcast(best))
-                       .select(F.col(test_col).alias("test_metric"), "best_cv",
-                               (F.col(test_col) / F.col("best_cv")).alias("ratio")))
+    best = ranked.where(F.col("rank") == 1).select("avg_metric").first()[0]
+    b = F.lit(best).cast("double")
+    return test_metric.select(F.col(test_col).alias("test_metric"), b.alias("best_cv"),
+                              (F.col(test_col) / b).alias("ratio"))
 
 
 def importance_vs_coefficient(coefs: DataFrame, imps: DataFrame) -> DataFrame:

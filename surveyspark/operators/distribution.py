@@ -2,9 +2,9 @@
 joint (2-D) histograms, pairwise correlations, most frequent values.
 
 Plots are replaced by the aggregates behind them. Every operator is one or
-two aggregation passes; ranges come from a one-row ``min``/``max`` aggregate
-that is broadcast (its size is one row by construction), so no value is
-pulled to the driver.
+two aggregation passes; ranges come from a ``min``/``max`` aggregate whose
+two numbers enter the row expressions as constants. No data row reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -25,12 +25,17 @@ def _valid(column: str, exclude: Sequence | None) -> Column:
     return (x.isNotNull() & ~x.isin(list(exclude))) if exclude else x.isNotNull()
 
 
-def value_range(df: DataFrame, column: str, exclude: Sequence | None = None,
-                prefix: str = "_") -> DataFrame:
-    """One-row ``(lo, hi)`` of the non-null, non-excluded values."""
+def value_range(df: DataFrame, column: str, exclude: Sequence | None = None
+                ) -> tuple[float | None, float | None]:
+    """``(lo, hi)`` of the non-null, non-excluded values: one small action
+    returning two numbers, used as literals by the bin expressions."""
     x = F.col(column).cast("double")
-    return (df.where(_valid(column, exclude))
-              .agg(F.min(x).alias(f"{prefix}lo"), F.max(x).alias(f"{prefix}hi")))
+    row = df.where(_valid(column, exclude)).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    return row["lo"], row["hi"]
+
+
+def _lit(v) -> Column:
+    return F.lit(v).cast("double")
 
 
 def with_bins(df: DataFrame, column: str, n: int, labels: Sequence[str] | None = None,
@@ -42,20 +47,18 @@ def with_bins(df: DataFrame, column: str, n: int, labels: Sequence[str] | None =
     neither shape the range nor get a bin; by default every value counts,
     sentinels included, as in the analysed notebook.
 
-    The input is read twice (range, then rows); materialize an expensive
-    input first.
+    The range is fetched first (one aggregate, two numbers) and enters the
+    row expressions as constants; the input is read twice, so materialize an
+    expensive input first.
     """
-    p = f"_{out}_"
-    rng = value_range(df, column, exclude, prefix=p)
-    lo, hi = F.col(f"{p}lo"), F.col(f"{p}hi")
+    lo_v, hi_v = value_range(df, column, exclude)
+    lo, hi = _lit(lo_v), _lit(hi_v)
     x = F.when(_valid(column, exclude), F.col(column).cast("double"))
     b = F.col(out)
-    return (df.crossJoin(bounded_broadcast(rng, 1))
-              .withColumn(out, bin_index(x, lo, hi, n))
+    return (df.withColumn(out, bin_index(x, lo, hi, n))
               .withColumn(f"{out}_label", bin_label(b, labels))
               .withColumn(f"{out}_lo", bin_lower(b, lo, hi, n))
-              .withColumn(f"{out}_hi", bin_upper(b, lo, hi, n))
-              .drop(f"{p}lo", f"{p}hi"))
+              .withColumn(f"{out}_hi", bin_upper(b, lo, hi, n)))
 
 
 def bin_counts(df: DataFrame, column: str, n: int, labels: Sequence[str] | None = None,
@@ -70,15 +73,13 @@ def bin_counts(df: DataFrame, column: str, n: int, labels: Sequence[str] | None
 def histogram(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """``n`` equal-width bins with counts, empty bins included (count 0)."""
     src = df.select(column)
-    rng = value_range(src, column, prefix="_h_")
-    lo, hi = F.col("_h_lo"), F.col("_h_hi")
-    counts = (src.crossJoin(bounded_broadcast(rng, 1))
-                 .select(bin_index(F.col(column).cast("double"), lo, hi, n).alias("bin"))
+    lo_v, hi_v = value_range(src, column)
+    lo, hi = _lit(lo_v), _lit(hi_v)
+    counts = (src.select(bin_index(F.col(column).cast("double"), lo, hi, n).alias("bin"))
                  .where(F.col("bin").isNotNull())
                  .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
-    spark = df.sparkSession
-    frame = (spark.range(1, n + 1, numPartitions=1).select(F.col("id").cast("int").alias("bin"))
-             .crossJoin(bounded_broadcast(rng, 1)))
+    frame = (df.sparkSession.range(1, n + 1, numPartitions=1)
+             .select(F.col("id").cast("int").alias("bin")))
     b = F.col("bin")
     return (frame.join(bounded_broadcast(counts, n), "bin", "left")
                  .select("bin", bin_lower(b, lo, hi, n).alias("bin_lo"),
@@ -139,13 +140,12 @@ def joint_histogram(df: DataFrame, x: str, y: str, nx: int = 10, ny: int = 10) -
     """Counts over an ``nx`` x ``ny`` grid of equal-width bins (non-empty cells)."""
     src = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
-    rng = src.agg(F.min(xd).alias("_xlo"), F.max(xd).alias("_xhi"),
-                  F.min(yd).alias("_ylo"), F.max(yd).alias("_yhi"))
-    j = src.crossJoin(bounded_broadcast(rng, 1))
-    bx = bin_index(xd, F.col("_xlo"), F.col("_xhi"), nx)
-    by = bin_index(yd, F.col("_ylo"), F.col("_yhi"), ny)
-    return (j.select(bx.alias("bin_x"), by.alias("bin_y"))
-             .groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n")))
+    r = src.agg(F.min(xd).alias("xlo"), F.max(xd).alias("xhi"),
+                F.min(yd).alias("ylo"), F.max(yd).alias("yhi")).first()
+    bx = bin_index(xd, _lit(r["xlo"]), _lit(r["xhi"]), nx)
+    by = bin_index(yd, _lit(r["ylo"]), _lit(r["yhi"]), ny)
+    return (src.select(bx.alias("bin_x"), by.alias("bin_y"))
+               .groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n")))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -44,18 +44,17 @@ def rmse(df: DataFrame, label: str, prediction: str = "prediction",
 
 
 def r2(df: DataFrame, label: str, prediction: str = "prediction", alias: str = "r2") -> DataFrame:
-    """Coefficient of determination against the mean of the scored rows."""
-    mean = df.agg(F.avg(label).alias("_mean"))
-    return (df.crossJoin(F.broadcast(mean))
-              .agg(metric_column("r2", label, prediction, F.col("_mean")).alias(alias)))
+    """Coefficient of determination against the mean of the scored rows
+    (the mean is fetched first and used as a constant)."""
+    mean = df.agg(F.avg(label)).first()[0]
+    return df.agg(metric_column("r2", label, prediction, F.lit(mean)).alias(alias))
 
 
 def metric_columns(df: DataFrame, metric: str, label: str, predictions: Sequence[str]
                    ) -> list[float]:
     """Evaluate ``metric`` for every prediction column in one pass."""
     if metric == "r2":
-        mean = df.agg(F.avg(label).alias("_mean"))
-        src, lm = df.crossJoin(F.broadcast(mean)), F.col("_mean")
+        src, lm = df, F.lit(df.agg(F.avg(label)).first()[0])
     else:
         src, lm = df, None
     row = src.agg(*[metric_column(metric, label, p, lm).alias(f"m{i}")
