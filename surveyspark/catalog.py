@@ -270,26 +270,36 @@ def _test_rmse(model, test) -> DataFrame:
     return metrics.rmse(model.transform(test), LABEL)
 
 
+def fitted(spark, sf_dir, name: str):
+    """Models fitted on the hash-split training rows, once per session."""
+    specs = {
+        "intercept": lambda: models.intercept_only(LABEL),
+        "ols1": lambda: models.ols(LABEL, ONE),
+        "ols2": lambda: models.ols(LABEL, TWO),
+        "ols2_scaled": lambda: models.scaled_linear(LABEL, TWO, max_iter=5),
+        "ols_all": lambda: models.ols(LABEL, MODEL_FEATURES),
+    }
+    return _memoized(spark, sf_dir, f"fit_{name}",
+                     lambda: specs[name]().fit(train_test(spark, sf_dir)[0]))
+
+
 def q_intercept_model_rmse(spark, sf_dir):
-    train, test = train_test(spark, sf_dir)
-    model = models.intercept_only(LABEL).fit(train)
+    _, test = train_test(spark, sf_dir)
+    model = fitted(spark, sf_dir, "intercept")
     return rounded(_test_rmse(model, test).select(F.lit("intercept").alias("model"), "rmse"))
 
 
 def q_ols_one_feature(spark, sf_dir):
-    train, _ = train_test(spark, sf_dir)
-    return rounded(models.coefficients(spark, models.ols(LABEL, ONE).fit(train), ONE, "ols"))
+    return rounded(models.coefficients(spark, fitted(spark, sf_dir, "ols1"), ONE, "ols"))
 
 
 def q_ols_two_features(spark, sf_dir):
-    train, _ = train_test(spark, sf_dir)
-    return rounded(models.coefficients(spark, models.ols(LABEL, TWO).fit(train), TWO, "ols2"))
+    return rounded(models.coefficients(spark, fitted(spark, sf_dir, "ols2"), TWO, "ols2"))
 
 
 def q_ols_scaled(spark, sf_dir):
-    train, _ = train_test(spark, sf_dir)
-    fitted = models.scaled_linear(LABEL, TWO, max_iter=5).fit(train)
-    return rounded(models.coefficients(spark, fitted, TWO, "ols2_scaled"))
+    return rounded(models.coefficients(spark, fitted(spark, sf_dir, "ols2_scaled"), TWO,
+                                       "ols2_scaled"))
 
 
 def q_scaled_features(spark, sf_dir):
@@ -298,9 +308,8 @@ def q_scaled_features(spark, sf_dir):
 
 
 def q_coefficient_table(spark, sf_dir):
-    train, _ = train_test(spark, sf_dir)
-    raw = models.coefficients(spark, models.ols(LABEL, TWO).fit(train), TWO, "not_scaled")
-    scl = models.coefficients(spark, models.scaled_linear(LABEL, TWO).fit(train), TWO, "scaled")
+    raw = models.coefficients(spark, fitted(spark, sf_dir, "ols2"), TWO, "not_scaled")
+    scl = models.coefficients(spark, fitted(spark, sf_dir, "ols2_scaled"), TWO, "scaled")
     return rounded(compare.coefficient_table(raw.unionByName(scl), ["not_scaled", "scaled"]))
 
 
@@ -312,8 +321,8 @@ def q_ols_r2(spark, sf_dir):
 
 
 def q_ols_residuals(spark, sf_dir):
-    train, test = train_test(spark, sf_dir)
-    model = models.ols(LABEL, ONE).fit(train)
+    _, test = train_test(spark, sf_dir)
+    model = fitted(spark, sf_dir, "ols1")
     return rounded(model.transform(test).select(
         *SURVEY_KEY, "prediction", (F.col(LABEL) - F.col("prediction")).alias("residual")))
 
@@ -348,14 +357,14 @@ def q_topk_configs(spark, sf_dir):
 
 
 def q_model_comparison(spark, sf_dir):
-    train, test = train_test(spark, sf_dir)
+    _, test = train_test(spark, sf_dir)
     cv = ols_cv(spark, sf_dir)
     ranked = tuning.ranking(cv.fit_log)
     best_cv = ranked.where(F.col("rank") == 1).select("avg_metric")
     rows = [
-        compare.metric_row(_test_rmse(models.intercept_only(LABEL).fit(train), test),
+        compare.metric_row(_test_rmse(fitted(spark, sf_dir, "intercept"), test),
                            "intercept", "test", "rmse"),
-        compare.metric_row(_test_rmse(models.ols(LABEL, ONE).fit(train), test),
+        compare.metric_row(_test_rmse(fitted(spark, sf_dir, "ols1"), test),
                            "ols", "test", "rmse"),
         compare.metric_row(best_cv, "cv_best", "validation_mean", "avg_metric"),
         compare.metric_row(_test_rmse(cv.best_model, test), "cv_best", "test", "rmse"),
@@ -443,16 +452,16 @@ def q_elastic_net_cv(spark, sf_dir):
 
 def q_elastic_net_comparison(spark, sf_dir):
     """Top three grid points (validation mean) beside the baselines' test RMSE."""
-    train, test = train_test(spark, sf_dir)
+    _, test = train_test(spark, sf_dir)
     cv = elastic_net_cv(spark, sf_dir)
     top = tuning.top_k(tuning.ranking(cv.fit_log), 3).select(
         F.col("params").alias("model"), F.lit("validation_mean").alias("metric_split"),
         F.lit("rmse").alias("metric"), F.col("avg_metric").alias("value"))
     rows = [
         top,
-        compare.metric_row(_test_rmse(models.intercept_only(LABEL).fit(train), test),
+        compare.metric_row(_test_rmse(fitted(spark, sf_dir, "intercept"), test),
                            "intercept", "test", "rmse"),
-        compare.metric_row(_test_rmse(models.ols(LABEL, MODEL_FEATURES).fit(train), test),
+        compare.metric_row(_test_rmse(fitted(spark, sf_dir, "ols_all"), test),
                            "unscaled", "test", "rmse"),
         compare.metric_row(_test_rmse(cv.best_model, test), "tuned", "test", "rmse"),
     ]
