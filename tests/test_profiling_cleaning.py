@@ -67,3 +67,10 @@ def test_funnel_is_monotone_and_matches_filters(coded):
 def test_drop_sentinel_keep_null_switch(coded):
     assert cl.drop_sentinel(coded, "v", -1).count() == 6
     assert cl.drop_sentinel(coded, "v", -1, keep_null=False).count() == 4
+
+
+def test_describe_all_null_and_single_value_columns(spark):
+    df = spark.createDataFrame([(None, 3.0), (None, 3.0)], "a double, b double")
+    out = {r.column_name: r for r in profiling.describe_numeric(df, ["a", "b"]).collect()}
+    assert out["a"]["count"] == 0 and out["a"].mean is None and out["a"].p50 is None
+    assert out["b"]["count"] == 2 and out["b"].std == 0.0 and out["b"].p25 == 3.0
