@@ -99,9 +99,9 @@ def box_stats(df: DataFrame, value: str, groups: str | Sequence[str],
     on both, so a group holding a third of all rows is still spread over
     many tasks. Quartiles come from ``quantiles.exact_quantiles`` over those
     counts (interval refinement; no task holds a whole group), and the
-    per-group summary (one row per group) is joined back to the counted
-    values to place the whiskers. The join side is tiny; AQE broadcasts it
-    once its measured size is known.
+    per-group summary (one row per group, written and counted) is broadcast
+    back to the counted values to place the whiskers when that count is
+    within the broadcast bound.
     """
     gcols = [groups] if isinstance(groups, str) else list(groups)
     v = F.col(value)
@@ -114,15 +114,17 @@ def box_stats(df: DataFrame, value: str, groups: str | Sequence[str],
     w = F.col("_w")
     quarts = exact_quantiles(counted, value, gcols, [0.25, 0.5, 0.75], weight="_w",
                              names=["q1", "median", "q3"], materialize_input=False)
-    summary = (counted.groupBy(*gcols)
-               .agg(F.sum(w).alias("n"), (F.sum(v * w) / F.sum(w)).alias("mean"),
-                    F.min(v).alias("min"), F.max(v).alias("max"))
-               .join(quarts, gcols)
-               .select(*gcols, "n", "mean", "q1", "median", "q3", "min", "max"))
+    summary = materialize(counted.groupBy(*gcols)
+                          .agg(F.sum(w).alias("n"), (F.sum(v * w) / F.sum(w)).alias("mean"),
+                               F.min(v).alias("min"), F.max(v).alias("max"))
+                          .join(quarts, gcols)
+                          .select(*gcols, "n", "mean", "q1", "median", "q3", "min", "max"))
     q1, q3 = F.col("q1"), F.col("q3")
     lo_fence = q1 - F.lit(whisker) * (q3 - q1)
     hi_fence = q3 + F.lit(whisker) * (q3 - q1)
-    reach = (counted.join(summary, gcols)
+    # one summary row per group, counted: broadcast within the bound, so a
+    # hot group's values are never gathered into one join partition
+    reach = (counted.join(bounded_broadcast(summary, summary.count()), gcols)
              .groupBy(*gcols, "n", "mean", "q1", "median", "q3", "min", "max")
              .agg(F.min(F.when(v >= lo_fence, v)).alias("_wlo"),
                   F.max(F.when(v <= hi_fence, v)).alias("_whi"),

@@ -21,7 +21,9 @@ weighted) rows -- measured by one small aggregate -- a single
 then bounded by that measured size.
 
 Every pass returns only per-target state (groups x 2 x quantiles rows),
-written to the checkpoint directory to keep lineage short. Inputs may carry
+written to the checkpoint directory to keep lineage short; that state is
+counted and broadcast to the data rows when within the broadcast bound, so
+hot groups are never gathered into one join partition. Inputs may carry
 a weight column (rows already counted per value).
 """
 
@@ -32,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import materialize
+from ..plans import bounded_broadcast, materialize
 
 
 def exact_quantiles(df: DataFrame, value: str, groups: Sequence[str], probs: Sequence[float],
@@ -105,7 +107,8 @@ def _refine(base: DataFrame, state: DataFrame, gcols, tkey, buckets: int) -> Dat
     open_ = state.where(F.col("_val").isNull())
     v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
     b = F.least(F.floor((v - lo) / (hi - lo) * F.lit(buckets)), F.lit(buckets - 1))
-    per_bucket = (base.join(open_.select(*tkey, "_rank", "_lo", "_hi", "_below"), gcols)
+    targets = open_.select(*tkey, "_rank", "_lo", "_hi", "_below")
+    per_bucket = (base.join(bounded_broadcast(targets, targets.count()), gcols)
                   .where((v >= lo) & (v <= hi))
                   .select(*tkey, "_rank", "_below", b.cast("int").alias("_b"), "_v", "_w")
                   .groupBy(*tkey, "_rank", "_below", "_b")
@@ -129,7 +132,8 @@ def _finish_small(base: DataFrame, state: DataFrame, gcols, tkey, max_rank_rows)
     keep = state.where(~small)
     todo = state.where(small)
     v = F.col("_v")
-    rows = (base.join(todo.select(*tkey, "_rank", "_lo", "_hi", "_below"), gcols)
+    targets = todo.select(*tkey, "_rank", "_lo", "_hi", "_below")
+    rows = (base.join(bounded_broadcast(targets, targets.count()), gcols)
                 .where((v >= F.col("_lo")) & (v <= F.col("_hi"))))
     running = (Window.partitionBy(*tkey).orderBy("_v")
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
