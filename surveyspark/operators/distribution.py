@@ -207,7 +207,9 @@ def rows_with_top_values(df: DataFrame, column: str, k: int = 25) -> DataFrame:
     """Rows whose ``column`` is among its ``k`` most frequent values.
 
     A left-semi join against the top-k table, broadcast because it holds at
-    most ``k`` rows; missing values never match.
+    most ``k`` rows. Matching is null-safe: when missing values are among
+    the most frequent (the list keeps them), missing rows are kept too, as a
+    frame ``isin`` over that list does.
     """
-    top = top_values(df, column, k).select(column)
-    return df.join(bounded_broadcast(top, k), column, "left_semi")
+    top = bounded_broadcast(top_values(df, column, k).select(F.col(column).alias("_top")), k)
+    return df.join(top, F.col(column).eqNullSafe(F.col("_top")), "left_semi")

@@ -26,6 +26,9 @@ ROUNDED_SURVEY_COLS = ", ".join(
 DESCRIBE_COLUMNS = ["activity_n", "bmi", "prim_min", "sec_min", "soda", "exercise",
                     "income", "exfreq", "age", "loc", "earn", "sex"]
 
+ROUNDED_SURVEY_COLS_E = ", ".join(
+    f"round(e.{n}, 6) as {n}" if t == "double" else f"e.{n}" for n, t in SURVEY_TYPES)
+
 CAL = """calendar as (
   select substr(cast(case_id as varchar), 1, 4) as year,
          substr(cast(case_id as varchar), 5, 2) as month, *
@@ -265,7 +268,8 @@ from e, r group by 1, 2"""),
     "rows_in_top_values": _edited(
         ", top as (select sec_min from edited group by sec_min "
         "order by count(*) desc, sec_min asc nulls first limit 25)\n"
-        f"select {ROUNDED_SURVEY_COLS} from edited where sec_min in (select sec_min from top)"),
+        f"select {ROUNDED_SURVEY_COLS_E} from edited e where exists "
+        "(select 1 from top t where t.sec_min is not distinct from e.sec_min)"),
     "split_counts": _edited(
         f"select {_split_summary(f'case when {HASH} % 100 < 70 then ' + chr(39) + 'train' + chr(39) + ' else ' + chr(39) + 'test' + chr(39) + ' end as split')} "
         "from edited group by 1"),

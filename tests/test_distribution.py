@@ -98,3 +98,10 @@ def test_joint_histogram_counts_all_rows(spark):
     out = dist.joint_histogram(spark.createDataFrame(pdf), "x", "y", 4, 3).collect()
     assert sum(r.n for r in out) == 300
     assert all(1 <= r.bin_x <= 4 and 1 <= r.bin_y <= 3 for r in out)
+
+
+def test_semi_join_keeps_missing_when_frequent(spark):
+    vals = [None, None, None, 1, 1, 2]
+    df = spark.createDataFrame([(v,) for v in vals], "x int")
+    kept = [r.x for r in dist.rows_with_top_values(df, "x", 2).collect()]
+    assert sorted(kept, key=lambda v: (v is not None, v)) == [None, None, None, 1, 1]
