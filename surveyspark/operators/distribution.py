@@ -173,18 +173,19 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     k = len(cols)
     sums = df.agg(*[F.sum(d[i]).alias(f"s{i}") for i in range(k)],
                   *[F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)])
+    # one row per pair holding plain references, then one expression for all
+    pairs = [F.struct(F.lit(cols[i]).alias("col_x"), F.lit(cols[j]).alias("col_y"),
+                      F.col(f"p{i}_{j}").alias("pxy"), F.col(f"p{i}_{i}").alias("pxx"),
+                      F.col(f"p{j}_{j}").alias("pyy"), F.col(f"s{i}").alias("sx"),
+                      F.col(f"s{j}").alias("sy"))
+             for i in range(k) for j in range(i + 1, k)]
     nn = F.lit(float(n))
-
-    def centred(i, j):
-        return F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / nn
-
-    structs = []
-    for i in range(k):
-        for j in range(i + 1, k):
-            den = F.sqrt(centred(i, i) * centred(j, j))
-            structs.append(F.struct(F.lit(cols[i]).alias("col_x"), F.lit(cols[j]).alias("col_y"),
-                                    F.when(den > 0, centred(i, j) / den).alias("corr")))
-    return sums.select(F.inline(F.array(*structs)))
+    cxy = F.col("pxy") - F.col("sx") * F.col("sy") / nn
+    cxx = F.col("pxx") - F.col("sx") * F.col("sx") / nn
+    cyy = F.col("pyy") - F.col("sy") * F.col("sy") / nn
+    den = F.sqrt(cxx * cyy)
+    return (sums.select(F.inline(F.array(*pairs)))
+                .select("col_x", "col_y", F.when(den > 0, cxy / den).alias("corr")))
 
 
 def correlation_pairs_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
