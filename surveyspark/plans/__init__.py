@@ -4,6 +4,8 @@
   bounded by construction (a ``limit k``, ``n`` bins, a one-row aggregate);
   everything else is left to the optimizer and AQE, which broadcast only
   after measuring the side against ``autoBroadcastJoinThreshold``.
+* ``estimated_bytes`` / ``fits_broadcast`` -- the optimizer's size estimate
+  of a plan (planning only, no job), used to choose a join order;
 * ``materialize`` -- cut lineage for data that many jobs reuse: a reliable
   ``checkpoint()`` into the session's ``spark.checkpoint.dir``, so lost
   executors do not force a recompute of the upstream joins.
