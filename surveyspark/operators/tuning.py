@@ -17,6 +17,8 @@ Execution plan per fold:
 * grid points that define the same model (e.g. any ``elasticNetParam`` at
   ``regParam = 0``) are fitted once and share the result;
 * fits run concurrently from a thread pool, each a distributed Spark job;
+  when all folds' rows fit a cache budget (checked from a row count), all
+  folds are cached together and share the pool;
 * all models of a fold are scored in one aggregation pass.
 """
 
@@ -36,6 +38,9 @@ from pyspark.storagelevel import StorageLevel
 from ..plans import materialize
 from .metrics import SMALLER_IS_BETTER, metric_columns
 
+# Cache budget for running all folds at once (about k-1 copies of the input).
+FOLD_CACHE_BUDGET = 2 << 30
+
 FIT_LOG_SCHEMA = StructType([
     StructField("fold", IntegerType()), StructField("param_id", IntegerType()),
     StructField("params", StringType()), StructField("metric", DoubleType()),
@@ -86,7 +91,9 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
                    label: str, fold_col: str, num_folds: int, metric: str = "rmse",
                    feature_stages: Pipeline | None = None, parallelism: int = 4,
                    canonical: Callable[[dict], tuple] | None = None,
-                   refit: bool = True, materialize_input: bool = True) -> CVResult:
+                   refit: bool = True, materialize_input: bool = True,
+                   concurrent_folds: bool | None = None,
+                   fold_cache_budget: int = FOLD_CACHE_BUDGET) -> CVResult:
     """Fit every grid point on every fold's training rows, score it on the
     fold's validation rows, and (``refit``) fit the best point on all rows.
     ``materialize_input=False`` skips the lineage cut when ``df`` already
@@ -95,6 +102,13 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
     ``estimator`` is the final model stage; ``feature_stages`` are fitted per
     fold ahead of it. The best point minimises the mean metric (maximises
     for ``r2``), ties going to the earlier grid point.
+
+    Folds run one after another, each caching its own training rows, unless
+    all folds' rows fit ``fold_cache_budget`` bytes (about ``k - 1`` copies
+    of the input, sized from a row count): then every fold is cached at
+    once and all ``folds x grid`` fits share one thread pool, with no idle
+    threads waiting for a fold's slowest fit. ``concurrent_folds`` forces
+    either mode.
     """
     spark = df.sparkSession
     key_of = canonical or _default_canonical
@@ -104,37 +118,46 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
     distinct = sorted(set(first_of.values()))
 
     data = materialize(df) if materialize_input else df
-    log_rows = []
-    pool = ThreadPool(processes=max(1, min(parallelism, len(distinct))))
+    if concurrent_folds is None:
+        width = 8 * (len(data.columns) + 2 * _vector_width(feature_stages))
+        concurrent_folds = data.count() * width * max(num_folds - 1, 1) <= fold_cache_budget
+
+    def prepare(i):
+        train = data.where(F.col(fold_col) != i)
+        valid = data.where(F.col(fold_col) == i)
+        if feature_stages is not None:
+            fitted = feature_stages.fit(train)
+            train, valid = fitted.transform(train), fitted.transform(valid)
+        return (train.persist(StorageLevel.MEMORY_AND_DISK),
+                valid.persist(StorageLevel.MEMORY_AND_DISK))
+
+    def score(i, valid, models):
+        scored, preds = valid, []
+        for j in distinct:
+            m = models[(i, j)].copy()
+            m.setPredictionCol(f"_pred{j}")
+            scored = m.transform(scored)
+            preds.append(f"_pred{j}")
+        return dict(zip(distinct, metric_columns(scored, metric, label, preds)))
+
+    values: dict[int, dict[int, float]] = {}
+    rounds = [list(range(num_folds))] if concurrent_folds else [[i] for i in range(num_folds)]
+    pool = ThreadPool(processes=max(1, min(parallelism, len(distinct) * len(rounds[0]))))
     try:
-        for i in range(num_folds):
-            train = data.where(F.col(fold_col) != i)
-            valid = data.where(F.col(fold_col) == i)
-            if feature_stages is not None:
-                fitted = feature_stages.fit(train)
-                train, valid = fitted.transform(train), fitted.transform(valid)
-            train = train.persist(StorageLevel.MEMORY_AND_DISK)
-            valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
-
-            def fit_one(j, train=train):
-                return j, estimator.fit(train, param_maps[j])
-
-            models = dict(pool.map(lambda j: fit_one(j), distinct))
-            scored = valid
-            preds = []
-            for j in distinct:
-                m = models[j].copy()
-                m.setPredictionCol(f"_pred{j}")
-                scored = m.transform(scored)
-                preds.append(f"_pred{j}")
-            values = dict(zip(distinct, metric_columns(scored, metric, label, preds)))
-            for j, pm in enumerate(param_maps):
-                log_rows.append((i, j, param_label(pm), values[first_of[key_of(pm)]]))
-            train.unpersist()
-            valid.unpersist()
+        for folds in rounds:
+            prepared = {i: prepare(i) for i in folds}
+            tasks = [(i, j) for i in folds for j in distinct]
+            models = dict(pool.map(
+                lambda ij: (ij, estimator.fit(prepared[ij[0]][0], param_maps[ij[1]])), tasks))
+            for i in folds:
+                values[i] = score(i, prepared[i][1], models)
+                prepared[i][0].unpersist()
+                prepared[i][1].unpersist()
     finally:
         pool.close()
 
+    log_rows = [(i, j, param_label(pm), values[i][first_of[key_of(pm)]])
+                for i in range(num_folds) for j, pm in enumerate(param_maps)]
     smaller = SMALLER_IS_BETTER[metric]
     avg = []
     for j in range(len(param_maps)):
@@ -153,6 +176,19 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
                     smaller)
 
 
+def _vector_width(stages: Pipeline | None) -> int:
+    """Number of assembled features (each vector stage adds that many doubles)."""
+    if stages is None:
+        return 0
+    for st in stages.getStages():
+        if hasattr(st, "getInputCols"):
+            try:
+                return len(st.getInputCols())
+            except Exception:  # noqa: BLE001
+                return 0
+    return 0
+
+
 def running_average(fit_log: DataFrame) -> DataFrame:
     """Mean metric over folds 0..i for every grid point, in fold order."""
     w = (Window.partitionBy("param_id").orderBy("fold")

@@ -110,3 +110,18 @@ def test_scaling_leaves_ols_predictions_unchanged(spark, train):
     a = raw.agg(F.sum("prediction")).first()[0]
     b = scl.agg(F.sum("prediction")).first()[0]
     assert a == pytest.approx(b, rel=1e-9)
+
+
+def test_concurrent_and_sequential_folds_agree(spark, train):
+    folded = sp.with_folds(train, C.portable_hash(), 3)
+    lr = LinearRegression(labelCol=LABEL, featuresCol=models.FEATURES)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.3]).build()
+    stages = models.feature_stages(["prim_min", "age"], scale=True)
+    logs = []
+    for mode in (True, False):
+        res = tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3, feature_stages=stages,
+                                    parallelism=3, refit=False, concurrent_folds=mode)
+        logs.append({(r.fold, r.param_id): r.metric for r in res.fit_log.collect()})
+    assert logs[0].keys() == logs[1].keys()
+    for key, value in logs[0].items():
+        assert value == pytest.approx(logs[1][key], rel=1e-12)
