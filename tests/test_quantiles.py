@@ -40,3 +40,19 @@ def test_single_row_group(spark):
     df = spark.createDataFrame([(0, 4.0)], "g int, v double")
     r = exact_quantiles(df, "v", ["g"], PROBS).first()
     assert (r.q0, r.q1, r.q2) == (4.0, 4.0, 4.0)
+
+
+def test_hot_group_refines_exactly(spark):
+    """One group holds a third of all rows with continuous values; with a
+    small ranking bound its quartiles come from several refinement levels."""
+    rng = np.random.default_rng(21)
+    hot = rng.normal(50, 10, 1500)
+    cold = rng.normal(0, 1, 3000)
+    rows = [(0, float(v)) for v in hot] + [(1 + i % 30, float(v)) for i, v in enumerate(cold)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(8)
+    got = {r.g: (r.q0, r.q1, r.q2) for r in
+           exact_quantiles(df, "v", ["g"], PROBS, buckets=8, max_rank_rows=40).collect()}
+    assert got[0] == pytest.approx(tuple(np.percentile(hot, [25, 50, 75])), rel=1e-12)
+    for g in range(1, 31):
+        vals = np.array([v for gg, v in rows if gg == g])
+        assert got[g] == pytest.approx(tuple(np.percentile(vals, [25, 50, 75])), rel=1e-12)
