@@ -409,6 +409,24 @@ def elastic_net_cv(spark, sf_dir) -> tuning.CVResult:
     return _memoized(spark, sf_dir, "elastic_net_cv", build)
 
 
+def elastic_net_cv_one_feature(spark, sf_dir) -> tuning.CVResult:
+    """The same 60-point search on one feature, through the same one-pass
+    sufficient-statistics path; small enough for an exact SQL twin."""
+    def build():
+        train, _ = train_test(spark, sf_dir)
+        folded = sp.with_folds(train, portable_hash(), 3)
+        lr, grid = elastic_net_grid()
+        points = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam])) for pm in grid]
+        return linear_gram.gram_cross_validate(
+            folded, ONE, LABEL, "fold", 3, points, [tuning.param_label(pm) for pm in grid],
+            materialize_input=False)
+    return _memoized(spark, sf_dir, "elastic_net_cv_one_feature", build)
+
+
+def q_elastic_net_fold_metrics(spark, sf_dir):
+    return rounded(elastic_net_cv_one_feature(spark, sf_dir).fit_log)
+
+
 def elastic_net_cv_spark_ml(spark, sf_dir) -> tuning.CVResult:
     """The same search through Spark ML fits (one or more scans per fit)."""
     def build():
@@ -546,6 +564,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_configs": q_topk_configs,
     "model_comparison": q_model_comparison,
     "generalisation_ratio": q_generalisation_ratio,
+    "elastic_net_fold_metrics": q_elastic_net_fold_metrics,
     "elastic_net_cv": q_elastic_net_cv,
     "elastic_net_comparison": q_elastic_net_comparison,
     "forest_rmse": q_forest_rmse,

@@ -191,6 +191,36 @@ best_test as (select sqrt(avg(power(te.bmi - case when rk.param_id = 0
                     then ff.i1 + ff.s1 * te.prim_min else ff.s0 * te.prim_min end, 2))) as rmse
               from te, full_fit ff, (select * from rk where rank = 1) rk)"""
 
+def _elastic_grid_sql() -> str:
+    """The 6 x 10 grid as a VALUES table: param_id, label, alpha, lambda."""
+    mixes = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
+    regs = [i * 0.01 for i in range(10)]
+    rows = []
+    for a_i, a in enumerate(mixes):
+        for r_i, r in enumerate(regs):
+            label = f"elasticNetParam={a:.6g} regParam={r:.6g}"
+            rows.append(f"({a_i * len(regs) + r_i}, '{label}', {a!r}E0, {r!r}E0)")
+    return "(values " + ", ".join(rows) + ") as g(param_id, label, alpha, lam)"
+
+
+# One-feature elastic net per fold, closed form on standardised moments:
+# w' = sign(q) max(|q| - l1, 0) / (1 + l2), q = cov(x, y) / sd(x),
+# l1 = lam * alpha, l2 = lam * (1 - alpha) / sd(y) (population moments).
+ELASTIC_ONE = f""", cvd as (select *, cast({HASH} % 3 as integer) as fold from tr),
+fl as (select distinct fold from cvd),
+st as (select fl.fold, avg(t.prim_min) as mx, avg(t.bmi) as my, var_pop(t.prim_min) as vx,
+         var_pop(t.bmi) as vy, covar_pop(t.prim_min, t.bmi) as cxy
+       from fl join cvd t on t.fold <> fl.fold group by fl.fold),
+fit as (select st.*, g.param_id, g.label, sqrt(vx) as sx, cxy / sqrt(vx) as q,
+          lam * alpha as l1, lam * (1 - alpha) / sqrt(vy) as l2
+        from st cross join {_elastic_grid_sql()}),
+coef as (select fold, param_id, label, mx, my,
+           sign(q) * greatest(abs(q) - l1, 0) / (1 + l2) / sx as w from fit)
+select c.fold, c.param_id, c.label as params,
+  round(sqrt(avg(power(v.bmi - ((c.my - c.w * c.mx) + c.w * v.prim_min), 2))), 6) as metric
+from cvd v join coef c on v.fold = c.fold
+group by c.fold, c.param_id, c.label"""
+
 RANK_COLS = ("param_id, params, round(avg_metric, 6) as avg_metric, "
              "round(std_metric, 6) as std_metric, round(last_fold_metric, 6) as last_fold_metric, "
              "folds, rank")
@@ -317,6 +347,7 @@ from te, f, m"""),
 select l_orderkey, activity_n, l_partkey, l_suppkey, round(i + s * prim_min, 6) as prediction,
   round(bmi - (i + s * prim_min), 6) as residual
 from te, f"""),
+    "elastic_net_fold_metrics": _edited(SPLIT + ELASTIC_ONE),
     "cv_fold_metrics_ols": _edited(SPLIT + CV + """
 select fold, param_id, params, round(metric, 6) as metric from log"""),
     "cv_running_average": _edited(SPLIT + CV + """
