@@ -260,3 +260,21 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     return score(docs, model, id_col, text_col).select(
         id_col, (crc_of_id(id_col) % 5 == 0).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that score ``threshold`` or more;
+    the model learns from the same documents as in ``classify``."""
+    model = fit(docs, labels, crc_of_id("id") % 5 != 0, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch):
+        if shared.value is not None:
+            vectors, network = shared.value
+            p = network.probability(features(batch.column(at).to_pylist(), vectors).astype(np.float64))
+            batch = batch.filter(pa.array(p >= threshold))
+        yield {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+
+    return map_batches(docs, run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))

@@ -235,3 +235,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col
     named = classes.join(ids, "root").select("fp", "component_id")
     return kept.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, of the document that stands for
+    its class: the one whose id is the class id. Rows that repeat that id leave
+    one row."""
+    classes = near_duplicates(docs, shingle, max_bits, id_col, text_col)
+    chosen = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
+        F.col(id_col).alias("chosen_id")).distinct()
+    return (docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("chosen_id")), "left_semi")
+            .dropDuplicates([id_col]))
