@@ -34,34 +34,35 @@ from surveyspark.llm.common import map_batches
 
 #: Bytes above which a word goes through the heap.
 LONG_WORD = 400
-#: Solved words kept by a task; the table is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Solved words kept by a task; a full table keeps those of the current block.
+CACHE_WORDS = 600_000
 #: Words looked up at once: bounds memory for very long texts.
 BLOCK_WORDS = 100_000
 
 #: Bytes of words merged by one recursive query.
 QUERY_BYTES = 600_000
-#: Room for positions in a row's key ``wid * KEY + pos``.
-KEY = 1 << 20
+#: Over the length of any word in the query: ``rank * SPAN + pos`` orders pairs.
+SPAN = 1024
 
-#: ``step`` holds, for each word still changing, its tokens after n contractions.
+#: ``step`` holds, for each word still changing, its tokens after n contractions,
+#: each with the id that follows it.
 MERGE_QUERY = f"""
-WITH RECURSIVE step(n, k, id) AS (
-  SELECT 0, wid::BIGINT * {KEY} + pos, id FROM start
+WITH RECURSIVE step(n, wid, pos, id, next_id) AS (
+  SELECT 0::INT, wid::INT, pos::INT, id::INT, lead(id) OVER (PARTITION BY wid ORDER BY pos)::INT FROM start
   UNION ALL
-  SELECT s.n + 1, CASE WHEN s.k > b.k THEN s.k - 1 ELSE s.k END,
-         CASE WHEN s.k = b.k THEN b.rank ELSE s.id END
-  FROM step s JOIN (
-    SELECT a.k // {KEY} AS wid, min(m.rank::BIGINT * {KEY} + a.k % {KEY}) AS least,
-           (least // {KEY})::INT AS rank, wid * {KEY} + least % {KEY} AS k
-    FROM step a JOIN step z ON z.k = a.k + 1
-    JOIN merges m ON m.pair = a.id::BIGINT * 65536 + z.id
-    GROUP BY 1) b ON s.k // {KEY} = b.wid
-  WHERE s.k <> b.k + 1
+  SELECT n + 1, wid, CASE WHEN pos > spot THEN pos - 1 ELSE pos END, CASE WHEN pos = spot THEN made ELSE id END,
+         CASE WHEN pos = spot THEN after WHEN pos = spot - 1 THEN made ELSE next_id END
+  FROM (
+    SELECT s.n, s.wid, s.pos, s.id, s.next_id, least % {SPAN} AS spot, least // {SPAN} AS made, gone.next_id AS after
+    FROM step s
+    JOIN (SELECT p.wid, min(m.rank * {SPAN} + p.pos)::INT AS least
+          FROM step p JOIN merges m ON m.pair = p.id::BIGINT * 65536 + p.next_id
+          GROUP BY p.wid) best ON best.wid = s.wid
+    JOIN step gone ON gone.wid = best.wid AND gone.pos = least % {SPAN} + 1)
+  WHERE pos <> spot + 1
 )
-SELECT (k // {KEY})::INT AS wid, (k % {KEY})::INT AS pos, id
-FROM step JOIN (SELECT k // {KEY} AS wid, max(n) AS n FROM step GROUP BY 1) ends
-  ON ends.wid = k // {KEY} AND ends.n = step.n
+SELECT step.wid, pos, id
+FROM step JOIN (SELECT wid, max(n) AS n FROM step GROUP BY wid) ends ON ends.wid = step.wid AND ends.n = step.n
 """
 
 DECODE_QUERY = """
@@ -174,13 +175,12 @@ class WordCoder:
         return data
 
     def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in set(words) if w not in self.solved]
-        if not new:
-            return
-        if len(self.solved) + len(new) > CACHE_WORDS:
-            self.solved.clear()
-            new = list(set(words))
-        self._solve(new)
+        wanted = set(words)
+        new = [w for w in wanted if w not in self.solved]
+        if len(self.solved) + len(new) > CACHE_WORDS:  # keep what this block needs
+            self.solved = {w: self.solved[w] for w in wanted if w in self.solved}
+        if new:
+            self._solve(new)
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The words of a text in blocks; long texts are not split at once."""
