@@ -46,12 +46,14 @@ _BYTE = np.zeros(256, bool)
 _BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(PIECE + 2, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
 
-_POWERS = np.cumprod(np.concatenate(([1], np.full(PIECE * 2, 0x100000001B3, np.uint64))).astype(np.uint64))
-_BACK = np.cumprod(np.concatenate(([1], np.full(PIECE * 2, _inverse(0x100000001B3), np.uint64))).astype(np.uint64))
+_PRIME = 0x100000001B3
+_POWERS, _BACK = _powers(_PRIME), _powers(pow(_PRIME, -1, 1 << 64))
 
 
 def word_hashes(data: bytes) -> np.ndarray:

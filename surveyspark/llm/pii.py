@@ -93,7 +93,7 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
         low = F.floor(n / 2).cast("int")
         a, b = (F.pow(_lit(10.0), n - low).cast("long"), F.pow(_lit(10.0), low).cast("long"))
         number = d.cast("long")
-        mixed = feistel(F.floor(number / b) if False else (number - number % b) / b, number % b, a, b, key, kind, n)
+        mixed = feistel((number - number % b) / b, number % b, a, b, key, kind, n)
         return _let(mixed, lambda m: F.lpad((m["l"] * b + m["r"]).cast("string"), n, "0"))
 
     return _let(digits, of)
@@ -224,7 +224,8 @@ def secret(m: Column, key: str) -> Column:
         n = F.length(m) - F.length(prefix)
         digest = _digest(key, "secret", F.lower(m))
         new = F.substr(F.repeat(digest, F.ceil(n / 64).cast("int")), _lit(1), n)
-        return F.concat(prefix, F.when(m == F.upper(m), F.upper(new)).otherwise(new))
+        return F.concat(prefix, F.when(m.rlike("^[0-9]+$"), F.translate(new, "abcdef", "012345"))
+                        .when(m == F.upper(m), F.upper(new)).otherwise(new))
 
     return _let(F.regexp_extract(m, "^(gh[pousr]_|sk-|AKIA|ASIA)", 1), of)
 

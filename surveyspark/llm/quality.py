@@ -16,8 +16,8 @@ the input) is broadcast.
 
 Edge cases: a null text is an empty one and gets the score of empty texts;
 labels that are null are ignored, several labels of one id are averaged; with
-no labels every score is 0.5, with labels of one class the network still runs
-and tends to that class. Label columns, language, source and id are never
+no labels every score is 0.5, with labels of one class every score is that
+class's smoothed share. Label columns, language, source and id are never
 inputs.
 """
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from operator import eq
 from zlib import crc32
@@ -165,6 +165,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
     tx, ty = (x[~held], y[~held])
     net = Network(tx.mean(0), tx.std(0) + 1e-3, rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)),
                   np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), 0.0)
+    if y.min() == y.max():
+        return replace(net, w2=np.zeros(HIDDEN), b2=float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
     z = (tx - net.mean) / net.scale
     params = [net.w1, net.b1, net.w2, np.zeros(1)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0

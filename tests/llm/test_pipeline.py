@@ -1,0 +1,105 @@
+import hashlib
+import importlib.util
+import random
+import subprocess
+import sys
+
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline
+from surveyspark.llm import bpe, quality
+from tests.llm.test_decontaminate import plain as plain_contained
+from tests.llm.test_simhash import plain_classes, plain_fingerprint
+
+ROOT = corpus_pipeline.__file__.rsplit("/", 1)[0]
+
+
+def folder(spark, path):
+    rng = random.Random(8)
+    words = [f"wort{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choices(words, k=20))) for i in range(4)]
+    docs, labels = [], []
+    for i in range(160):
+        text = " ".join(rng.choices(words, k=rng.randrange(20, 150)))
+        if i % 4 == 1:
+            text = text.upper().replace(" ", "!! ")
+        if i % 10 == 3:
+            text = docs[rng.randrange(len(docs))][1] if docs else text
+        if i % 11 == 5:
+            text += " " + items[i % 4][1]
+        if i % 13 == 6:
+            text += " mail jo.12@mail3.example.com now"
+        docs.append((i, text, "de", "s", len(text)))
+        labels.append((i, int("!!" not in text), 0))
+    docs += [(400, None, "de", "s", None), (401, "", None, None, 0), docs[0]]
+    for name, rows, schema in (
+            ("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"),
+            ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return items
+
+
+def test_stages_against_brute_force(spark, scratch):
+    items = folder(spark, scratch)
+    docs = spark.read.parquet(f"{scratch}/documents.parquet")
+    columns, before = docs.columns, docs.collect()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "pseudonymise", "tokenize"]
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, scratch).write.parquet(f"{scratch}/stage{number}")
+        docs = spark.read.parquet(f"{scratch}/stage{number}")
+        after = docs.collect()
+        if number < 4:
+            assert docs.columns == columns
+        if name == "quality":
+            scores = quality.score(spark.read.parquet(f"{scratch}/documents.parquet"),
+                                   quality.fit(spark.read.parquet(f"{scratch}/documents.parquet"),
+                                               spark.read.parquet(f"{scratch}/labels.parquet"),
+                                               quality.crc_of_id("id") % 5 != 0)).collect()
+            good = {r["doc_id"] for r in scores if r["score"] >= 0.3}
+            assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before if r["doc_id"] in good)
+            assert not any("!!" in (r["text"] or "") for r in after) and len(after) > 100
+        elif name == "near_duplicates":
+            classes = plain_classes({plain_fingerprint(r["text"]) for r in before})
+            least = {}
+            for r in before:
+                c = classes[plain_fingerprint(r["text"])]
+                least[c] = min(r["doc_id"], least.get(c, r["doc_id"]))
+            assert sorted(r["doc_id"] for r in after) == sorted(least.values()) and len(after) < len(before) - 5
+        elif name == "decontaminate":
+            hit = {k[0] for k in plain_contained([(r["doc_id"], r["text"]) for r in before], items)}
+            assert hit and {r["doc_id"] for r in after} == {r["doc_id"] for r in before} - hit
+        elif name == "pseudonymise":
+            assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
+            assert not any("@mail3" in (r["text"] or "") for r in after) and any("@mail3" in (r["text"] or "") for r in before)
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in after)
+            same = {r["doc_id"]: r["text"] for r in before if "@" not in (r["text"] or "")}
+            assert all(r["text"] == same[r["doc_id"]] for r in after if r["doc_id"] in same)
+        else:
+            coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                      mergeable_ranks=bpe.read_ranks(corpus_pipeline.RANKS))
+            texts = {r["doc_id"]: r["text"] or "" for r in before}
+            assert len(after) == len(texts)
+            for r in after:
+                ids = coder.encode_ordinary(texts[r["doc_id"]])
+                assert r["n_tokens"] == len(ids)
+                assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        before = after
+    assert sorted(corpus_pipeline.run(spark, scratch).collect()) == sorted(before)
+
+
+def test_entry_has_all_queries():
+    import __spark_entry__ as entry
+
+    names = set(entry.queries())
+    assert {"pipeline"} <= names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_entry_works_without_the_optional_files(scratch):
+    """The other queries import when these folders are absent."""
+    code = ("import sys, importlib.util as u; real = u.find_spec; "
+            "u.find_spec = lambda n, *a: None if n.startswith(('surveyspark.llm', 'corpus_pipeline')) else real(n, *a); "
+            f"sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; "
+            "assert e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())")
+    assert importlib.util.find_spec("corpus_pipeline")
+    subprocess.run([sys.executable, "-c", code], check=True)
