@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_index, bin_label, bin_lower, bin_upper
-from ..plans import bounded_broadcast, materialize
 from .profiling import value_counts
 from .quantiles import exact_quantiles
 
@@ -48,7 +47,7 @@ def with_bins(df: DataFrame, column: str, n: int, labels: Sequence[str] | None =
     sentinels included, as in the analysed notebook.
 
     The range is fetched first (one aggregate, two numbers) and enters the
-    row expressions as constants; the input is read twice, so materialize an
+    row expressions as constants; the input is read twice, so write an
     expensive input first.
     """
     lo_v, hi_v = value_range(df, column, exclude)
@@ -81,7 +80,7 @@ def histogram(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     frame = (df.sparkSession.range(1, n + 1, numPartitions=1)
              .select(F.col("id").cast("int").alias("bin")))
     b = F.col("bin")
-    return (frame.join(bounded_broadcast(counts, n), "bin", "left")
+    return (frame.join(F.broadcast(counts), "bin", "left")   # at most n rows
                  .select("bin", bin_lower(b, lo, hi, n).alias("bin_lo"),
                          bin_upper(b, lo, hi, n).alias("bin_hi"),
                          F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
@@ -95,108 +94,105 @@ def box_stats(df: DataFrame, value: str, groups: str | Sequence[str],
     ``whisker * IQR`` of the box and never into it; outliers are the values
     beyond the whiskers. Rows with a missing group or value are left out.
 
-    Plan: values are first counted per ``(group, value)`` -- a shuffle keyed
-    on both, so a group holding a third of all rows is still spread over
-    many tasks. Quartiles come from ``quantiles.exact_quantiles`` over those
-    counts (interval refinement; no task holds a whole group), and the
-    per-group summary (one row per group, written and counted) is broadcast
-    back to the counted values to place the whiskers when that count is
-    within the broadcast bound.
+    Plan: one map-side aggregate for count, sum and range, the passes of
+    ``quantiles.exact_quantiles`` for the quartiles, and one more aggregate that
+    places the whiskers, over rows joined with their group's fences (one row per
+    group). Only partial aggregates are shuffled; no task holds a group. The
+    input is read again by each pass, so write an expensive one first.
     """
     gcols = [groups] if isinstance(groups, str) else list(groups)
-    v = F.col(value)
-    valid = v.isNotNull()
-    for g in gcols:
-        valid = valid & F.col(g).isNotNull()
-    # counted once and written: quartiles, summary and whiskers all read it
-    counted = materialize(df.where(valid).groupBy(*gcols, value)
-                            .agg(F.count(F.lit(1)).alias("_w")))
-    w = F.col("_w")
-    quarts = exact_quantiles(counted, value, gcols, [0.25, 0.5, 0.75], weight="_w",
-                             names=["q1", "median", "q3"], materialize_input=False)
-    summary = materialize(counted.groupBy(*gcols)
-                          .agg(F.sum(w).alias("n"), (F.sum(v * w) / F.sum(w)).alias("mean"),
-                               F.min(v).alias("min"), F.max(v).alias("max"))
-                          .join(quarts, gcols)
-                          .select(*gcols, "n", "mean", "q1", "median", "q3", "min", "max"))
-    q1, q3 = F.col("q1"), F.col("q3")
-    lo_fence = q1 - F.lit(whisker) * (q3 - q1)
-    hi_fence = q3 + F.lit(whisker) * (q3 - q1)
-    # one summary row per group, counted: broadcast within the bound, so a
-    # hot group's values are never gathered into one join partition
-    reach = (counted.join(bounded_broadcast(summary, summary.count()), gcols)
-             .groupBy(*gcols, "n", "mean", "q1", "median", "q3", "min", "max")
-             .agg(F.min(F.when(v >= lo_fence, v)).alias("_wlo"),
-                  F.max(F.when(v <= hi_fence, v)).alias("_whi"),
-                  F.sum(F.when((v < lo_fence) | (v > hi_fence), w).otherwise(0))
-                   .alias("n_outliers")))
-    wlo, whi = F.col("_wlo"), F.col("_whi")
-    return reach.select(
-        *gcols, "n", "mean", "q1", "median", "q3", (q3 - q1).alias("iqr"),
+    g = [f"_g{i}" for i in range(len(gcols))]
+    src = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(gcols, g)],
+                    F.col(f"`{value}`").cast("double").alias("_x")).dropna()
+    x = F.col("_x")
+    quarts = exact_quantiles(src, "_x", g, [0.25, 0.5, 0.75], names=["_q1", "_q2", "_q3"])
+    moments = src.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_mean"),
+                                  F.min(x).alias("_min"), F.max(x).alias("_max"))
+    reach_of = F.lit(whisker) * (F.col("_q3") - F.col("_q1"))
+    fences = quarts.select(*g, (F.col("_q1") - reach_of).alias("_lo"), (F.col("_q3") + reach_of).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    reach = (src.join(fences, g).groupBy(*g)
+                .agg(F.min(F.when(x >= lo, x)).alias("_wlo"), F.max(F.when(x <= hi, x)).alias("_whi"),
+                     F.count_if((x < lo) | (x > hi)).alias("_out")))
+    q1, q3, wlo, whi = (F.col(c) for c in ("_q1", "_q3", "_wlo", "_whi"))
+    return moments.join(quarts, g).join(reach, g).select(
+        *[F.col(a).alias(c) for c, a in zip(gcols, g)], F.col("_n").alias("n"), F.col("_mean").alias("mean"),
+        q1.alias("q1"), F.col("_q2").alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"),
         F.when(wlo.isNull() | (wlo > q1), q1).otherwise(wlo).alias("whislo"),
         F.when(whi.isNull() | (whi < q3), q3).otherwise(whi).alias("whishi"),
-        F.col("n_outliers").cast("bigint").alias("n_outliers"), "min", "max")
+        F.col("_out").cast("bigint").alias("n_outliers"), F.col("_min").alias("min"), F.col("_max").alias("max"))
 
 
 def joint_histogram(df: DataFrame, x: str, y: str, nx: int = 10, ny: int = 10) -> DataFrame:
-    """Counts over an ``nx`` x ``ny`` grid of equal-width bins (non-empty cells)."""
-    src = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
-    r = src.agg(F.min(xd).alias("xlo"), F.max(xd).alias("xhi"),
-                F.min(yd).alias("ylo"), F.max(yd).alias("yhi")).first()
+    """Counts over an ``nx`` x ``ny`` grid of equal-width bins (non-empty cells),
+    with each cell's marginal counts and the Pearson correlation of the rows.
+
+    Two passes: ranges and correlation (one row, constants below), then the
+    cells; marginals are sums over at most ``nx * ny`` cells.
+    """
+    src = df.select(F.col(f"`{x}`").cast("double").alias("_x"), F.col(f"`{y}`").cast("double").alias("_y")).dropna()
+    xd, yd = F.col("_x"), F.col("_y")
+    r = src.agg(F.min(xd).alias("xlo"), F.max(xd).alias("xhi"), F.min(yd).alias("ylo"),
+                F.max(yd).alias("yhi"), F.corr(xd, yd).alias("r")).first()
     bx = bin_index(xd, _lit(r["xlo"]), _lit(r["xhi"]), nx)
     by = bin_index(yd, _lit(r["ylo"]), _lit(r["yhi"]), ny)
-    return (src.select(bx.alias("bin_x"), by.alias("bin_y"))
-               .groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n")))
+    cells = (src.select(bx.alias("bin_x"), by.alias("bin_y"))
+                .groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n")))
+    return cells.select("*", F.sum("n").over(Window.partitionBy("bin_x")).alias("n_x"),
+                        F.sum("n").over(Window.partitionBy("bin_y")).alias("n_y"), _lit(r["r"]).alias("corr"))
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair ``i < j``.
-
-    Two passes: the first (an action returning ``k`` means and non-null
-    counts) finds a centring shift; the second sums centred cross-products,
-    ``k (k+1) / 2`` plain ``sum`` aggregates that stay in generated code,
-    and the correlations are arithmetic on that one aggregated row. A wide
-    ``corr`` aggregate per pair is several times slower. When a column has
-    missing values, pairwise deletion changes the rows behind each pair, so
-    the per-pair ``corr`` aggregate is used instead (``correlation_pairs_long``).
+def column_histograms(df: DataFrame, columns: Sequence[str], n: int = 10) -> DataFrame:
+    """``column_name, bin, bin_lo, bin_hi, n`` for every column (non-empty bins),
+    as the diagonal of the pairwise view.
+
+    Two passes for any number of columns: all ranges, then all counts; rows are
+    turned long within the task and combined before the shuffle.
     """
     cols = list(columns)
-    x = [F.col(c).cast("double") for c in cols]
-    first = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.avg(e).alias(f"m{i}") for i, e in enumerate(x)],
-                   *[F.count(e).alias(f"c{i}") for i, e in enumerate(x)]).first()
-    n = first["n"]
-    if n == 0 or any(first[f"c{i}"] != n for i in range(len(cols))):
-        return correlation_pairs_long(df, cols)
-    d = [e - F.lit(float(first[f"m{i}"])) for i, e in enumerate(x)]
-    k = len(cols)
-    sums = df.agg(*[F.sum(d[i]).alias(f"s{i}") for i in range(k)],
-                  *[F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)])
-    # one row per pair holding plain references, then one expression for all
-    pairs = [F.struct(F.lit(cols[i]).alias("col_x"), F.lit(cols[j]).alias("col_y"),
-                      F.col(f"p{i}_{j}").alias("pxy"), F.col(f"p{i}_{i}").alias("pxx"),
-                      F.col(f"p{j}_{j}").alias("pyy"), F.col(f"s{i}").alias("sx"),
-                      F.col(f"s{j}").alias("sy"))
-             for i in range(k) for j in range(i + 1, k)]
-    nn = F.lit(float(n))
-    cxy = F.col("pxy") - F.col("sx") * F.col("sy") / nn
-    cxx = F.col("pxx") - F.col("sx") * F.col("sx") / nn
-    cyy = F.col("pyy") - F.col("sy") * F.col("sy") / nn
-    den = F.sqrt(cxx * cyy)
-    return (sums.select(F.inline(F.array(*pairs)))
-                .select("col_x", "col_y", F.when(den > 0, cxy / den).alias("corr")))
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    r = df.agg(*[F.min(e).alias(f"lo{i}") for i, e in enumerate(x)],
+               *[F.max(e).alias(f"hi{i}") for i, e in enumerate(x)]).first()
+    ends = [(_lit(r[f"lo{i}"]), _lit(r[f"hi{i}"])) for i in range(len(cols))]
+    bins = F.array(*[F.struct(F.lit(i).alias("i"), bin_index(e, lo, hi, n).alias("bin"))
+                     for i, (e, (lo, hi)) in enumerate(zip(x, ends))])
+    counts = (df.select(F.inline(bins)).where(F.col("bin").isNotNull())
+                .groupBy("i", "bin").agg(F.count(F.lit(1)).alias("n")))
+    at = F.col("i") + 1
+    lo, hi = (F.element_at(F.array(*[e[k] for e in ends]), at) for k in (0, 1))
+    b = F.col("bin")
+    return counts.select(F.element_at(F.array(*map(F.lit, cols)), at).alias("column_name"), "bin",
+                         bin_lower(b, lo, hi, n).alias("bin_lo"), bin_upper(b, lo, hi, n).alias("bin_hi"), "n")
+
 
+def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair ``i < j`` over the rows where both
+    columns hold a value.
 
-def correlation_pairs_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per-pair ``corr`` over ``(pair, x, y)`` rows: exact pairwise deletion
-    of missing values, one small aggregate grouped by pair."""
+    Two passes: the first (an action returning ``k`` means) finds a centring
+    shift; the second is one wide map-side aggregate of six sums per pair, each
+    over the pair's own rows, so missing values need no other path. Null for
+    pairs without spread.
+    """
     cols = list(columns)
-    structs = [F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
-                        F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-               for i, a in enumerate(cols) for b in cols[i + 1:]]
-    return (df.select(F.inline(F.array(*structs)))
-              .groupBy("col_x", "col_y").agg(F.corr("x", "y").alias("corr")))
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    means = df.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(x)]).first()
+    d = [e - F.lit(float(means[f"m{i}"] or 0.0)) for i, e in enumerate(x)]
+    pairs, aggs = [], []
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            both = d[i].isNotNull() & d[j].isNotNull()
+            terms = {"n": F.lit(1.0), "sx": d[i], "sy": d[j], "pxy": d[i] * d[j], "pxx": d[i] * d[i], "pyy": d[j] * d[j]}
+            aggs += [F.sum(F.when(both, t)).alias(f"{name}_{i}_{j}") for name, t in terms.items()]
+            pairs.append(F.struct(F.lit(cols[i]).alias("col_x"), F.lit(cols[j]).alias("col_y"),
+                                  *[F.col(f"{name}_{i}_{j}").alias(name) for name in terms]))
+    n = F.col("n")
+    cxy = F.col("pxy") - F.col("sx") * F.col("sy") / n
+    cxx = F.col("pxx") - F.col("sx") * F.col("sx") / n
+    cyy = F.col("pyy") - F.col("sy") * F.col("sy") / n
+    den = F.sqrt(cxx * cyy)
+    return (df.agg(*aggs).select(F.inline(F.array(*pairs)))
+              .select("col_x", "col_y", F.when(den > 0, cxy / den).alias("corr")))
 
 
 def top_values(df: DataFrame, column: str, k: int = 25, dropna: bool = False) -> DataFrame:
@@ -212,5 +208,5 @@ def rows_with_top_values(df: DataFrame, column: str, k: int = 25) -> DataFrame:
     the most frequent (the list keeps them), missing rows are kept too, as a
     frame ``isin`` over that list does.
     """
-    top = bounded_broadcast(top_values(df, column, k).select(F.col(column).alias("_top")), k)
+    top = F.broadcast(top_values(df, column, k).select(F.col(column).alias("_top")))  # k rows
     return df.join(top, F.col(column).eqNullSafe(F.col("_top")), "left_semi")

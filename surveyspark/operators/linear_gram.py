@@ -23,10 +23,10 @@ standard deviation::
     l1 = regParam * elasticNetParam
     l2 = regParam * (1 - elasticNetParam) / sigma_y
 
-solved to convergence by cyclic coordinate descent. Spark ML stops its
-L1 solver after ``maxIter`` iterations; this path returns the converged
-optimum, so at small ``maxIter`` the two can differ slightly on L1 points
-(L2-only points are closed-form and agree).
+solved to convergence by cyclic coordinate descent (an error if it does not
+converge). Missing values are refused, as the assembler does; so are folds
+without rows. Refit the chosen point to convergence too, so that selection and
+final model solve the same problem.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import materialize
 from .tuning import FIT_LOG_SCHEMA, CVResult
 
 
@@ -52,8 +51,14 @@ def fold_statistics(df: DataFrame, features: Sequence[str], label: str, fold_col
     """
     cols = list(features) + [label]
     k = len(cols)
-    shift_row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}")
-                         for i, c in enumerate(cols)]).first()
+    shift_row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                       *[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(f"z{i}")
+                         for i, c in enumerate(cols)], F.count(F.lit(1)).alias("n")).first()
+    invalid = [c for i, c in enumerate(cols) if shift_row[f"z{i}"]]
+    if invalid:
+        raise ValueError(f"missing values in {', '.join(invalid)}: drop or fill them first")
+    if not shift_row["n"]:
+        raise ValueError("no rows to fit")
     shift = np.array([float(shift_row[f"m{i}"]) for i in range(k)])
     centred = [(F.col(c).cast("double") - F.lit(shift[i])) for i, c in enumerate(cols)]
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -114,6 +119,8 @@ def solve_elastic_net(n: float, s: np.ndarray, c: np.ndarray, reg: float, mix: f
                 w[j] = new
             if delta < tol:
                 break
+        else:
+            raise ArithmeticError(f"no convergence in {max_sweeps} sweeps (reg={reg}, mix={mix})")
     coef = np.where(active, w / np.where(sd[:p] > 0, sd[:p], 1.0), 0.0)
     intercept = mean[p] - coef @ mean[:p]
     return intercept, coef
@@ -128,8 +135,7 @@ def sse(n: float, s: np.ndarray, c: np.ndarray, intercept: float, coef: np.ndarr
 
 def gram_cross_validate(df: DataFrame, features: Sequence[str], label: str, fold_col: str,
                         num_folds: int, grid: Sequence[tuple[float, float]],
-                        labels: Sequence[str], refit=None,
-                        materialize_input: bool = True) -> CVResult:
+                        labels: Sequence[str], refit=None) -> CVResult:
     """RMSE cross-validation of ``(regParam, elasticNetParam)`` points.
 
     ``labels`` name the grid points in the fit log. ``refit`` (optional)
@@ -138,16 +144,17 @@ def gram_cross_validate(df: DataFrame, features: Sequence[str], label: str, fold
     """
     spark = df.sparkSession
     data = df.select(*features, label, fold_col)
-    if materialize_input:
-        data = materialize(data)
     _, per_fold = fold_statistics(data, features, label, fold_col)
+    absent = [f for f in range(num_folds) if f not in per_fold]
+    if absent or len(per_fold) < 2:
+        raise ValueError(f"folds without rows: {absent}")
     total_n = sum(v[0] for v in per_fold.values())
     total_s = sum(v[1] for v in per_fold.values())
     total_c = sum(v[2] for v in per_fold.values())
     rows = []
     solved: dict[tuple, tuple] = {}
     for f in range(num_folds):
-        vn, vs, vc = per_fold.get(f, (0.0, np.zeros_like(total_s), np.zeros_like(total_c)))
+        vn, vs, vc = per_fold[f]
         tn, ts, tc = total_n - vn, total_s - vs, total_c - vc
         for j, (reg, mix) in enumerate(grid):
             key = (f, reg, 0.0 if reg == 0 else mix)
@@ -155,12 +162,10 @@ def gram_cross_validate(df: DataFrame, features: Sequence[str], label: str, fold
                 b0, w = solve_elastic_net(tn, ts, tc, reg, mix)
                 solved[key] = (b0, w)
             b0, w = solved[key]
-            rmse = float(np.sqrt(max(sse(vn, vs, vc, b0, w), 0.0) / vn)) if vn else float("nan")
+            rmse = float(np.sqrt(max(sse(vn, vs, vc, b0, w), 0.0) / vn))
             rows.append((f, j, labels[j], rmse))
     avg = [float(np.mean([r[3] for r in rows if r[1] == j])) for j in range(len(grid))]
     best = min(range(len(avg)), key=lambda j: (avg[j], j))
     model = refit(grid[best]) if refit else None
     fit_log = spark.createDataFrame(rows, FIT_LOG_SCHEMA)
-    if materialize_input and data.is_cached:
-        data.unpersist()
     return CVResult(fit_log, avg, best, labels[best], model, "rmse", True)

@@ -53,17 +53,17 @@ def linear_stage(label: str, features_col: str = SCALED, max_iter: int = 5,
 
 
 def scaled_linear(label: str, features: Sequence[str], max_iter: int = 5,
-                  reg_param: float = 0.0, elastic_net: float = 0.0) -> Pipeline:
+                  reg_param: float = 0.0, elastic_net: float = 0.0, tol: float = 1e-6) -> Pipeline:
     return Pipeline(stages=[assembler(features), scaler(),
-                            linear_stage(label, SCALED, max_iter, reg_param, elastic_net)])
+                            linear_stage(label, SCALED, max_iter, reg_param, elastic_net).setTol(tol)])
 
 
 def forest_stage(label: str, features_col: str = SCALED, seed: int = 42, num_trees: int = 20,
-                 max_depth: int = 5) -> RandomForestRegressor:
+                 max_depth: int = 5, max_bins: int = 32) -> RandomForestRegressor:
     """Random forest; the seed is always explicit (the library default is
     derived from a class-name hash and is not stable across processes)."""
     return RandomForestRegressor(labelCol=label, featuresCol=features_col, seed=seed,
-                                 numTrees=num_trees, maxDepth=max_depth)
+                                 numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins)
 
 
 def forest(label: str, features: Sequence[str], seed: int = 42, num_trees: int = 20,

@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import bounded_broadcast, materialize
 from .quantiles import exact_quantiles
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -51,13 +50,11 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
                      exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """count, mean, sample std, min, quartiles, max for every numeric column.
 
-    One pass over the data: values are unpivoted and counted per
-    ``(column, value)`` (written once). Moments come from those counts --
-    the mean from weighted sums, then the sample std from centred weighted
-    squares -- and exact quartiles (linear interpolation between order
-    statistics) from ``quantiles.exact_quantiles``, which never holds a whole
-    column in one task. ``exact=False`` uses the one-pass
-    ``percentile_approx`` sketch on the raw values instead.
+    Moments are one map-side aggregate over the wide rows; exact quartiles
+    (linear interpolation between order statistics) come from
+    ``quantiles.exact_quantiles``, whose passes shuffle bucket counts per column,
+    never values. The input is read again by each pass, so write an expensive one
+    first. ``exact=False`` uses the one-pass ``percentile_approx`` sketch instead.
     """
     cols = list(columns) if columns else numeric_columns(df)
     v = F.col("value")
@@ -71,26 +68,14 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
             F.percentile_approx(v, probs, accuracy).alias("q"))
         return out.select(*keys, "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
                           F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
-    counted = materialize(long.where(v.isNotNull()).groupBy(*keys, "value")
-                              .agg(F.count(F.lit(1)).alias("_w")))
-    w = F.col("_w")
-    first = counted.groupBy(*keys).agg(F.sum(w).alias("count"),
-                                       (F.sum(v * w) / F.sum(w)).alias("mean"),
-                                       F.min(v).alias("min"), F.max(v).alias("max"))
-    # one row per column: a broadcast bounded by the column count
-    spread = (counted.join(bounded_broadcast(first.select(*keys, "mean"), len(cols)), keys)
-                     .groupBy(*keys)
-                     .agg(F.sum(w * F.pow(v - F.col("mean"), F.lit(2))).alias("_ss")))
-    quarts = exact_quantiles(counted, "value", keys, [0.25, 0.5, 0.75], weight="_w",
-                             names=["p25", "p50", "p75"], materialize_input=False)
-    frame = df.sparkSession.createDataFrame(list(enumerate(cols)),
-                                            "position int, column_name string")
-    n = F.col("count")
-    std = F.when(n > 1, F.sqrt(F.col("_ss") / (n - 1)))
-    return (frame.join(first, keys, "left").join(spread, keys, "left")
-                 .join(quarts, keys, "left")
-                 .select(*keys, F.coalesce(n, F.lit(0)).cast("bigint").alias("count"), "mean",
-                         std.alias("std"), "min", "p25", "p50", "p75", "max"))
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    stats = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.count(e).alias("count"),
+                               F.avg(e).alias("mean"), F.stddev_samp(e).alias("std"), F.min(e).alias("min"),
+                               F.max(e).alias("max")) for i, (c, e) in enumerate(zip(cols, x))])
+    moments = df.agg(stats.alias("s")).select(F.inline("s"))
+    quarts = exact_quantiles(long, "value", ["position"], [0.25, 0.5, 0.75], names=["p25", "p50", "p75"])
+    return (moments.join(quarts, "position", "left")
+                   .select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 def value_counts(df: DataFrame, column: str, dropna: bool = True,

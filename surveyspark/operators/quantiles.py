@@ -8,138 +8,106 @@ order statistics behind each quantile are found by interval refinement:
    needs the values at 0-based ranks ``floor(p (n-1))`` and the next one
    (linear interpolation, as ``quantile_cont`` / ``numpy.percentile``);
 2. each target rank keeps a value interval ``[lo, hi]`` known to contain it
-   and the weight below ``lo``; one pass counts the rows of each interval
-   in ``buckets`` equal-width sub-buckets (keyed by target and bucket, so a
-   hot group spreads over many tasks), and the bucket holding the rank,
+   and the weight below ``lo``; one pass counts the rows of each interval in
+   at most ``buckets`` sub-buckets (partial sums map-side, so only bucket
+   counts are shuffled, never values), and the bucket holding the rank,
    shrunk to its own min/max, becomes the new interval;
-3. once an interval holds at most ``max_rank_rows`` rows (or a single
-   value), its rows are ranked in one small window partition.
-
-When every group already has at most ``max_rank_rows`` (distinct, if
-weighted) rows -- measured by one small aggregate -- a single
-``percentile`` aggregate with frequencies is used: its per-group buffer is
-then bounded by that measured size.
-
-Every pass returns only per-target state (groups x 2 x quantiles rows),
-written to the checkpoint directory to keep lineage short; that state is
-counted and broadcast to the data rows when within the broadcast bound, so
-hot groups are never gathered into one join partition. Inputs may carry
-a weight column (rows already counted per value).
+3. a target is done when its interval is a single value.
+
+Buckets split by sign while an interval spans zero, by logarithm while its
+ends differ by more than ``LINEAR_RATIO``, and by equal width below that, so
+any doubles need one sign pass, about two logarithmic and at most seven linear
+ones with 1,024 buckets: there is one path, it always ends, and nothing is
+ranked.
+
+Every pass reads ``df`` again, narrowed to the group, value and weight columns
+(cheap over a written table), and leaves only per-target state (groups x 2 x
+quantiles rows), written so that lineage stays short and removed when the next
+one stands. The join of rows with their group's intervals is left to the
+optimizer: the interval side is small and broadcast once AQE has measured it, and
+an ordinary, skew-splittable join otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import bounded_broadcast, materialize
+from ..plans import drop_written, written
+
+LINEAR_RATIO = 1024.0
+
+
+def _bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
+    """Sub-bucket of ``v`` in ``[lo, hi]``; never decreasing in ``v``."""
+    last = F.lit(buckets - 1)
+    small, large = F.least(F.abs(lo), F.abs(hi)), F.greatest(F.abs(lo), F.abs(hi))
+    span = F.log2(F.abs(hi)) - F.log2(F.abs(lo))     # negative below zero, as v moves
+    logarithmic = F.floor((F.log2(F.abs(v)) - F.log2(F.abs(lo))) / span * buckets)
+    linear = F.floor((v - lo) / (hi - lo) * buckets)  # one sign here, so hi - lo is finite
+    return (F.when((lo < 0) & (hi > 0) | (small == 0), F.signum(v) + 1)
+             .when(large / LINEAR_RATIO > small, F.least(F.greatest(logarithmic, F.lit(0)), last))
+             .otherwise(F.least(linear, last))).cast("int")
 
 
 def exact_quantiles(df: DataFrame, value: str, groups: Sequence[str], probs: Sequence[float],
                     weight: str | None = None, buckets: int = 1024,
-                    max_rank_rows: int = 50_000, max_levels: int = 32,
-                    names: Sequence[str] | None = None,
-                    materialize_input: bool = True) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """``groups`` + one column per probability (``q0, q1, ...`` or ``names``).
 
-    ``materialize_input=False`` when ``df`` already reads a written table.
+    Missing values and groups are left out; NaN counts as missing.
     """
-    gcols = list(groups)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    valid = F.col(value).isNotNull()
-    for g in gcols:
-        valid = valid & F.col(g).isNotNull()
-    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    # narrow (groups, value, weight) rows, written once: every pass reads them
-    base = df.where(valid).select(*gcols, F.col(value).cast("double").alias("_v"),
-                                  w.alias("_w"))
-    if materialize_input:
-        base = materialize(base)
-    stats = base.groupBy(*gcols).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_min"),
-                                     F.max("_v").alias("_max"), F.count(F.lit(1)).alias("_rows"))
-    largest = stats.agg(F.max("_rows")).first()[0] or 0
-    if largest <= max_rank_rows:
-        # every group has few distinct rows: one percentile aggregate whose
-        # per-group buffer is bounded by that measured size
-        probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-        q = base.groupBy(*gcols).agg(F.percentile(F.col("_v"), probs_arr, F.col("_w")).alias("_q"))
-        return q.select(*gcols, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    g = [f"_g{i}" for i in range(len(groups))]
+    w = F.col(f"`{weight}`").cast("long") if weight else F.lit(1).cast("long")
+    base = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(groups, g)],
+                     F.col(f"`{value}`").cast("double").alias("_v"), w.alias("_w")).dropna()
+    base = base.withColumn("_v", F.col("_v") + F.lit(0.0))   # one zero
+    stats = written(base.groupBy(*g).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_min"),
+                                         F.max("_v").alias("_max")))
     targets = []
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
-        k = F.floor(pos).cast("long")
+        k = F.floor(F.lit(float(p)) * (F.col("_n") - 1).cast("double")).cast("long")
         targets.append(F.struct(F.lit(2 * i).alias("_t"), k.alias("_rank")))
         targets.append(F.struct(F.lit(2 * i + 1).alias("_t"),
                                 F.least(k + 1, F.col("_n") - 1).alias("_rank")))
-    state = (stats.select(*gcols, "_n", "_min", "_max", F.inline(F.array(*targets)))
-                  .select(*gcols, "_t", "_rank", F.col("_min").alias("_lo"),
-                          F.col("_max").alias("_hi"), F.lit(0).cast("long").alias("_below"),
-                          F.col("_n").alias("_cnt"),
-                          F.when(F.col("_min") == F.col("_max"), F.col("_min")).alias("_val")))
-    tkey = gcols + ["_t"]
-    state = materialize(_finish_small(base, state, gcols, tkey, max_rank_rows))
-    for _ in range(max_levels):
-        if state.where(F.col("_val").isNull()).limit(1).count() == 0:
-            break
-        state = materialize(_finish_small(base, _refine(base, state, gcols, tkey, buckets),
-                                          gcols, tkey, max_rank_rows))
-    else:  # give up refining: rank whatever is left
-        state = _finish_small(base, state, gcols, tkey, None)
+    state = (stats.select(*g, "_min", "_max", F.inline(F.array(*targets)))
+                  .select(*g, "_t", "_rank", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
+                          F.lit(0).cast("long").alias("_below")))
+    state = written(state)
+    while not state.where(F.col("_lo") < F.col("_hi")).isEmpty():
+        narrowed = written(_refine(base, state, g, buckets))
+        drop_written(state)
+        state = narrowed
 
     picks = []
     for i, name in enumerate(names):
-        picks.append(F.max(F.when(F.col("_t") == 2 * i, F.col("_val"))).alias(f"_x0_{name}"))
-        picks.append(F.max(F.when(F.col("_t") == 2 * i + 1, F.col("_val"))).alias(f"_x1_{name}"))
-    out = state.groupBy(*gcols).agg(*picks).join(stats.select(*gcols, "_n"), gcols)
+        picks.append(F.max(F.when(F.col("_t") == 2 * i, F.col("_lo"))).alias(f"_a{i}"))
+        picks.append(F.max(F.when(F.col("_t") == 2 * i + 1, F.col("_lo"))).alias(f"_b{i}"))
+    out = state.groupBy(*g).agg(*picks).join(stats.select(*g, "_n"), g)
     exprs = []
-    for p, name in zip(probs, names):
+    for i, (p, name) in enumerate(zip(probs, names)):
         pos = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
-        x0, x1 = F.col(f"_x0_{name}"), F.col(f"_x1_{name}")
-        exprs.append((x0 + (x1 - x0) * (pos - F.floor(pos))).alias(name))
-    return out.select(*gcols, *exprs)
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        exprs.append((a + (b - a) * (pos - F.floor(pos))).alias(name))
+    return out.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], *exprs)
 
 
-def _refine(base: DataFrame, state: DataFrame, gcols, tkey, buckets: int) -> DataFrame:
+def _refine(base: DataFrame, state: DataFrame, g: list[str], buckets: int) -> DataFrame:
     """One pass: narrow every open target to the sub-bucket holding its rank."""
-    done = state.where(F.col("_val").isNotNull())
-    open_ = state.where(F.col("_val").isNull())
     v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
-    b = F.least(F.floor((v - lo) / (hi - lo) * F.lit(buckets)), F.lit(buckets - 1))
-    targets = open_.select(*tkey, "_rank", "_lo", "_hi", "_below")
-    per_bucket = (base.join(bounded_broadcast(targets, targets.count()), gcols)
-                  .where((v >= lo) & (v <= hi))
-                  .select(*tkey, "_rank", "_below", b.cast("int").alias("_b"), "_v", "_w")
-                  .groupBy(*tkey, "_rank", "_below", "_b")
-                  .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_bmin"),
-                       F.max("_v").alias("_bmax")))
-    running = (Window.partitionBy(*tkey).orderBy("_b")
-                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    with_cum = per_bucket.withColumn("_cum", F.sum("_c").over(running))
-    before = F.col("_below") + F.col("_cum") - F.col("_c")
-    hit = with_cum.where((before <= F.col("_rank")) & (F.col("_rank") < before + F.col("_c")))
-    narrowed = hit.select(*tkey, "_rank", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                          before.alias("_below"), F.col("_c").alias("_cnt"),
-                          F.when(F.col("_bmin") == F.col("_bmax"), F.col("_bmin")).alias("_val"))
-    return done.unionByName(narrowed)
-
-
-def _finish_small(base: DataFrame, state: DataFrame, gcols, tkey, max_rank_rows) -> DataFrame:
-    """Resolve open targets whose interval holds few rows by ranking them."""
-    is_open = F.col("_val").isNull()
-    small = is_open if max_rank_rows is None else is_open & (F.col("_cnt") <= max_rank_rows)
-    keep = state.where(~small)
-    todo = state.where(small)
-    v = F.col("_v")
-    targets = todo.select(*tkey, "_rank", "_lo", "_hi", "_below")
-    rows = (base.join(bounded_broadcast(targets, targets.count()), gcols)
-                .where((v >= F.col("_lo")) & (v <= F.col("_hi"))))
-    running = (Window.partitionBy(*tkey).orderBy("_v")
-                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    picked = (rows.withColumn("_cw", F.sum("_w").over(running))
-                  .where(F.col("_below") + F.col("_cw") > F.col("_rank"))
-                  .groupBy(*tkey).agg(F.min("_v").alias("_pick")))
-    resolved = (todo.join(picked, tkey, "left")
-                    .withColumn("_val", F.col("_pick")).drop("_pick"))
-    return keep.unionByName(resolved)
+    open_ = state.where(lo < hi)
+    intervals = open_.select(*g, "_lo", "_hi", "_below").distinct()   # targets share intervals at first
+    key = [*g, "_lo", "_hi", "_below"]
+    counts = (base.join(intervals, g).where((v >= lo) & (v <= hi))
+                  .select(*key, _bucket(v, lo, hi, buckets).alias("_b"), "_v", "_w")
+                  .groupBy(*key, "_b").agg(F.sum("_w").alias("_c"), F.min("_v").alias("_bmin"),
+                                           F.max("_v").alias("_bmax")))
+    running = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_end", F.col("_below") + F.sum("_c").over(running))  # at most `buckets` rows a key
+    hit = (open_.join(counts, key).where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
+                .select(*g, "_t", "_rank", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
+                        (F.col("_end") - F.col("_c")).alias("_below")))
+    return state.where(lo >= hi).unionByName(hit)

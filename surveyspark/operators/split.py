@@ -7,9 +7,8 @@ partitionings and cluster sizes, and computed inside the scan stage with
 no shuffle.
 
 ``with_exact_split`` gives an exact-size split (first ``ceil(f * n)`` rows
-in hash order) without sorting the whole table in one partition: bucket
-counts locate the boundary bucket, which is refined until small, and only
-that bucket is ranked.
+in hash order) without sorting or ranking anything: counts per bucket narrow
+the boundary, column by column, until it is exact.
 """
 
 from __future__ import annotations
@@ -20,12 +19,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import materialize
+from ..plans import written
 
+HASH_DIGITS = 15
+HASH_RANGE = 16**HASH_DIGITS
 
-def key_hash(key: Sequence[str]) -> Column:
-    """Non-negative 63-bit hash of the key columns."""
-    return F.abs(F.xxhash64(*[F.col(k) for k in key]) % F.lit(2**62))
+
+def key_hash(key: Sequence[str], salt: str = "") -> Column:
+    """Integer in [0, 2**60): the first 15 hexadecimal digits of the MD5 of the
+    salt and the key columns as text. Portable to any SQL engine; different
+    salts give independent numbers."""
+    text = F.concat_ws("|", F.lit(salt), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
 def with_split(df: DataFrame, hash_col: Column, train_pct: int = 70,
@@ -53,57 +58,60 @@ def with_random_folds(df: DataFrame, k: int, seed: int, out: str = "fold") -> Da
 
 
 def with_exact_split(df: DataFrame, test_fraction: float, order_col: str,
-                     tiebreak: Sequence[str], order_range: int,
-                     buckets: int = 1 << 16, max_rank_rows: int = 1_000_000,
+                     tiebreak: Sequence[str], buckets: int = 1 << 16,
                      out: str = "split") -> DataFrame:
     """Mark the first ``ceil(test_fraction * n)`` rows in ``(order_col,
     *tiebreak)`` order as 'test', the rest 'train'.
 
-    ``order_col`` must be an integer in ``[0, order_range)`` (a hash). No
-    global sort: (1) count rows per bucket of the order range (at most
-    ``buckets`` counts; a running sum over them, one small task, finds the
-    bucket holding the boundary); (2) while that bucket holds more than
-    ``max_rank_rows`` rows, re-bucket only its sub-range; (3) rank the rows
-    of the final bucket to find the cutoff row; (4) compare every row with
-    the cutoff. Each step returns one row to the driver, and at most
-    ``max_rank_rows`` rows are ranked in one task whatever the data size.
-    Steps 1-3 read a narrow ``(order, tiebreak)`` table written once.
+    The columns must be integers; nulls sort first. The rows are written once
+    with two more order columns, a hash of the whole row and a row number, so
+    the order is total and ties at the cutoff give exactly the rows still
+    needed (which of several equal rows is immaterial).
+
+    No sort and no ranking: for each order column in turn, rows that agree with
+    the cutoff so far are counted per bucket of the column's range (at most
+    ``buckets`` counts; a running sum over them finds the bucket with the
+    boundary), and that bucket is counted again until it is one value or the
+    boundary coincides with its end. Each pass returns one row to the driver;
+    60 bits take at most four passes of 65,536 buckets.
     """
-    o = F.col(order_col)
-    order = [o] + [F.col(c) for c in tiebreak]
-    # the counting and ranking passes read only a narrow key table, written once
-    keys = materialize(df.select(order_col, *tiebreak))
-    n = keys.count()
-    m = math.ceil(float(test_fraction) * n)       # double arithmetic, as splitters do
-    types = dict(df.dtypes)
-    if m <= 0:
-        return df.withColumn(out, F.lit("train"))
-    if m >= n:
-        return df.withColumn(out, F.lit("test"))
-    lo, hi, need = 0, int(order_range), m
-    while True:
-        width = hi - lo
-        step = -(-width // buckets)                   # integer buckets [lo + b*step, ...)
-        in_range = (o >= F.lit(lo)) & (o < F.lit(hi))
-        bucket = F.expr(f"(`{order_col}` - {lo}L) div {step}L")   # integral division
-        counts = (keys.where(in_range).select(bucket.alias("_bk"))
-                    .groupBy("_bk").agg(F.count(F.lit(1)).alias("_c")))
-        running = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding,
-                                                    Window.currentRow)
-        hit = (counts.withColumn("_cum", F.sum("_c").over(running))
-                     .where(F.col("_cum") >= F.lit(need)).orderBy("_bk").first())
-        b, count, before = hit["_bk"], hit["_c"], hit["_cum"] - hit["_c"]
-        need -= before
-        lo, hi = lo + b * step, min(hi, lo + (b + 1) * step)
-        if count <= max_rank_rows or hi - lo <= 1:
-            break
-    ranked = (keys.where((o >= F.lit(lo)) & (o < F.lit(hi)))
-                .select(*[c.alias(f"_k{i}") for i, c in enumerate(order)])
-                .withColumn("_rn", F.row_number().over(Window.orderBy(
-                    *[F.col(f"_k{i}") for i in range(len(order))]))))
-    cut = ranked.where(F.col("_rn") == need).first()
-    names = [order_col] + list(tiebreak)
-    cutoff = F.struct(*[F.lit(cut[f"_k{i}"]).cast(types[c]).alias(f"_k{i}")
-                        for i, c in enumerate(names)])
-    key = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)])
-    return df.withColumn(out, F.when(key <= cutoff, F.lit("test")).otherwise(F.lit("train")))
+    row_hash, row_no = "_split_row_hash", "_split_row_no"
+    data = written(df.withColumn(row_hash, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+                     .withColumn(row_no, F.monotonically_increasing_id()))
+    names = [order_col, *tiebreak, row_hash, row_no]
+    n = data.count()
+    need = math.ceil(float(test_fraction) * n)       # double arithmetic, as splitters do
+    if need <= 0 or need >= n:
+        return data.drop(row_hash, row_no).withColumn(out, F.lit("test" if need > 0 else "train"))
+    is_test, tied = F.lit(False), F.lit(True)        # rows before the cutoff; rows that agree with it so far
+    for name in names:
+        x = F.col(f"`{name}`").cast("bigint")
+        missing = data.where(tied & x.isNull()).count()
+        if need <= missing:
+            tied = tied & x.isNull()                 # the boundary lies among the missing values
+            if need == missing:
+                return _marked(data, is_test | tied, [row_hash, row_no], out)
+            continue
+        is_test, need = is_test | (tied & x.isNull()), need - missing
+        lo, hi = data.where(tied).agg(F.min(x), F.max(x)).first()
+        while True:
+            step = -(-(hi - lo + 1) // buckets)
+            inside = tied & (x >= F.lit(lo)) & (x <= F.lit(hi))
+            bucket = F.expr(f"cast((cast(`{name}` as decimal(20,0)) - {lo}) div {step} as bigint)")
+            counts = data.where(inside).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+            running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            hit = (counts.withColumn("_cum", F.sum("_c").over(running))   # at most `buckets` rows
+                         .where(F.col("_cum") >= F.lit(need)).orderBy("_b").first())
+            need -= hit["_cum"] - hit["_c"]
+            lo, hi = lo + hit["_b"] * step, min(hi, lo + (hit["_b"] + 1) * step - 1)
+            if need == hit["_c"]:                    # the whole bucket is test
+                return _marked(data, is_test | (tied & (x <= F.lit(hi))), [row_hash, row_no], out)
+            if lo == hi:
+                break
+        is_test, tied = is_test | (tied & (x < F.lit(lo))), tied & (x == F.lit(lo))
+    raise AssertionError("row numbers are unique, so the loop ends at a boundary")
+
+
+def _marked(data: DataFrame, is_test: Column, drop: list[str], out: str) -> DataFrame:
+    side = F.when(F.coalesce(is_test, F.lit(False)), F.lit("test")).otherwise(F.lit("train"))
+    return data.withColumn(out, side).drop(*drop)

@@ -6,19 +6,17 @@ metric, the top-k list and the spread are ordinary aggregations and window
 functions over it. The log is bounded by ``folds x grid`` rows; no data row
 reaches the driver.
 
-Execution plan per fold:
+Execution plan:
 
 * folds come from a hash of the row key (``split.with_folds``), so a fold
   is the same rows whatever the partitioning;
-* the input is materialized once (reliable checkpoint when the session
-  has a checkpoint directory), so fits do not re-run upstream joins;
-* feature stages (assembler, scaler) are fitted once per fold on that
-  fold's training rows, not once per grid point;
+* feature stages that need no fitting (the assembler) run once and their rows
+  are cached once, spilling to disk; folds are filters on that one copy;
+* fitted stages (the scaler) are fitted once per fold on that fold's training
+  rows, not once per grid point;
 * grid points that define the same model (e.g. any ``elasticNetParam`` at
   ``regParam = 0``) are fitted once and share the result;
-* fits run concurrently from a thread pool, each a distributed Spark job;
-  when all folds' rows fit a cache budget (checked from a row count), all
-  folds are cached together and share the pool;
+* all ``folds x grid`` fits share one thread pool, each a distributed Spark job;
 * all models of a fold are scored in one aggregation pass.
 """
 
@@ -26,21 +24,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import takewhile
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.param import Param
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
-from ..plans import materialize
 from .metrics import SMALLER_IS_BETTER, metric_columns
 
-# Cache budget for running all folds at once (about k-1 copies of the input).
-FOLD_CACHE_BUDGET = 2 << 30
-
 FIT_LOG_SCHEMA = StructType([
     StructField("fold", IntegerType()), StructField("param_id", IntegerType()),
     StructField("params", StringType()), StructField("metric", DoubleType()),
@@ -91,24 +86,14 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
                    label: str, fold_col: str, num_folds: int, metric: str = "rmse",
                    feature_stages: Pipeline | None = None, parallelism: int = 4,
                    canonical: Callable[[dict], tuple] | None = None,
-                   refit: bool = True, materialize_input: bool = True,
-                   concurrent_folds: bool | None = None,
-                   fold_cache_budget: int = FOLD_CACHE_BUDGET) -> CVResult:
+                   refit: bool = True) -> CVResult:
     """Fit every grid point on every fold's training rows, score it on the
     fold's validation rows, and (``refit``) fit the best point on all rows.
-    ``materialize_input=False`` skips the lineage cut when ``df`` already
-    reads a written table.
-
-    ``estimator`` is the final model stage; ``feature_stages`` are fitted per
-    fold ahead of it. The best point minimises the mean metric (maximises
-    for ``r2``), ties going to the earlier grid point.
-
-    Folds run one after another, each caching its own training rows, unless
-    all folds' rows fit ``fold_cache_budget`` bytes (about ``k - 1`` copies
-    of the input, sized from a row count): then every fold is cached at
-    once and all ``folds x grid`` fits share one thread pool, with no idle
-    threads waiting for a fold's slowest fit. ``concurrent_folds`` forces
-    either mode.
+
+    ``estimator`` is the final model stage; ``feature_stages`` come ahead of it:
+    leading ones that need no fitting run once over the input, the others are
+    fitted per fold. The best point minimises the mean metric (maximises for
+    ``r2``), ties going to the earlier grid point.
     """
     spark = df.sparkSession
     key_of = canonical or _default_canonical
@@ -117,19 +102,18 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
         first_of.setdefault(key_of(pm), j)
     distinct = sorted(set(first_of.values()))
 
-    data = materialize(df) if materialize_input else df
-    if concurrent_folds is None:
-        width = 8 * (len(data.columns) + 2 * _vector_width(feature_stages))
-        concurrent_folds = data.count() * width * max(num_folds - 1, 1) <= fold_cache_budget
+    stages = list(feature_stages.getStages()) if feature_stages is not None else []
+    stateless = list(takewhile(lambda s: isinstance(s, Transformer), stages))
+    per_fold = Pipeline(stages=stages[len(stateless):])
+    data = df
+    for stage in stateless:
+        data = stage.transform(data)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
 
     def prepare(i):
-        train = data.where(F.col(fold_col) != i)
-        valid = data.where(F.col(fold_col) == i)
-        if feature_stages is not None:
-            fitted = feature_stages.fit(train)
-            train, valid = fitted.transform(train), fitted.transform(valid)
-        return (train.persist(StorageLevel.MEMORY_AND_DISK),
-                valid.persist(StorageLevel.MEMORY_AND_DISK))
+        train, valid = data.where(F.col(fold_col) != i), data.where(F.col(fold_col) == i)
+        fitted = per_fold.fit(train)
+        return fitted.transform(train), fitted.transform(valid)
 
     def score(i, valid, models):
         scored, preds = valid, []
@@ -141,20 +125,17 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
         return dict(zip(distinct, metric_columns(scored, metric, label, preds)))
 
     values: dict[int, dict[int, float]] = {}
-    rounds = [list(range(num_folds))] if concurrent_folds else [[i] for i in range(num_folds)]
-    pool = ThreadPool(processes=max(1, min(parallelism, len(distinct) * len(rounds[0]))))
+    tasks = [(i, j) for i in range(num_folds) for j in distinct]
+    pool = ThreadPool(processes=max(1, min(parallelism, len(tasks))))
     try:
-        for folds in rounds:
-            prepared = {i: prepare(i) for i in folds}
-            tasks = [(i, j) for i in folds for j in distinct]
-            models = dict(pool.map(
-                lambda ij: (ij, estimator.fit(prepared[ij[0]][0], param_maps[ij[1]])), tasks))
-            for i in folds:
-                values[i] = score(i, prepared[i][1], models)
-                prepared[i][0].unpersist()
-                prepared[i][1].unpersist()
+        prepared = {i: prepare(i) for i in range(num_folds)}
+        models = dict(pool.map(
+            lambda ij: (ij, estimator.fit(prepared[ij[0]][0], param_maps[ij[1]])), tasks, chunksize=1))
+        for i in range(num_folds):
+            values[i] = score(i, prepared[i][1], models)
     finally:
         pool.close()
+        data.unpersist()
 
     log_rows = [(i, j, param_label(pm), values[i][first_of[key_of(pm)]])
                 for i in range(num_folds) for j, pm in enumerate(param_maps)]
@@ -166,29 +147,12 @@ def cross_validate(df: DataFrame, estimator: Estimator, param_maps: Sequence[dic
     best = min(range(len(avg)), key=lambda j: (avg[j] if smaller else -avg[j], j))
     best_model = None
     if refit:
-        stages = (list(feature_stages.getStages()) if feature_stages is not None else [])
-        best_est = estimator.copy(param_maps[best])
-        best_model = Pipeline(stages=stages + [best_est]).fit(data)
+        best_model = Pipeline(stages=stages + [estimator.copy(param_maps[best])]).fit(df)
     fit_log = spark.createDataFrame(log_rows, FIT_LOG_SCHEMA)
-    if materialize_input and data.is_cached:
-        data.unpersist()
     return CVResult(fit_log, avg, best, param_label(param_maps[best]), best_model, metric,
                     smaller)
 
 
-def _vector_width(stages: Pipeline | None) -> int:
-    """Number of assembled features (each vector stage adds that many doubles)."""
-    if stages is None:
-        return 0
-    for st in stages.getStages():
-        if hasattr(st, "getInputCols"):
-            try:
-                return len(st.getInputCols())
-            except Exception:  # noqa: BLE001
-                return 0
-    return 0
-
-
 def running_average(fit_log: DataFrame) -> DataFrame:
     """Mean metric over folds 0..i for every grid point, in fold order."""
     w = (Window.partitionBy("param_id").orderBy("fold")

@@ -8,7 +8,7 @@ bigint so both sides hash alike.
 
 from __future__ import annotations
 
-from .sources.survey import CLEAN_COLUMNS, with_survey
+from .sources.survey import CLEAN_COLUMNS, MODEL_FEATURES, SURVEY_KEY, with_survey
 
 # Declared schema of ``survey`` (FIXTURES.md B), in column order.
 SURVEY_TYPES = [
@@ -97,7 +97,15 @@ def _funnel_sql() -> str:
 
 
 EDITED = f"edited as (select * from survey where {CLEAN_WHERE})"
-HASH = "(l_orderkey*7919 + activity_n*104729 + l_partkey)"
+
+
+def _hash(salt: str) -> str:
+    """The first 15 hexadecimal digits of an MD5 of salt and row key."""
+    key = ", ".join(f"cast({c} as varchar)" for c in SURVEY_KEY)
+    return f"cast('0x' || substr(md5(concat_ws('|', '{salt}', {key})), 1, 15) as bigint)"
+
+
+SPLIT_HASH, FOLD_HASH, ORDER_HASH = _hash("split"), _hash("fold"), _hash("order")
 REFERENCE_LABELS_SQL = "['Very High', 'High', 'Med', 'Low', 'Very Low']"
 
 
@@ -156,8 +164,8 @@ def _split_summary(by: str) -> str:
             "round(avg(bmi), 6) as mean_bmi")
 
 
-SPLIT = f""", tr as (select * from edited where {HASH} % 100 < 70),
-te as (select * from edited where {HASH} % 100 >= 70)"""
+SPLIT = f""", tr as (select * from edited where {SPLIT_HASH} % 100 < 70),
+te as (select * from edited where {SPLIT_HASH} % 100 >= 70)"""
 
 # Two-feature least squares (prim_min, age) by the normal equations.
 OLS2 = """, st as (select covar_pop(prim_min, prim_min) as v11, covar_pop(age, age) as v22,
@@ -168,8 +176,47 @@ b as (select (v22 * c1y - v12 * c2y) / (v11 * v22 - v12 * v12) as b1,
         (v11 * c2y - v12 * c1y) / (v11 * v22 - v12 * v12) as b2, * from st),
 coef as (select my - b1 * m1 - b2 * m2 as b0, * from b)"""
 
+def _least_squares(source: str) -> str:
+    """CTEs ending in ``coef``: ``b0`` and ``b1 .. bp`` of least squares of the
+    label on all features, by sweeping the matrix of covariances feature by
+    feature; ``sd1 .. sdp`` are the features' sample standard deviations."""
+    p = len(MODEL_FEATURES)
+    x = {i: f for i, f in enumerate([*MODEL_FEATURES, "bmi"], 1)}
+    y = p + 1
+
+    def a(i: int, j: int) -> str:
+        return f"a{min(i, j)}_{max(i, j)}"
+
+    cells = [(i, j) for i in x for j in x if i <= j]
+    moments = ", ".join([f"covar_pop(cast({x[i]} as double), cast({x[j]} as double)) as {a(i, j)}" for i, j in cells]
+                        + [f"avg({x[i]}) as m{i}" for i in x] + [f"stddev_samp({x[i]}) as sd{i}" for i in x])
+    out, last = [f"ls0 as (select {moments} from {source})"], "ls0"
+    for k in range(1, p + 1):
+        d = a(k, k)
+        swept = [f"-1 / {d} as {d}" if i == j == k else f"{a(i, j)} / {d} as {a(i, j)}" if k in (i, j)
+                 else f"{a(i, j)} - {a(i, k)} * {a(k, j)} / {d} as {a(i, j)}" for i, j in cells]
+        carry = ", ".join(f"m{i}, sd{i}" for i in x)
+        out.append(f"ls{k} as (select {', '.join(swept)}, {carry} from {last})")
+        last = f"ls{k}"
+    slopes = ", ".join(f"{a(i, y)} as b{i}, sd{i}" for i in range(1, p + 1))
+    intercept = f"m{y}" + "".join(f" - {a(i, y)} * m{i}" for i in range(1, p + 1))
+    return ", " + ", ".join(out) + f", coef as (select {intercept} as b0, {slopes} from {last})"
+
+
+PREDICTED = "b0" + "".join(f" + b{i} * {f}" for i, f in enumerate(MODEL_FEATURES, 1))
+
+
+def _per_feature(columns: list[tuple[str, str]]) -> str:
+    """Rows (feature, columns) from ``coef``; ``{i}`` stands for the feature's
+    number, and the intercept is the same in every column."""
+    rows = ["select 'intercept' as feature, " + ", ".join(f"round(b0, 6) as {n}" for n, _ in columns) + " from coef"]
+    rows += [f"select '{f}', " + ", ".join(f"round({e.format(i=i)}, 6)" for _, e in columns) + " from coef"
+             for i, f in enumerate(MODEL_FEATURES, 1)]
+    return "\n" + "\nunion all ".join(rows)
+
+
 # One-feature CV over fitIntercept, folds = hash % 3 on the training split.
-CV = f""", cvd as (select *, cast({HASH} % 3 as integer) as fold from tr),
+CV = f""", cvd as (select *, cast({FOLD_HASH} % 3 as integer) as fold from tr),
 fl as (select distinct fold from cvd),
 fits as (select fl.fold, regr_slope(t.bmi, t.prim_min) as s1,
            regr_intercept(t.bmi, t.prim_min) as i1,
@@ -206,7 +253,7 @@ def _elastic_grid_sql() -> str:
 # One-feature elastic net per fold, closed form on standardised moments:
 # w' = sign(q) max(|q| - l1, 0) / (1 + l2), q = cov(x, y) / sd(x),
 # l1 = lam * alpha, l2 = lam * (1 - alpha) / sd(y) (population moments).
-ELASTIC_ONE = f""", cvd as (select *, cast({HASH} % 3 as integer) as fold from tr),
+ELASTIC_ONE = f""", cvd as (select *, cast({FOLD_HASH} % 3 as integer) as fold from tr),
 fl as (select distinct fold from cvd),
 st as (select fl.fold, avg(t.prim_min) as mx, avg(t.bmi) as my, var_pop(t.prim_min) as vx,
          var_pop(t.bmi) as vy, covar_pop(t.prim_min, t.bmi) as cxy
@@ -284,13 +331,28 @@ from g cross join r left join c on g.bin = c.bin"""),
         + _box("ex", ["exercise"], "bmi")),
     "box_stats_by_bin": _binned_box("prim_min", "true"),
     "box_stats_by_earn_bin": _binned_box("earn", "(earn is null or earn <> -1)"),
+    "box_stats_top_values": _edited(
+        ", top as (select sec_min from edited group by sec_min "
+        "order by count(*) desc, sec_min asc nulls first limit 25), "
+        "ts as (select e.* from edited e join top using (sec_min))" + _box("ts", ["sec_min"], "bmi")),
+    "box_stats_by_sex": _edited(", ed as (select * from edited)" + _box("ed", ["sex"], "bmi")),
+    "box_stats_by_income": _edited(", ed as (select * from edited)" + _box("ed", ["income"], "bmi")),
+    "box_stats_by_soda": _edited(", ed as (select * from edited)" + _box("ed", ["soda"], "bmi")),
     "joint_histogram": _edited(f"""
 , e as (select * from edited where prim_min is not null and bmi is not null),
 r as (select min(cast(prim_min as double)) as xlo, max(cast(prim_min as double)) as xhi,
-             min(bmi) as ylo, max(bmi) as yhi from e)
-select {_bin('cast(prim_min as double)', 'xlo', 'xhi', 10)} as bin_x,
-       {_bin('bmi', 'ylo', 'yhi', 10)} as bin_y, count(*) as n
-from e, r group by 1, 2"""),
+             min(bmi) as ylo, max(bmi) as yhi, corr(prim_min, bmi) as corr from e),
+c as (select {_bin('cast(prim_min as double)', 'xlo', 'xhi', 10)} as bin_x,
+             {_bin('bmi', 'ylo', 'yhi', 10)} as bin_y, count(*) as n, any_value(r.corr) as corr
+      from e, r group by 1, 2)
+select bin_x, bin_y, n, cast(sum(n) over (partition by bin_x) as bigint) as n_x,
+  cast(sum(n) over (partition by bin_y) as bigint) as n_y, round(corr, 6) as corr from c"""),
+    "column_histograms": _edited(", parts as (" + " union all ".join(
+        f"select '{c}' as column_name, {_bin(f'cast({c} as double)', 'lo', 'hi', 10)} as bin, lo, hi from edited, "
+        f"(select min(cast({c} as double)) as lo, max(cast({c} as double)) as hi from edited)" for c in CLEAN_COLUMNS)
+        + """)
+select column_name, bin, round(lo + (hi - lo) * (bin - 1) / 10, 6) as bin_lo,
+  round(lo + (hi - lo) * bin / 10, 6) as bin_hi, count(*) as n from parts where bin is not null group by all"""),
     "correlation_pairs": _corr_sql(),
     "top_values": _edited(
         "select round(sec_min, 6) as sec_min, count(*) as n from edited group by sec_min "
@@ -301,10 +363,10 @@ from e, r group by 1, 2"""),
         f"select {ROUNDED_SURVEY_COLS_E} from edited e where exists "
         "(select 1 from top t where t.sec_min is not distinct from e.sec_min)"),
     "split_counts": _edited(
-        f"select {_split_summary(f'case when {HASH} % 100 < 70 then ' + chr(39) + 'train' + chr(39) + ' else ' + chr(39) + 'test' + chr(39) + ' end as split')} "
+        f"select {_split_summary(f'case when {SPLIT_HASH} % 100 < 70 then ' + chr(39) + 'train' + chr(39) + ' else ' + chr(39) + 'test' + chr(39) + ' end as split')} "
         "from edited group by 1"),
     "kfold_counts": _edited(
-        f"select {_split_summary(f'cast({HASH} % 3 as integer) as fold')} from edited group by 1"),
+        f"select {_split_summary(f'cast({FOLD_HASH} % 3 as integer) as fold')} from edited group by 1"),
     "intercept_model_rmse": _edited(SPLIT + """
 , m as (select avg(bmi) as mu from tr)
 select 'intercept' as model, round(sqrt(avg(power(bmi - mu, 2))), 6) as rmse from te, m"""),
@@ -317,31 +379,34 @@ select 'ols', 'prim_min', round(regr_slope(bmi, prim_min), 6) from tr"""),
 select 'ols2' as model, 'intercept' as feature, round(b0, 6) as coefficient from coef
 union all select 'ols2', 'prim_min', round(b1, 6) from coef
 union all select 'ols2', 'age', round(b2, 6) from coef"""),
-    "ols_scaled": _edited(SPLIT + OLS2 + """
-select 'ols2_scaled' as model, 'intercept' as feature, round(b0, 6) as coefficient from coef
-union all select 'ols2_scaled', 'prim_min', round(b1 * sd1, 6) from coef
-union all select 'ols2_scaled', 'age', round(b2 * sd2, 6) from coef"""),
-    "scaled_features": _edited(SPLIT + """
-, sd as (select stddev_samp(prim_min) as sd1, stddev_samp(age) as sd2 from tr)
-select l_orderkey, activity_n, l_partkey, l_suppkey, round(prim_min / sd1, 6) as prim_min_scaled,
-  round(age / sd2, 6) as age_scaled
-from tr, sd"""),
-    "coefficient_table": _edited(SPLIT + OLS2 + """
-select 'intercept' as feature, round(b0, 6) as not_scaled, round(b0, 6) as scaled from coef
-union all select 'prim_min', round(b1, 6), round(b1 * sd1, 6) from coef
-union all select 'age', round(b2, 6), round(b2 * sd2, 6) from coef"""),
+    "ols_scaled": _edited(SPLIT + _least_squares("tr") + ", t as ("
+                          + _per_feature([("coefficient", "b{i} * sd{i}")])
+                          + ") select 'ols_scaled' as model, feature, coefficient from t"),
+    "scaled_features": _edited(SPLIT + ", sd as (select " + ", ".join(
+        f"stddev_samp({f}) as sd{i}" for i, f in enumerate(MODEL_FEATURES)) + " from tr)\nselect "
+        + ", ".join(SURVEY_KEY) + ", " + ", ".join(
+            f"round({f} / sd{i}, 6) as {f}_scaled" for i, f in enumerate(MODEL_FEATURES)) + " from tr, sd"),
+    "coefficient_table": _edited(SPLIT + _least_squares("tr") + _per_feature(
+        [("not_scaled", "b{i}"), ("scaled", "b{i} * sd{i}")])),
     "ols_r2": _edited(f"""
 , e as (select * from edited where earn is null or earn <> -1),
-r as (select *, row_number() over (order by {HASH} % 1000003, l_orderkey, activity_n,
+r as (select *, row_number() over (order by {ORDER_HASH}, l_orderkey, activity_n,
                                             l_partkey, l_suppkey) as rn,
              count(*) over () as total from e),
 tr as (select * from r where rn > ceil(3E-1 * total)),
-te as (select * from r where rn <= ceil(3E-1 * total)),
-f as (select regr_slope(bmi, prim_min) as s, regr_intercept(bmi, prim_min) as i from tr),
+te as (select * from r where rn <= ceil(3E-1 * total)){_least_squares("tr")},
 m as (select avg(bmi) as mu from te)
 select 'ols' as model,
-  round(1 - sum(power(bmi - (i + s * prim_min), 2)) / sum(power(bmi - mu, 2)), 6) as r2
-from te, f, m"""),
+  round(1 - sum(power(bmi - ({PREDICTED}), 2)) / sum(power(bmi - mu, 2)), 6) as r2
+from te, coef, m"""),
+    "forest_stump_rmse": _edited(SPLIT + """
+, v as (select prim_min as x, count(*) as n, sum(bmi) as s from tr group by prim_min),
+c as (select x, sum(n) over w as nl, sum(s) over w as sl, sum(n) over () as nt, sum(s) over () as st
+      from v window w as (order by x)),
+best as (select x, sl / nl as low, (st - sl) / (nt - nl) as high from c where nt > nl
+         order by sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) desc limit 1)
+select 'stump' as model, round(sqrt(avg(power(bmi - case when prim_min <= x then low else high end, 2))), 6) as rmse
+from te, best"""),
     "ols_residuals": _edited(SPLIT + """
 , f as (select regr_slope(bmi, prim_min) as s, regr_intercept(bmi, prim_min) as i from tr)
 select l_orderkey, activity_n, l_partkey, l_suppkey, round(i + s * prim_min, 6) as prediction,
@@ -374,7 +439,7 @@ select round(bt.rmse, 6) as test_metric, round(rk.avg_metric, 6) as best_cv,
 from best_test bt, (select * from rk where rank = 1) rk"""),
     "exact_split_counts": _edited(f"""
 , e as (select * from edited where earn is null or earn <> -1),
-r as (select *, row_number() over (order by {HASH} % 1000003, l_orderkey, activity_n,
+r as (select *, row_number() over (order by {ORDER_HASH}, l_orderkey, activity_n,
                                             l_partkey, l_suppkey) as rn,
              count(*) over () as total from e)
 select {_split_summary("case when rn <= ceil(3E-1 * total) then 'test' else 'train' end as split")}

@@ -1,89 +1,95 @@
 """Plan-level helpers.
 
-* ``bounded_broadcast`` -- broadcast hint only for sides whose row count is
-  bounded by construction (a ``limit k``, ``n`` bins, a one-row aggregate);
-  everything else is left to the optimizer and AQE, which broadcast only
-  after measuring the side against ``autoBroadcastJoinThreshold``.
-* ``estimated_bytes`` / ``fits_broadcast`` -- the optimizer's size estimate
-  of a plan (planning only, no job), used to choose a join order;
-* ``materialize`` -- cut lineage for data that many jobs reuse: a reliable
-  ``checkpoint()`` into the session's ``spark.checkpoint.dir``, so lost
-  executors do not force a recompute of the upstream joins.
+* ``written`` -- evaluate a DataFrame once into Parquet on the shared folder
+  named by ``spark.checkpoint.dir`` and read it back: later scans prune columns
+  and take pushed filters, lost executors lose nothing, and the folder goes when
+  the session's work ends (``drop_written`` or interpreter exit);
+* ``data_version`` -- length and modification time of a table's files, so that
+  results kept per table are dropped when its data changes;
 * ``plan_text`` -- the formatted physical plan, for tests that assert
   pushdown, pruning and join strategy.
+
+No function here chooses an algorithm by size: broadcasting is left to the
+optimizer and AQE, which measure a side before they copy it; the library only
+hints sides whose row count is fixed by construction.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
-
-# A broadcast side is copied to every executor; this many small rows is
-# still only a few MB.
-MAX_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` whose row count is proven to be at most ``max_rows``.
-
-    The bound must follow from how ``df`` was built (not from a guess about
-    the data). Bounds above ``MAX_BROADCAST_ROWS`` are refused and the plain
-    DataFrame is returned, leaving the join strategy to the optimizer.
-    """
-    if max_rows <= MAX_BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of ``df`` (planning only, no job runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_threshold(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    text = conf.strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-             "g": 1 << 30, "gb": 1 << 30}
-    for suffix in sorted(units, key=len, reverse=True):
-        if text.endswith(suffix) and text[:-len(suffix)].strip().lstrip("-").isdigit():
-            return int(text[:-len(suffix)]) * units[suffix]
-    return int(text)
+import atexit
+import tempfile
+import uuid
 
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when the optimizer would broadcast ``df`` by its size estimate."""
-    limit = broadcast_threshold(df)
-    return 0 <= estimated_bytes(df) <= limit and limit > 0
-
-
-def checkpoint_dir(df: DataFrame) -> str | None:
-    jdir = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
-    return jdir.get() if jdir.isDefined() else None
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Evaluate ``df`` once and cut its lineage.
-
-    With a checkpoint directory (the cluster's shared ``spark.checkpoint.dir``)
-    this is a reliable checkpoint that survives executor loss. Without one it
-    falls back to ``persist(MEMORY_AND_DISK)``, which recomputes lost blocks
-    from lineage.
-    """
-    if checkpoint_dir(df) is not None:
-        return df.checkpoint(eager=True)
-    sc = df.sparkSession.sparkContext
-    conf_dir = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return df.checkpoint(eager=True)
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+from pyspark.sql import DataFrame, SparkSession
 
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     """Physical plan as text (``df.explain`` prints; this returns)."""
     sc = df.sparkSession.sparkContext
     return sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``. Only a
+    local master, whose executors are this machine, gets a scratch folder when
+    none is set; elsewhere the setting is demanded."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        configured = tempfile.mkdtemp(prefix="surveyspark-ckpt-")
+    sc.setCheckpointDir(configured)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+_written: set[tuple[str, str]] = set()  # (application, folder) to remove at the end
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once into Parquet on the shared folder and read back."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/surveyspark-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(drop_written)
+    _written.add((spark.sparkContext.applicationId, folder))
+    df.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def drop_written(df: DataFrame | None = None) -> None:
+    """Delete what ``written`` left: the files behind ``df``, or all of them.
+    DataFrames that still read them stop working."""
+    spark = df.sparkSession if df is not None else SparkSession.getActiveSession()
+    for entry in list(_written):
+        app, folder = entry
+        name = folder.rsplit("/", 1)[1]
+        if df is not None and not any(name in f for f in df.inputFiles()):
+            continue
+        try:
+            if spark is not None and spark.sparkContext.applicationId == app:
+                _delete(spark, folder)
+        except Exception:  # noqa: BLE001  the session may be gone at interpreter exit
+            pass
+        _written.discard(entry)
+
+
+def data_version(spark: SparkSession, paths: list[str]) -> str:
+    """Length and modification time of all files under ``paths``, as text."""
+    found = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return repr(sorted(found))

@@ -8,10 +8,11 @@ and only filled in here, for local runs, when it is unset.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+from .plans import shared_folder
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "surveyspark") -> SparkSession:
@@ -34,17 +35,5 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint directory, creating a scratch one only when unset.
-
-    A directory configured by the cluster (``spark.checkpoint.dir``) always
-    wins; the scratch fallback exists for local tests only.
-    """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="surveyspark-ckpt-")
-    sc.setCheckpointDir(configured)
-    return configured
+    """The shared folder of ``spark.checkpoint.dir``; see ``plans.shared_folder``."""
+    return shared_folder(spark)

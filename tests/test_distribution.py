@@ -105,3 +105,49 @@ def test_semi_join_keeps_missing_when_frequent(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x int")
     kept = [r.x for r in dist.rows_with_top_values(df, "x", 2).collect()]
     assert sorted(kept, key=lambda v: (v is not None, v)) == [None, None, None, 1, 1]
+
+
+def test_box_stats_takes_any_column_names(spark):
+    from surveyspark.operators.distribution import box_stats
+
+    rows = [(g, float(v)) for g in (0, 1) for v in range(10 + g)]
+    want = box_stats(spark.createDataFrame(rows, "g int, v double"), "v", "g").orderBy("g").collect()
+    for value, group in (("n", "mean"), ("mean", "n"), ("min", "q1"), ("_v", "_g0"), ("_x", "a.b")):
+        df = spark.createDataFrame(rows, ["k", "x"]).toDF(group, value)
+        got = box_stats(df, value, group)
+        assert got.columns[0] == group
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want)
+
+
+def test_correlations_with_missing_values(spark):
+    import numpy as np
+    import pandas as pd
+
+    from surveyspark.operators.distribution import correlation_pairs
+    from surveyspark.plans import plan_text
+
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame(rng.normal(size=(300, 4)), columns=list("abcd"))
+    pdf["b"] += pdf["a"]
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.2)
+    pdf["d"] = 3.0
+    rows = [tuple(None if pd.isna(v) else float(v) for v in r) for r in pdf.itertuples(index=False)]
+    got = correlation_pairs(spark.createDataFrame(rows, "a double, b double, c double, d double"), list("abcd"))
+    plan, want = plan_text(got, "simple"), pdf.corr()
+    for r in got.collect():
+        if "d" in (r.col_x, r.col_y):
+            assert r["corr"] is None
+        else:
+            assert abs(r["corr"] - want.loc[r.col_x, r.col_y]) < 1e-12
+    assert plan.count("HashAggregate(") == 2  # one aggregate, partial and final, whatever the values
+
+
+def test_column_histograms_match_single_histograms(spark):
+    from surveyspark.operators.distribution import column_histograms, histogram
+
+    df = spark.range(200).selectExpr("id % 17 a", "id * 0.5 `b.c`", "cast(null as double) z")
+    got = column_histograms(df, ["a", "b.c", "z"], 7).collect()
+    for name, col in (("a", "a"), ("b.c", "bc")):
+        one = histogram(df.toDF("a", "bc", "z"), col, 7).where("n > 0").collect()
+        assert sorted((r.bin, r.bin_lo, r.bin_hi, r.n) for r in got if r.column_name == name) == sorted(tuple(r) for r in one)
+    assert not [r for r in got if r.column_name == "z"]

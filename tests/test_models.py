@@ -44,7 +44,7 @@ def test_large_penalty_zeroes_coefficients(spark, train):
 
 
 def test_fit_log_invariants(spark, train):
-    folded = sp.with_folds(train, C.portable_hash(), 3)
+    folded = sp.with_folds(train, C.portable_hash("fold"), 3)
     lr = LinearRegression(labelCol=LABEL, featuresCol=models.FEATURES)
     grid = (ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.5])
             .addGrid(lr.elasticNetParam, [0.0, 1.0]).build())
@@ -79,7 +79,7 @@ def test_gram_cv_agrees_with_spark_ml_cv_on_ridge(spark):
         if "elasticNetParam=0 " in key[1] or key[1].endswith("regParam=0"):
             assert la[key] == pytest.approx(lb[key], rel=1e-7)      # closed form
         else:
-            assert la[key] == pytest.approx(lb[key], rel=1e-2)      # L1, maxIter=5
+            assert la[key] == pytest.approx(lb[key], rel=1e-2)      # Spark ML stops at maxIter=5
     worst = max(a.avg_metrics)
     assert a.avg_metrics[a.best_index] <= worst
 
@@ -112,16 +112,59 @@ def test_scaling_leaves_ols_predictions_unchanged(spark, train):
     assert a == pytest.approx(b, rel=1e-9)
 
 
-def test_concurrent_and_sequential_folds_agree(spark, train):
-    folded = sp.with_folds(train, C.portable_hash(), 3)
-    lr = LinearRegression(labelCol=LABEL, featuresCol=models.FEATURES)
+def test_gram_cv_agrees_with_converged_spark_ml(spark, train):
+    """L1 points too, at the same tolerance."""
+    folded = sp.with_folds(train, C.portable_hash("fold"), 3)
+    points = [(0.02, 0.4), (0.09, 1.0), (0.05, 0.0)]
+    gram = linear_gram.gram_cross_validate(folded, MODEL_FEATURES, LABEL, "fold", 3, points, list("abc"))
+    lr = models.linear_stage(LABEL, models.SCALED, max_iter=1000).setTol(1e-13)
+    grid = [{lr.regParam: reg, lr.elasticNetParam: mix} for reg, mix in points]
+    ml = tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3,
+                               feature_stages=models.feature_stages(MODEL_FEATURES), refit=False)
+    a = {(r.fold, r.param_id): r.metric for r in gram.fit_log.collect()}
+    b = {(r.fold, r.param_id): r.metric for r in ml.fit_log.collect()}
+    assert a.keys() == b.keys()
+    for key in a:
+        assert a[key] == pytest.approx(b[key], rel=1e-6)
+
+
+def test_tuned_model_is_the_selected_optimum(spark):
+    cv = C.elastic_net_cv(spark, SF_SMALL)
+    train, _ = C.train_test(spark, SF_SMALL)
+    shift, stats = linear_gram.fold_statistics(train.withColumn("fold", F.lit(0)), MODEL_FEATURES, LABEL, "fold")
+    reg, mix = next((float(pm[lr.regParam]), float(pm[lr.elasticNetParam])) for lr, grid in [C.elastic_net_grid()]
+                    for i, pm in enumerate(grid) if i == cv.best_index)
+    _, w = linear_gram.solve_elastic_net(*stats[0], reg, mix)
+    lm = models.last_stage(cv.best_model)
+    sd = [r for r in train.agg(*[F.stddev_samp(f) for f in MODEL_FEATURES]).first()]
+    assert np.allclose(lm.coefficients.toArray() / np.array(sd), w, atol=1e-5)
+
+
+def test_gram_refuses_missing_values_empty_folds_and_slow_convergence(spark, train):
+    folded = sp.with_folds(train, C.portable_hash("fold"), 3)
+    holes = folded.withColumn("age", F.when(F.col("age") % 5 != 0, F.col("age")))
+    with pytest.raises(ValueError, match="age"):
+        linear_gram.gram_cross_validate(holes, ["prim_min", "age"], LABEL, "fold", 3, [(0.1, 0.0)], ["a"])
+    with pytest.raises(ValueError, match="folds"):
+        linear_gram.gram_cross_validate(folded, ["prim_min"], LABEL, "fold", 4, [(0.1, 0.0)], ["a"])
+    _, stats = linear_gram.fold_statistics(train.withColumn("fold", F.lit(0)), MODEL_FEATURES, LABEL, "fold")
+    with pytest.raises(ArithmeticError):
+        linear_gram.solve_elastic_net(*stats[0], reg=0.01, mix=0.5, max_sweeps=1)
+
+
+def test_cross_validation_equals_separate_fits(spark, train):
+    """One cached copy and one pool give what plain fits per fold give."""
+    folded = sp.with_folds(train, C.portable_hash("fold"), 3)
+    lr = LinearRegression(labelCol=LABEL, featuresCol=models.SCALED)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.3]).build()
     stages = models.feature_stages(["prim_min", "age"], scale=True)
-    logs = []
-    for mode in (True, False):
-        res = tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3, feature_stages=stages,
-                                    parallelism=3, refit=False, concurrent_folds=mode)
-        logs.append({(r.fold, r.param_id): r.metric for r in res.fit_log.collect()})
-    assert logs[0].keys() == logs[1].keys()
-    for key, value in logs[0].items():
-        assert value == pytest.approx(logs[1][key], rel=1e-12)
+    res = tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3, feature_stages=stages, parallelism=3, refit=False)
+    log = {(r.fold, r.param_id): r.metric for r in res.fit_log.collect()}
+    assert len(log) == 6
+    for f in range(3):
+        tr, va = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
+        fitted = stages.fit(tr)
+        for j, pm in enumerate(grid):
+            scored = lr.copy(pm).fit(fitted.transform(tr)).transform(fitted.transform(va))
+            want = scored.agg(F.sqrt(F.avg((F.col(LABEL) - F.col("prediction")) ** 2))).first()[0]
+            assert log[(f, j)] == pytest.approx(want, rel=1e-9)

@@ -1,11 +1,11 @@
-"""Plan shape: pushdown and pruning reach the scan, bounded broadcasts,
-lineage cut by checkpoint, no Python UDF in the hot path."""
+"""Plan shape: pushdown and pruning reach the scan of the written table, no
+shuffle of values, no Python UDF in the hot path, nothing left behind."""
 
 from pyspark.sql import functions as F
 
 from surveyspark import catalog as C
 from surveyspark.functions import drop_codes, keep_codes
-from surveyspark.plans import bounded_broadcast, checkpoint_dir, materialize, plan_text
+from surveyspark.plans import data_version, drop_written, plan_text, shared_folder, written
 from surveyspark.sources import read_table
 
 from .conftest import SF_SMALL
@@ -20,10 +20,15 @@ def test_keep_null_deny_list_is_pushed_to_parquet(spark):
 
 
 def test_survey_scan_reads_only_needed_columns(spark):
-    plan = plan_text(C.q_case_calendar(spark, SF_SMALL))
-    # lineitem is read with the projected columns only
+    from surveyspark.sources import survey
+
+    # the join that builds the table reads the needed source columns only
+    plan = plan_text(survey(spark, SF_SMALL))
     li = [line for line in plan.splitlines() if "ReadSchema" in line and "l_orderkey" in line]
     assert li and all("l_extendedprice" not in line for line in li)
+    # and a query reads its own columns of the table
+    plan = plan_text(C.q_case_calendar(spark, SF_SMALL))
+    assert "ReadSchema: struct<case_id:bigint>" in plan
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
@@ -33,24 +38,72 @@ def test_grouping_sets_single_aggregate(spark):
     assert plan.count("HashAggregate(") == 2          # partial + final, one shuffle
 
 
-def test_bounded_broadcast_refuses_large_bounds(spark):
-    df = spark.range(10)
-    assert "BroadcastHashJoin" in plan_text(spark.range(100).join(bounded_broadcast(df, 10), "id"))
-    assert bounded_broadcast(df, 10**9) is df
+def test_cleaning_rules_reach_the_scan(spark):
+    plan = plan_text(C.q_clean_survey(spark, SF_SMALL))
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    for rule in ("Not(EqualTo(bmi,-1.0))", "In(soda, [1,2,3])", "In(exercise, [1,2])", "In(income, [1,2,3])",
+                 "Not(EqualTo(exfreq,-1))", "Not(EqualTo(loc,-1))"):
+        assert rule in pushed.replace("Not(In(exfreq, [-1]))", "Not(EqualTo(exfreq,-1))"), (rule, pushed)
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_fits_read_few_columns(spark):
+    train, _ = C.train_test(spark, SF_SMALL)
+    plan = plan_text(train.select("prim_min", "bmi"))
+    schema = next(line for line in plan.splitlines() if line.startswith("ReadSchema"))
+    read = {part.split(":")[0].split("<")[-1] for part in schema.split("struct<")[1].split(",")}
+    # label and feature, the cleaning rules' columns and the row key
+    assert read == {"bmi", "prim_min", "soda", "exercise", "income", "exfreq", "loc",
+                    "l_orderkey", "activity_n", "l_partkey", "l_suppkey"}
+
+
+def test_one_join_per_session(spark):
+    first = C.survey_table(spark, SF_SMALL)
+    assert C.survey_table(spark, SF_SMALL) is first
+    plan = plan_text(C.q_correlation_pairs(spark, SF_SMALL))
+    assert "Join" not in plan and "lineitem" not in plan
+
+
+def test_written_prunes_and_is_removed(spark):
+    out = written(spark.range(100).selectExpr("id", "id * 2 x", "'a' y"))
+    assert "ReadSchema: struct<x:bigint>" in plan_text(out.select("x")) and out.count() == 100
+    files = out.inputFiles()
+    assert all(shared_folder(spark).split(":")[-1] in f for f in files)
+    drop_written(out)
+    import os
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_data_version_follows_the_files(spark, scratch):
+    spark.range(3).write.parquet(f"{scratch}/t")
+    before = data_version(spark, [f"{scratch}/t"])
+    assert data_version(spark, [f"{scratch}/t"]) == before
+    spark.range(4).write.mode("append").parquet(f"{scratch}/t")
+    assert data_version(spark, [f"{scratch}/t"]) != before
+
+
+def _exchanges(plan):
+    return [line for line in plan.splitlines() if "hashpartitioning" in line]
+
 
+def test_box_stats_and_describe_shuffle_no_values(spark):
+    for q in (C.q_box_stats_by_code, C.q_box_stats_by_sex, C.q_describe_numeric):
+        plan = plan_text(q(spark, SF_SMALL), "simple")
+        assert "PythonUDF" not in plan
+        for line in _exchanges(plan):
+            assert not any(f"{c}#" in line for c in ("_x", "_v", "value", "bmi")), line
 
-def test_materialize_uses_checkpoint_dir(spark):
-    assert checkpoint_dir(spark.range(1)) is not None
-    out = materialize(spark.range(100).withColumn("x", F.col("id") * 2))
-    assert out.count() == 100
-    assert "Scan ExistingRDD" in plan_text(out) or "LogicalRDD" in plan_text(out, "extended")
 
+def test_quantile_passes_shuffle_only_bucket_counts(spark, monkeypatch):
+    from surveyspark.operators import quantiles
 
-def test_box_stats_has_no_python_and_broadcasts_summary(spark):
-    plan = plan_text(C.q_box_stats_by_code(spark, SF_SMALL))
-    assert "PythonUDF" not in plan
-    # the per-group summary (counted, bounded) is broadcast to the value counts
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    plans = []
+    refine = quantiles._refine
+    monkeypatch.setattr(quantiles, "_refine", lambda *a: plans.append(plan_text(refine(*a), "simple")) or refine(*a))
+    C.q_box_stats_by_code(spark, SF_SMALL)
+    assert plans
+    for plan in plans:
+        assert not any("_v#" in line for line in _exchanges(plan))
 
 
 def test_survey_join_order_without_broadcast(spark):
@@ -70,7 +123,7 @@ def test_survey_join_order_without_broadcast(spark):
                                    "o_custkey", "c_custkey"])
 
 
-def test_survey_star_broadcast_when_small(spark):
+def test_survey_broadcasts_small_sides(spark):
     from surveyspark.sources import survey
     plan = plan_text(survey(spark, SF_SMALL), "simple")
     assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan

@@ -28,16 +28,56 @@ def test_folds_cover_rows_once(keyed):
     assert set(counts) == {0, 1, 2} and sum(counts.values()) == 2000
 
 
-@pytest.mark.parametrize("fraction,buckets,max_rows", [
-    (0.3, 4, 1_000_000), (0.3, 4, 10), (0.3, 2, 1), (0.3, 64, 50), (0.5, 1, 10**6),
-    (0.0, 8, 10), (1.0, 8, 10), (0.123, 1 << 16, 10**6), (0.7, 3, 5)])
-def test_exact_split_matches_full_sort(keyed, fraction, buckets, max_rows):
+def expected_test_rows(rows, fraction):
+    return sorted(rows)[:math.ceil(fraction * len(rows))]
+
+
+@pytest.mark.parametrize("fraction,buckets", [
+    (0.3, 4), (0.3, 2), (0.3, 64), (0.0, 8), (1.0, 8), (0.123, 1 << 16), (0.7, 3)])
+def test_exact_split_matches_full_sort(keyed, fraction, buckets):
     # 997 order values for 2000 rows: ties on the order value, broken by key
     order = keyed.withColumn("o", F.pmod(F.col("k") * 7919 + 13, F.lit(997)))
-    out = sp.with_exact_split(order, fraction, "o", ["k"], 997, buckets=buckets,
-                              max_rank_rows=max_rows)
-    got = {r.k for r in out.where(F.col("split") == "test").collect()}
-    rows = sorted((r.o, r.k) for r in order.collect())
-    m = math.ceil(fraction * len(rows))
-    assert got == {k for _, k in rows[:m]}
-    assert out.count() == 2000
+    out = sp.with_exact_split(order, fraction, "o", ["k"], buckets=buckets)
+    got = sorted((r.o, r.k) for r in out.where(F.col("split") == "test").collect())
+    assert got == expected_test_rows([(r.o, r.k) for r in order.collect()], fraction)
+    assert out.count() == 2000 and out.columns == order.columns + ["split"]
+
+
+@pytest.mark.parametrize("n,keys,fraction", [(100, 2, 0.3), (500, 1, 0.5), (97, 7, 0.9), (64, 1, 0.01)])
+def test_exact_split_is_exact_on_duplicate_keys(spark, n, keys, fraction):
+    df = spark.range(n).selectExpr(f"id % {keys} k", f"id % {keys} * 5 o", "id % 3 payload").repartition(4)
+    out = sp.with_exact_split(df, fraction, "o", ["k"], buckets=8)
+    test = out.where("split = 'test'").collect()
+    assert len(test) == math.ceil(fraction * n) and out.count() == n
+    want = expected_test_rows([(r.o, r.k) for r in df.collect()], fraction)
+    assert sorted((r.o, r.k) for r in test) == want
+
+
+def test_exact_split_with_equal_hashes_extremes_and_nulls(spark):
+    rows = [(0, -2**63), (0, 2**63 - 1), (0, 5), (0, None), (None, 1), (None, None), (0, 5), (0, -7)]
+    df = spark.createDataFrame(rows, "o long, k long")
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)
+    for m in range(1, len(rows)):
+        out = sp.with_exact_split(df, m / len(rows), "o", ["k"], buckets=3)
+        got = sorted(((r.o, r.k) for r in out.where("split = 'test'").collect()), key=key)
+        assert got == sorted(rows, key=key)[:m]
+
+
+def test_split_sides_and_folds_are_independent_of_the_label_noise(spark):
+    """Within each activity the label's noise term does not differ by side."""
+    from surveyspark import catalog as C
+
+    noise = ((F.col("l_orderkey") * 7919 + F.col("l_partkey")) % 100) / 25.0
+    df = sp.with_folds(sp.with_split(C.cleaned(spark, "/root/testdata/sf0.1"), C.portable_hash("split")),
+                       C.portable_hash("fold"), 4).withColumn("noise", noise)
+    for side in ("split", "fold"):
+        means = df.groupBy("activity_n", side).agg(F.avg("noise").alias("m"), F.stddev("noise").alias("s"),
+                                                   F.count("*").alias("n")).collect()
+        for r in means:
+            others = [o for o in means if o.activity_n == r.activity_n]
+            overall = sum(o.m * o.n for o in others) / sum(o.n for o in others)
+            assert abs(r.m - overall) < 5 * r.s / math.sqrt(r.n)
+    sides = df.groupBy("split", "fold").count().collect()
+    total = sum(r["count"] for r in sides)
+    for r in sides:
+        assert abs(r["count"] / total - (0.7 if r["split"] == "train" else 0.3) / 4) < 0.005
