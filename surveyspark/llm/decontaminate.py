@@ -191,8 +191,10 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold:
 
 
 def _finder(shared, shingle: int, threshold: float):
+    key = _key(shared.value, shingle, threshold)
+
     def run(batch: pa.RecordBatch):
-        block = _block(shared, shingle, threshold)
+        block = _block(key, shared, shingle, threshold)
         out: dict[str, list] = {"id": [], "item_id": [], "n_shared": [], "n_item": [], "containment": []}
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for number, n_shared, n_item in block.contained(text) if text else ():
@@ -209,9 +211,12 @@ def _finder(shared, shingle: int, threshold: float):
 _BLOCKS: dict[str, Block] = {}
 
 
-def _block(shared, shingle: int, threshold: float) -> Block:
+def _key(items: list[tuple], shingle: int, threshold: float) -> str:
+    return xxhash.xxh3_128_hexdigest(repr((items, shingle, threshold)).encode("utf-8", "surrogatepass"))
+
+
+def _block(key: str, shared, shingle: int, threshold: float) -> Block:
     """The sketches of a broadcast block, built once per worker; one is kept."""
-    key = xxhash.xxh64_hexdigest(repr((shared.value, shingle, threshold)).encode("utf-8", "surrogatepass"))
     if key not in _BLOCKS:
         _BLOCKS.clear()
         _BLOCKS[key] = Block(shared.value, shingle, threshold)
@@ -230,8 +235,10 @@ def clean(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float
 
 
 def _keeper(shared, shingle: int, threshold: float, at: int):
+    key = _key(shared.value, shingle, threshold)
+
     def run(batch: pa.RecordBatch):
-        block = _block(shared, shingle, threshold)
+        block = _block(key, shared, shingle, threshold)
         keep = pa.array([not (t and block.contained(t)) for t in batch.column(at).to_pylist()], pa.bool_())
         left = batch.filter(keep)
         yield {name: left.column(i) for i, name in enumerate(left.schema.names)}
