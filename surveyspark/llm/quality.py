@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     sample = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
                  .join(F.broadcast(wanted), "id")  # at most SAMPLE rows
                  .groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-                 .repartition(8, "id"))
+                 .repartition(8))
 
     def sums(batches):
         total = np.zeros((BUCKETS, DIMS), np.int64)
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         yield pa.RecordBatch.from_pydict({"sums": [total.astype(np.int32).tobytes()]})
 
     total = np.zeros((BUCKETS, DIMS), np.int64)
-    for row in map_arrow(sample.select("text"), sums, "sums binary").toLocalIterator():  # 8 rows of 1 MB
+    for row in map_arrow(sample.select("text"), sums, "sums binary").collect():  # 8 rows of 1 MB
         total += np.frombuffer(row["sums"], np.int32).reshape(BUCKETS, DIMS)
     vectors = word_vectors(total)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
