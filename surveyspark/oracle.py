@@ -268,6 +268,51 @@ select c.fold, c.param_id, c.label as params,
 from cvd v join coef c on v.fold = c.fold
 group by c.fold, c.param_id, c.label"""
 
+def _elastic_all() -> str:
+    """The grid on all features by cyclic coordinate descent in a recursive CTE:
+    fold -1 is a fit on all training rows. Ends in ``log``, ``rk`` (as in ``CV``)
+    and ``enet`` (fold, param_id, b0, b1 .. bp)."""
+    x = dict(enumerate(MODEL_FEATURES, 1))
+    p = len(x)
+    pairs = [(i, j) for i in x for j in x if i < j]
+
+    def g(i: int, j: int) -> str:
+        return f"g{min(i, j)}_{max(i, j)}"
+
+    moments = ", ".join([f"avg(t.{f}) as m{i}, stddev_pop(t.{f}) as s{i}, covar_pop(t.{f}, t.bmi) as c{i}" for i, f in x.items()]
+                        + [f"covar_pop(cast(t.{x[i]} as double), cast(t.{x[j]} as double)) as k{i}_{j}" for i, j in pairs]
+                        + ["avg(t.bmi) as my, stddev_pop(t.bmi) as sy"])
+    scaled = ", ".join([f"c{i} / s{i} as q{i}" for i in x] + [f"k{i}_{j} / (s{i} * s{j}) as {g(i, j)}" for i, j in pairs])
+    sweep = "(select r.k, r.fold, r.param_id, " + ", ".join(f"w{i}" for i in x) + ", p.* exclude (fold, param_id) " \
+            "from cd r join pts p using (fold, param_id) where r.k < 250)"
+    for i in x:  # each coordinate sees the new values of those before it
+        rest = "".join(f" - {g(i, j)} * {'v' if j < i else 'w'}{j}" for j in x if j != i)
+        sweep = (f"(select *, sign(r{i}) * greatest(abs(r{i}) - l1, 0) / (1 + l2) as v{i} "
+                 f"from (select *, q{i}{rest} as r{i} from {sweep}))")
+    return f""", cvd as (select *, cast({FOLD_HASH} % 3 as integer) as fold from tr),
+fl as (select distinct fold from cvd union all select -1),
+mo as (select fl.fold, {moments} from fl join cvd t on t.fold <> fl.fold group by fl.fold),
+pts as (select mo.*, {scaled}, g.param_id, g.label, lam * alpha as l1, lam * (1 - alpha) / sy as l2
+        from mo cross join {_elastic_grid_sql()}),
+cd as (select 0 as k, fold, param_id, {", ".join(f"0E0 as w{i}" for i in x)} from pts
+       union all select k + 1, fold, param_id, {", ".join(f"v{i}" for i in x)} from {sweep}),
+enet as (select fold, param_id, label, {", ".join(f"w{i} / s{i} as b{i}, w{i} / s{i} * sd{i} as z{i}" for i in x)},
+           my{"".join(f" - w{i} / s{i} * m{i}" for i in x)} as b0
+         from cd join pts using (fold, param_id),
+           (select {", ".join(f"stddev_samp({f}) as sd{i}" for i, f in x.items())} from tr) where k = 250),
+log as (select v.fold, param_id, label as params, sqrt(avg(power(bmi - ({PREDICTED}), 2))) as metric
+        from cvd v join enet e on v.fold = e.fold group by all),
+rk as (select param_id, params, avg(metric) as avg_metric, stddev_samp(metric) as std_metric,
+         arg_max(metric, fold) as last_fold_metric, count(*) as folds,
+         cast(row_number() over (order by round(avg(metric), 12), params) as integer) as rank
+       from log group by param_id, params),
+tuned as (select enet.* from enet join rk using (param_id) where enet.fold = -1 and rk.rank = 1)"""
+
+
+def _elastic(sql: str) -> str:
+    return _edited(SPLIT + _elastic_all() + sql).replace("with survey as", "with recursive survey as", 1)
+
+
 RANK_COLS = ("param_id, params, round(avg_metric, 6) as avg_metric, "
              "round(std_metric, 6) as std_metric, round(last_fold_metric, 6) as last_fold_metric, "
              "folds, rank")
@@ -413,6 +458,19 @@ select l_orderkey, activity_n, l_partkey, l_suppkey, round(i + s * prim_min, 6)
   round(bmi - (i + s * prim_min), 6) as residual
 from te, f"""),
     "elastic_net_fold_metrics": _edited(SPLIT + ELASTIC_ONE),
+    "elastic_net_cv": _elastic(f"\nselect {RANK_COLS} from rk"),
+    "elastic_net_comparison": _elastic(_least_squares("tr") + f"""
+select params as model, 'validation_mean' as metric_split, 'rmse' as metric, round(avg_metric, 6) as value
+from rk where rank <= 3
+union all select 'intercept', 'test', 'rmse', round(sqrt(avg(power(bmi - mu, 2))), 6)
+from te, (select avg(bmi) as mu from tr)
+union all select 'unscaled', 'test', 'rmse', round(sqrt(avg(power(bmi - ({PREDICTED}), 2))), 6) from te, coef
+union all select 'tuned', 'test', 'rmse', round(sqrt(avg(power(bmi - ({PREDICTED}), 2))), 6) from te, tuned"""),
+    "coefficient_table_tuned": _elastic(_least_squares("tr") + """
+select 'intercept' as feature, round(coef.b0, 6) as not_scaled, round(coef.b0, 6) as scaled,
+  round(tuned.b0, 6) as best_scaled from coef, tuned""" + "".join(
+        f"\nunion all select '{f}', round(coef.b{i}, 6), round(coef.b{i} * sd{i}, 6), round(tuned.z{i}, 6) + 0E0 from coef, tuned"
+        for i, f in enumerate(MODEL_FEATURES, 1))),
     "cv_fold_metrics_ols": _edited(SPLIT + CV + """
 select fold, param_id, params, round(metric, 6) as metric from log"""),
     "cv_running_average": _edited(SPLIT + CV + """

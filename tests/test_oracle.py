@@ -25,8 +25,7 @@ def test_every_query_is_registered_with_oracle_or_rows_only():
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
     rows_only = set(QUERIES) - set(orc)
-    assert rows_only == {"coefficient_table_tuned", "forest_best_importances",
-                         "elastic_net_cv", "elastic_net_comparison", "forest_rmse",
+    assert rows_only == {"forest_best_importances", "forest_rmse",
                          "forest_importances", "forest_cv", "forest_topk",
                          "forest_generalisation_ratio", "importance_vs_coefficient"}
 
