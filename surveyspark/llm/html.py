@@ -66,6 +66,8 @@ NEVER_WORDS = frozenset("""ad ads advert adverts advertisement advertisements ad
  toolbar topbar widget widgets""".split())
 
 RAW = "script|style|xmp|iframe|noembed|noframes|textarea|title"
+#: After these a boilerplate word tells of the layout ("with-sidebar"), not the element.
+LAYOUT = frozenset("no with has without hide hides".split())
 #: Splits markup into text, raw elements, end tags, start tags and attributes.
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({RAW})\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
@@ -91,9 +93,11 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         elif name == "role":
             if value.lower() in NEVER_ROLES:
                 return True
-        elif tag not in ("body", "html", "main") and not NEVER_WORDS.isdisjoint(
-                x.lower() for x in NAME_PARTS.findall(value)):
-            return True
+        elif tag not in ("body", "html", "main"):
+            for one in value.split():
+                parts = [x.lower() for x in NAME_PARTS.findall(one)]
+                if any(x in NEVER_WORDS and (not i or parts[i - 1] not in LAYOUT) for i, x in enumerate(parts)):
+                    return True
     return False
 
 
@@ -106,6 +110,7 @@ class Open(NamedTuple):
     zone: int  # 2 in main, 1 in article, else 0
     marks: tuple[int, ...]  # the candidate subtrees around and with it
     own: int  # its own number among the candidates, or -1
+    in_form: bool = False  # boilerplate only for the form around it
 
 
 def shut_before(tag: str, stack: list[Open]) -> int:
@@ -194,7 +199,9 @@ def parse(markup: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
                 close(depth)
             above = stack[-1]
             zone = 2 if tag == "main" or attributes and 'role="main"' in attributes else 1 if tag == "article" else 0
-            never = above.never or is_boilerplate(tag, attributes, above.zone > 0)
+            around = above.never and not (zone and above.in_form)  # some sites wrap all of a page in a form
+            never = around or is_boilerplate(tag, attributes, above.zone > 0)
+            in_form = never and (above.in_form if around else tag == "form")
             zone = max(above.zone, 0 if never else zone)
             stream.append(tag)
             marks, own = above.marks, -1
@@ -202,7 +209,7 @@ def parse(markup: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
                 own = len(hashes)
                 hashes.append(0)
                 marks = (*marks, own)
-            stack.append(Open(tag, len(stream) - 1, never, zone, marks, own))
+            stack.append(Open(tag, len(stream) - 1, never, zone, marks, own, in_form))
         elif raw:
             stream.append(raw)
     close(1)

@@ -27,6 +27,13 @@ def test_odd_markup():
     assert text_of("<header><h1>Site</h1></header><main><header><h1>T</h1></header>b</main>c") == "T\nb"
 
 
+def test_names_and_forms():
+    assert text_of("<div class='content with-sidebar no-nav'><p>kept</p></div><div class='left-sidebar'>x</div>") == "kept"
+    assert text_of("<div class='postComments'>x</div><div id=cookieNotice>x</div><div class='address'>kept</div>") == "kept"
+    assert text_of("<form id=f><nav>n</nav><main><p>kept<form>x</form></main></form>") == "kept"
+    assert text_of("<nav><main>x</main></nav><p>kept") == "kept"
+
+
 def pages(spark):
     def page(menu, body, box=""):
         return f"<html><body><div>{menu}</div>{body}<div>{box}</div></body></html>"
