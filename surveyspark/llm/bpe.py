@@ -35,12 +35,12 @@ from surveyspark.llm.common import map_batches
 #: Bytes above which a word goes through the heap.
 LONG_WORD = 400
 #: Solved words kept by a task; a full table keeps those of the current block.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Words looked up at once: bounds memory for very long texts.
 BLOCK_WORDS = 100_000
 
 #: Bytes of words merged by one recursive query.
-QUERY_BYTES = 600_000
+QUERY_BYTES = 300_000
 #: Over the length of any word in the query: ``rank * SPAN + pos`` orders pairs.
 SPAN = 1024
 

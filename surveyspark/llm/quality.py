@@ -64,12 +64,12 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def bucket(word: str) -> int:
     return crc32(word.encode()) % BUCKETS
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def shape(word: str) -> int:
     if not (word[0].isalnum() or word[0] == "_"):
         return 6 if len(word) == 1 else 7
