@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.llm.common import cut, map_arrow, map_batches
@@ -67,12 +67,13 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, fp`` (the 64 bits as a signed long) per row."""
+    """``id, text_hash, fp`` (the 64 bits as a signed long) per row."""
     def run(batch: pa.RecordBatch):
         fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-        yield {"id": batch.column(0), "fp": fp.view(np.int64)}
+        yield {"id": batch.column(0), "text_hash": batch.column(2), "fp": fp.view(np.int64)}
 
-    return map_batches(docs.select(id_col, text_col), run, f"id {dict(docs.dtypes)[id_col]}, fp long")
+    return map_batches(docs.select(id_col, text_col, F.xxhash64(text_col)), run,
+                       f"id {dict(docs.dtypes)[id_col]}, text_hash long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -222,16 +223,20 @@ def close_links(edges: DataFrame) -> DataFrame:
             return edges.selectExpr("a node", "b root")
 
 
+def component_roots(kept: DataFrame, first: Column, max_bits: int) -> DataFrame:
+    """``fp, first, root`` per distinct fingerprint; ``first`` aggregates its rows."""
+    roots = close_links(fingerprint_edges(kept.select("fp").distinct(), max_bits))
+    # per fingerprint first: the join then sees each fingerprint once
+    return kept.groupBy("fp").agg(first.alias("first")).join(
+        roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``id_col, fingerprint`` (16 hex digits)``, component_id`` per row."""
-    kept = cut(fingerprints(docs, shingle, id_col, text_col))
-    roots = close_links(fingerprint_edges(kept.select("fp").distinct(), max_bits))
-    # least id per fingerprint first: the join then sees each fingerprint once
-    least = kept.groupBy("fp").agg(F.min("id").alias("first_id"))
-    classes = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
-    ids = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    kept = cut(fingerprints(docs, shingle, id_col, text_col).select("id", "fp"))
+    classes = component_roots(kept, F.min("id"), max_bits)
+    ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(ids, "root").select("fp", "component_id")
     return kept.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -239,11 +244,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, of the document that stands for
-    its class: the one whose id is the class id. Rows that repeat that id leave
-    one row."""
-    classes = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    chosen = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("chosen_id")).distinct()
-    return (docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("chosen_id")), "left_semi")
-            .dropDuplicates([id_col]))
+    """One row of ``docs``, with all columns, per class: the one of least id (a
+    null id only for want of others), then of least text hash. Ids need not be
+    unique: a row is found again by its id and text."""
+    kept = cut(fingerprints(docs, shingle, id_col, text_col))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
+    chosen = (component_roots(kept, first, max_bits).groupBy("root").agg(F.min("first").alias("first"))
+              .select(F.col("first.id").alias("chosen_id"), F.col("first.text_hash").alias("chosen_hash")))
+    # nested, so that no column of ``docs`` clashes with the keys
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    return (keyed.join(chosen, F.col("id").eqNullSafe(F.col("chosen_id"))
+                       & (F.col("text_hash") == F.col("chosen_hash")), "left_semi")
+            .dropDuplicates(["id", "text_hash"]).select("row.*"))

@@ -92,6 +92,19 @@ def test_classes_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_one_row_stays_per_class_whatever_its_ids(spark):
+    """Null ids and one id over texts of different classes."""
+    rng = random.Random(6)
+    a, b, c, d, e, f = (" ".join(rng.choices([f"w{i}" for i in range(400)], k=80)) for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (2, e), (3, e), (4, f), (None, f), (5, a.upper()),
+            (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, text_hash int")
+    kept = simhash.keep_one(docs.repartition(5))
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(5, a.upper()), (None, b), (1, c), (2, d), (2, e), (4, f), (None, "")], key=str)
+
+
 def test_chain_of_fingerprints_closes(spark):
     """A path of links much longer than a star."""
     fp, chain = 0, [0]
