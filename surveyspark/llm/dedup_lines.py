@@ -3,7 +3,8 @@
 A unit is a line; a long line is cut at sentence ends, each piece of at least
 ``CUT_WORDS`` words, so that a passage pasted into a paragraph still yields
 units of its own. Units are normalised (lower case, white space runs to one
-space) and, from ``min_words`` words on, hashed to 128 bits. Spark groups the
+space) and hashed to 128 bits: whole lines whatever their length, pieces from
+``min_words`` words on. Spark groups the
 digests globally (partial minima before the shuffle, so a line that a third of
 all documents hold costs one row per task), the occurrence of least rank
 (document id, text hash, unit number) stays, and all others are cut out of their
@@ -50,9 +51,11 @@ def units(text: str) -> Iterator[tuple[int, int]]:
 
 def digests(text: str | None, min_words: int) -> Iterator[tuple[int, int, int]]:
     """(unit number, digest high, digest low) of the units that count."""
-    for number, (start, end) in enumerate(units(text or "")):
-        words = text[start:end].lower().split() if end - start > 2 * min_words - 2 else ()
-        if len(words) >= min_words:
+    text = text or ""
+    for number, (start, end) in enumerate(units(text)):
+        words = text[start:end].lower().split()
+        whole = (not start or text[start - 1] == "\n") and (end == len(text) or text[end] == "\n")
+        if words and (whole or len(words) >= min_words):
             digest = xxhash.xxh3_128_digest(" ".join(words).encode())
             yield number, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 

@@ -85,6 +85,15 @@ def test_pasted_passage_goes_but_for_its_ends(spark):
     assert got[2]["removed"][0]["kept_id"] == 1
 
 
+def test_whole_lines_go_whatever_their_length(spark):
+    rows = [(1, "Read more\nOwn words of the first.\n\n-\nles."), (2, "read  MORE\nOwn words of the second, read more\n\n-\nLes."),
+            (3, "Les.")]
+    got = {r["doc_id"]: r for r in dl.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
+    assert got[2]["text"].rstrip("\n") == "Own words of the second, read more" and got[2]["n_removed"] == 3
+    assert got[3]["text"] == "" and got[3]["removed"][0]["kept_id"] == 1
+
+
 @given(st.text("ab. !?\n", max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_units_tile_the_text(text):
