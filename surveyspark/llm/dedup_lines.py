@@ -1,10 +1,14 @@
 """Line and sentence de-duplication across documents by unit digests.
 
-A unit is a line; a long line is cut at sentence ends, each piece of at least
-``CUT_WORDS`` words, so that a passage pasted into a paragraph still yields
-units of its own. Units are normalised (lower case, white space runs to one
-space) and hashed to 128 bits: whole lines whatever their length, pieces from
-``min_words`` words on. Spark groups the
+A unit is a line, or a piece of a line; where a line is cut depends only on the
+words near the cut, never on what precedes, so that a passage pasted into a
+paragraph yields the same units in every document. A sentence of ``SHORT`` words
+or more stands for itself, and so does an unbroken run of shorter ones (one of
+under ``SHORT`` words in all goes with the next sentence); within these a cut falls
+before each word whose hash (with the next word's) is the least of the ``NEAR``
+words on either side. Units are normalised (lower case, white
+space runs to one space) and hashed to 128 bits: whole lines whatever their
+length, pieces from ``min_words`` words on. Spark groups the
 digests globally (partial minima before the shuffle, so a line that a third of
 all documents hold costs one row per task), the occurrence of least rank
 (document id, text hash, unit number) stays, and all others are cut out of their
@@ -22,6 +26,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
@@ -30,23 +36,83 @@ from pyspark.sql import functions as F
 
 from surveyspark.llm.common import map_batches
 
-#: Words a piece of a line has at least, but for the line's last.
-CUT_WORDS = 8
-END = re.compile(r"[.!?]+(?=\s)|\n")
+#: Sentences of fewer words are no units of their own.
+SHORT = 5
+#: A cut's word hash is the least of so many words on either side.
+NEAR = 5
+#: Words from cut to cut where none is found in over 4 * ``NEAR`` words.
+STEP = 9
+END = re.compile(r"[.!?]+(?=\s)")
+WORD = re.compile(r"\S+")
+
+
+def cut_words(text: str) -> list[int]:
+    """Numbers of the words before which a sentence is cut. The window lies
+    within the sentence, so a piece has over ``NEAR`` words. Where words repeat
+    so that long none is least, cuts follow at even steps."""
+    words = " ".join(text.lower().split()).encode().split(b" ")
+    if len(words) < 2 * NEAR + 2:
+        return []
+    h = list(map(crc32, words[1:], map(crc32, words)))
+    cuts, i = [0], NEAR + 1
+    while i < len(words) - NEAR:
+        window = h[i - NEAR:i + NEAR + 1]
+        least = i - NEAR + window.index(min(window))
+        if least == i:
+            cuts.append(i)
+        # none between the least word and the end of its reach is a least one
+        i = least if least > i else least + NEAR + 1
+    cuts.append(len(words))
+    for at, to in zip(cuts[:-1], cuts[1:]):
+        if to - at > 4 * NEAR:
+            cuts.extend(range(at + STEP, to - NEAR, STEP))
+    return sorted(cuts)[1:-1]
+
+
+def sentences(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans of a line: long sentences, and runs of short ones. A run too short
+    for a unit goes with the sentence after it, if there is one."""
+    spans: list[tuple[int, int]] = []
+    at = run = start
+    short = 0  # words in the run from ``run`` to ``at``
+    for to in (*(found.end() for found in END.finditer(text, start, end)), end):
+        n = len(text[at:to].split())
+        if n >= SHORT:
+            if short >= SHORT:
+                spans.append((run, at))
+                run = at
+            spans.append((run, to))
+            run, short = to, 0
+        else:
+            short += n
+        at = to
+    if spans and (run == end or text[run:end].isspace()):
+        spans[-1] = (spans[-1][0], end)
+    else:
+        spans.append((run, end))
+    return iter(spans)
 
 
 def units(text: str) -> Iterator[tuple[int, int]]:
     """Consecutive (start, end) spans; newlines lie between units."""
-    start = 0
-    for found in END.finditer(text):
-        at, to = found.span()
-        if text[at] == "\n":
-            yield start, at
-            start = to
-        elif text.count(" ", start, to) >= CUT_WORDS:
+    line = 0
+    while True:
+        end = text.find("\n", line)
+        end = len(text) if end < 0 else end
+        for start, to in sentences(text, line, end):
+            cuts = cut_words(text[start:to])
+            if cuts:
+                words = WORD.finditer(text, start, to)
+                passed = 0
+                for number in cuts:
+                    at = next(islice(words, number - passed, None)).start()
+                    passed = number + 1
+                    yield start, at
+                    start = at
             yield start, to
-            start = to
-    yield start, len(text)
+        if end == len(text):
+            return
+        line = end + 1
 
 
 def digests(text: str | None, min_words: int) -> Iterator[tuple[int, int, int]]:

@@ -94,6 +94,24 @@ def test_whole_lines_go_whatever_their_length(spark):
     assert got[3]["text"] == "" and got[3]["removed"][0]["kept_id"] == 1
 
 
+def test_passages_go_wherever_the_sentences_end(spark):
+    """No sentence end, and sentences too short to be units, at shifted places."""
+    rng = random.Random(3)
+
+    def words(n):
+        return [f"word{i}" for i in rng.choices(range(2000), k=n)]
+
+    passages = [" ".join(words(50)), " ".join(". ".join([" ".join(words(3)) for _ in range(17)]).split())]
+    for passage in passages:
+        rows = [(i, " ".join([*words(7 + 3 * i), passage, *words(9)])) for i in range(6)]
+        got = {r["doc_id"]: r for r in dl.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[0]["n_removed"] == 0
+        assert all(got[i]["n_removed"] and {s["kept_id"] for s in got[i]["removed"]} == {0} for i in range(1, 6))
+    # the same words in steps where none is least
+    got = dl.dedup(spark.createDataFrame([(1, "one. " * 60)], "doc_id long, text string")).first()
+    assert len(got["text"].split()) < 20
+
+
 @given(st.text("ab. !?\n", max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_units_tile_the_text(text):
