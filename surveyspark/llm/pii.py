@@ -51,8 +51,8 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = (r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
         r"|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])")
 ALL = "|".join(f"(?:{p})" for p in (EMAIL, KEY_PREFIX, HEX, IBAN, IP, CARD, PHONE, SSN, DATE))
-#: What a text needs to be searched.
-MAYBE = r"[0-9@]|gh[pousr]_|sk-"
+#: What a text needs to be searched; every match of ``ALL`` holds it.
+MAYBE = r"[0-9@]|gh[pousr]_|sk-|AKIA|ASIA|[a-fA-F]{32}"
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773  # 189 * 773 = 146,097 days
 
 

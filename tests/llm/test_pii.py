@@ -105,6 +105,13 @@ def test_mail_and_secrets(spark):
     assert got[4].startswith("AKIA") and len(got[4]) == 20 and got[5].startswith("ghp_") and len(got[5]) == 40
 
 
+def test_secrets_without_digits_in_texts_without_digits(spark):
+    old = ["key AKIA" + "Q" * 16 + ".", "key ASIA" + "QWERTYUI" * 2, "token " + "abcdefAB" * 4]
+    alone, beside = replaced(spark, old), replaced(spark, [x + " 7" for x in old])
+    for text, new, other in zip(old, alone, beside):
+        assert new != text and other == new + " 7"
+
+
 def test_links_keys_counts_and_columns(spark):
     rows = [(1, "card 4539578763621486, again 4539578763621486", 5, "x"), (2, "4539578763621486", 1, None), (3, None, 0, "x"),
             (4, "", 0, "x"), (4, "", 0, "x"), (None, "nothing", 0, "x"), (5, "a " * 500_000 + "10.1.2.3", 0, "x"),
