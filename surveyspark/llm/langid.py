@@ -81,7 +81,7 @@ def fit_kernel(rows: list[np.ndarray], langs: list[str]) -> tuple[list[str], np.
     for i, lang in enumerate(langs):
         turn[lang] = turn.get(lang, 0) + 1
         place.append((turn[lang], i))
-    chosen = [i for _, i in sorted(place)[:LANDMARKS]]
+    chosen = [i for _, i in sorted(place)[:max(LANDMARKS, len(names))]]
     marks = presence([rows[i] for i in chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
@@ -106,10 +106,11 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     counts = rows.groupBy("lang").count().collect()  # one row per language
     if not counts:
         return None
-    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))))
+    share = min(PER_LANGUAGE, SAMPLE / len(counts))
+    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))))
     draw = F.xxhash64(F.lit("sample"), "id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     sample = cut(rows.where(draw < rate[F.col("lang")]).select("id", "lang", "text", draw.alias("draw"))
-                 .orderBy("draw", "id", "text").limit(SAMPLE))
+                 .orderBy(F.col("draw") / rate[F.col("lang")], "id", "text").limit(SAMPLE))
 
     def run(batch: pa.RecordBatch):
         found = [bins(t) for t in batch.column(2).to_pylist()]

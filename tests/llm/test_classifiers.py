@@ -118,6 +118,15 @@ def test_languages_of_the_given_table(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.98
 
 
+def test_many_frequent_languages_leave_the_rare_one(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 20)
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    docs = spark.range(1205).selectExpr("id doc_id", "concat('text ', id) text",
+                                        "if(id < 1200, concat('l', id % 4), 'rare') lang")
+    names, _ = langid.fit(docs, langid.F.lit(True))
+    assert names == ["l0", "l1", "l2", "l3", "rare"]
+
+
 def test_language_without_labels_and_empty(spark):
     rows = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in langid.identify(rows).collect()} == {"und"}
