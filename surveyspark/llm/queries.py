@@ -7,8 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyspark.llm import bpe, decontaminate, dedup_lines, html, langid, pii, quality, sharding, simhash, topk
+from surveyspark.llm import (
+    bpe,
+    decontaminate,
+    dedup_lines,
+    html,
+    langid,
+    mixing,
+    pii,
+    quality,
+    runs,
+    sharding,
+    simhash,
+    topk,
+    trie,
+)
 from surveyspark.llm.common import table
+from surveyspark.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Key of the registered pseudonym query; a user passes a secret one.
@@ -55,6 +72,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(runs.word_runs(runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_shared_heads(trie.turn_items(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_topk": op2_topk,
@@ -66,7 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
+    "op11_mixing": op11_mixing,
+    "op12_runs": op12_runs,
+    "op13_trie": op13_trie,
 }
-
-#: DuckDB twins, for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
