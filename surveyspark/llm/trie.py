@@ -264,6 +264,8 @@ def prefix_trie(items: DataFrame, range_turns: int = RANGE_TURNS, fan_in: int =
     over its subtree each node's code points times its members but one, and
     ``ends_sha256`` the digest of the ids of the conversations that end there.
     """
+    if range_turns < 1 or fan_in < 3:
+        raise ValueError("a range holds a turn or more, and a round must shorten the next")
     spark = items.sparkSession
     path = F.unhex(F.array_join(F.transform("items", lambda x: x["digest"]), ""))
     rows = cut(items.select("conv_id", path.alias("path"), F.transform("items", lambda x: x["chars"]).alias("chars"))

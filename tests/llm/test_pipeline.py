@@ -92,7 +92,7 @@ def test_entry_has_all_queries():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {"pipeline"} <= names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {"pipeline"} <= names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_entry_works_without_the_optional_files(scratch):
