@@ -114,32 +114,28 @@ def split_quotas(quotas: DataFrame, shards: int, key: str) -> DataFrame:
     of the splitting tree over ``shards`` shards."""
     if shards < 1:
         raise ValueError("at least one shard")
+    middle = F.expr("(a + b) div 2").cast("int")
+    total = F.aggregate("quotas", F.lit(0).cast("long"), lambda acc, q: acc + q)
+    # a child's share of the blocks follows its share of the shards
+    left = F.floor((F.col("total") * (F.col("middle") - F.col("a")) + F.expr("(b - a) div 2")) / (F.col("b") - F.col("a")))
+
+    def take(acc: Column, s: Column) -> Column:
+        u = _uniform(F.lit(key), F.col("a"), F.col("b"), s["i"])
+        got = hypergeometric(s["q"], acc["n"], acc["d"], u)
+        return _let(got, lambda x: F.struct((acc["n"] - s["q"]).alias("n"), (acc["d"] - x).alias("d"),
+                                            F.array_append(acc["all"], x).alias("all")))
+
+    numbered = F.transform("quotas", lambda q, i: F.struct(q.alias("q"), i.alias("i")))
+    lefts = F.aggregate(numbered, F.struct(F.col("total").alias("n"), F.col("left").cast("long").alias("d"),
+                                           F.array().cast("array<bigint>").alias("all")), take, lambda acc: acc["all"])
+    halves = F.array(F.struct("a", F.col("middle").alias("b"), F.col("lefts").alias("quotas")),
+                     F.struct(F.col("middle").alias("a"), F.col("b"), F.zip_with("quotas", "lefts", lambda q, x: q - x).alias("quotas")))
+    node = F.explode(F.when(F.col("b") - F.col("a") > 1, halves).otherwise(F.array(F.struct("a", "b", "quotas")))).alias("node")
+
     nodes = quotas.select(F.lit(0).alias("a"), F.lit(shards).alias("b"), "quotas")
-    depth = (shards - 1).bit_length()
-    for _ in range(depth):
-        middle = F.expr("(a + b) div 2").cast("int")
-        total = F.aggregate("quotas", F.lit(0).cast("long"), lambda acc, q: acc + q)
-        # a child's share of the blocks follows its share of the shards
-        left = F.floor((total * (F.col("middle") - F.col("a")) + F.expr("(b - a) div 2")) / (F.col("b") - F.col("a")))
-        nodes = nodes.withColumn("middle", middle).withColumn("total", total).withColumn("left", left)
-
-        def take(acc: Column, s: Column) -> Column:
-            u = _uniform(F.lit(key), F.col("a"), F.col("b"), s["i"])
-            got = hypergeometric(s["q"], acc["n"], acc["d"], u)
-            return _let(got, lambda x: F.struct((acc["n"] - s["q"]).alias("n"), (acc["d"] - x).alias("d"),
-                                                F.array_append(acc["all"], x).alias("all")))
-
-        numbered = F.transform("quotas", lambda q, i: F.struct(q.alias("q"), i.alias("i")))
-        lefts = F.aggregate(numbered, F.struct(F.col("total").alias("n"), F.col("left").cast("long").alias("d"),
-                                               F.array().cast("array<bigint>").alias("all")), take, lambda acc: acc["all"])
-        nodes = nodes.withColumn("lefts", lefts)
-        halves = F.array(
-            F.struct(F.col("a"), F.when(F.col("b") - F.col("a") > 1, F.col("middle")).otherwise(F.col("b")).alias("b"),
-                     F.when(F.col("b") - F.col("a") > 1, F.col("lefts")).otherwise(F.col("quotas")).alias("quotas")),
-            F.struct(F.col("middle").alias("a"), F.col("b"),
-                     F.zip_with("quotas", "lefts", lambda q, x: q - x).alias("quotas")))
-        wanted = F.when(F.col("b") - F.col("a") > 1, halves).otherwise(F.slice(halves, 1, 1))
-        nodes = nodes.select(F.explode(wanted).alias("node")).select("node.*")
+    for _ in range((shards - 1).bit_length()):
+        nodes = (nodes.withColumn("middle", middle).withColumn("total", total).withColumn("left", left)
+                 .withColumn("lefts", lefts).select(node).select("node.*"))
     return nodes.select(F.col("a").alias("shard"), "quotas")
 
 
