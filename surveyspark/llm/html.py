@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 from urllib.parse import urlsplit
@@ -37,10 +38,8 @@ from pyspark.sql import functions as F
 
 from surveyspark.llm.common import cut, map_batches
 
-#: A subtree is template from so many different pages of the host on ...
+#: A subtree is template from so many different pages of its host on, however large the host.
 MIN_PAGES = 3
-#: ... if they are also at least this share of the host's different pages.
-MIN_SHARE = 0.02
 
 # Element kinds and boilerplate words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,8 +69,9 @@ RAW = "script|style|xmp|iframe|noembed|noframes|textarea|title"
 LAYOUT = frozenset("no with has without hide hides".split())
 #: Splits markup into text, raw elements, end tags, start tags and attributes.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({RAW})\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({RAW})\b[^>]*>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)"
     r"|</([a-z][^\s/>]*)[^>]*>|<([a-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>", re.S | re.I)
+OPEN_END = re.compile(r"<!--|<!\[CDATA\[", re.I)
 MARKS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -105,10 +105,10 @@ class Open(NamedTuple):
     """An element still open while a page is read."""
 
     tag: str
-    start: int  # where its content starts in the page's stream
+    stream: list[str]  # its tags and texts in page order; closed elements in it are digests
     never: bool  # boilerplate by the page-local rules
     zone: int  # 2 in main, 1 in article, else 0
-    marks: tuple[int, ...]  # the candidate subtrees around and with it
+    mark: int  # the innermost candidate subtree around or with it, or -1
     own: int  # its own number among the candidates, or -1
     in_form: bool = False  # boilerplate only for the form around it
 
@@ -128,12 +128,26 @@ def shut_before(tag: str, stack: list[Open]) -> int:
     return depth
 
 
-def parse(markup: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
-    """Hashes of the page's block subtrees, and its text blocks as (text, hashes
-    of the subtrees around it, whether the page-local rules keep it)."""
-    stream: list[str] = []  # tags and texts in page order; a subtree is a run of it
+def closed_markup(markup: str) -> str:
+    """``markup`` with each ``<`` after its last ``>`` as text, unless it opens a
+    comment: such a tag never ends, and every one would be sought to the page's end."""
+    at = markup.rfind(">") + 1
+    if markup.find("<", at) < 0:
+        return markup
+    comment = OPEN_END.search(markup, at)
+    to = comment.start() if comment else len(markup)
+    return markup[:at] + markup[at:to].replace("<", "&lt;") + markup[to:]
+
+
+def parse(markup: str) -> tuple[list[int], list[tuple[str, int, bool]], list[int]]:
+    """Hashes of the page's block subtrees; its text blocks as (text, number of the
+    innermost subtree around it or -1, whether the page-local rules keep it); for
+    each subtree the number of the next one around it or -1, always a lower one."""
     hashes: list[int] = []  # of the candidate subtrees
-    stack = [Open("", 0, False, 0, (), -1)]
+    ups: list[int] = []
+    stack = [Open("", [], False, 0, -1, -1)]
+    stream = stack[-1].stream
+    tags: Counter[str] = Counter()  # of the open elements
     blocks: list[tuple[list[str], Open]] = []
     block: list[str] = []
 
@@ -143,16 +157,25 @@ def parse(markup: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
             blocks.append((block, stack[-1]))
             block = []
 
+    def push(e: Open) -> None:
+        nonlocal stream
+        stack.append(e)
+        tags[e.tag] += 1
+        stream = e.stream
+
     def close(depth: int) -> None:
+        nonlocal stream
         end_block()
-        for e in reversed(stack[depth:]):
-            stream.append("/" + e.tag)
+        while len(stack) > depth:
+            e = stack.pop()
+            tags[e.tag] -= 1
+            digest = xxhash.xxh64_intdigest("\0".join(e.stream).encode("utf-8", "surrogatepass"))
             if e.own >= 0:
-                digest = xxhash.xxh64_intdigest("\0".join(stream[e.start:]).encode("utf-8", "surrogatepass"))
                 hashes[e.own] = digest - (1 << 64) if digest >= 1 << 63 else digest
-        del stack[depth:]
+            stream = stack[-1].stream
+            stream.append(f"/{e.tag} {digest}")
 
-    parts = TOKEN.split(markup)
+    parts = TOKEN.split(closed_markup(markup))
     for at in range(0, len(parts), 5):
         text = parts[at]
         if text:
@@ -165,8 +188,9 @@ def parse(markup: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
         raw, ending, tag, attributes = parts[at + 1:at + 5]
         if ending:
             ending = ending.lower()
-            if ending not in BLOCK and not any(e.tag == ending for e in stack):
-                stream.append("/" + ending)
+            if not tags[ending]:
+                if ending not in BLOCK:
+                    stream.append("/" + ending)
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 here = stack[depth].tag
@@ -190,7 +214,7 @@ def parse(markup: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
                 if is_boilerplate(tag, attributes, True):
                     end_block()
                     above = stack[-1]
-                    stack.append(Open(tag, len(stream), True, above.zone, above.marks, -1))
+                    push(Open(tag, [], True, above.zone, above.mark, -1))
                 stream.append(tag)
                 continue
             end_block()
@@ -203,21 +227,20 @@ def parse(markup: str) -> tuple[list[int], list[tuple[str, list[int], bool]]]:
             never = around or is_boilerplate(tag, attributes, above.zone > 0)
             in_form = never and (above.in_form if around else tag == "form")
             zone = max(above.zone, 0 if never else zone)
-            stream.append(tag)
-            marks, own = above.marks, -1
+            mark, own = above.mark, -1
             if tag in CONTAINER or tag in FLOW and not zone:
                 own = len(hashes)
                 hashes.append(0)
-                marks = (*marks, own)
-            stack.append(Open(tag, len(stream) - 1, never, zone, marks, own, in_form))
+                ups.append(mark)
+                mark = own
+            push(Open(tag, [tag], never, zone, mark, own, in_form))
         elif raw:
             stream.append(raw)
     close(1)
     end_block()
     best = max((e.zone for pieces, e in blocks if not e.never and not all(map(str.isspace, pieces))), default=0)
     texts = ((" ".join("".join(pieces).split()), e) for pieces, e in blocks)
-    return sorted(set(hashes)), [(text, [hashes[m] for m in e.marks], not e.never and e.zone == best)
-                                 for text, e in texts if text]
+    return hashes, [(text, e.mark, not e.never and e.zone == best) for text, e in texts if text], ups
 
 
 def host_of(url: str | None) -> str:
@@ -228,44 +251,51 @@ def host_of(url: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+            min_pages: int = MIN_PAGES) -> DataFrame:
     """``id_col, url_col, text, n_chars, n_template`` (template subtrees deleted)
     per row."""
     kinds = dict(pages.dtypes)
 
     def run(batch: pa.RecordBatch):
-        out: dict[str, list] = {c: [] for c in ("host", "page", "subtrees", "texts", "marks")}
+        out: dict[str, list] = {c: [] for c in ("host", "page", "subtrees", "ups", "texts", "marks")}
         for url, markup in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            subtrees, blocks = parse(markup or "")
+            subtrees, blocks, ups = parse(markup or "")
             kept = [(t, m) for t, m, keep in blocks if keep]
             out["host"].append(xxhash.xxh64_intdigest(host_of(url).encode("utf-8", "replace")) >> 1)
             out["page"].append(xxhash.xxh64_intdigest((markup or "").encode()) >> 1)
             out["subtrees"].append(subtrees)
+            out["ups"].append(ups)
             out["texts"].append([t for t, _ in kept])
             out["marks"].append([m for _, m in kept])
         yield out | {"id": batch.column(0), "url": batch.column(1)}
 
     parsed = map_batches(
         pages.select(id_col, url_col, html_col), run,
-        f"id {kinds[id_col]}, url string, host long, page long, subtrees array<long>, texts array<string>, "
-        "marks array<array<long>>", rows=500)
+        f"id {kinds[id_col]}, url string, host long, page long, subtrees array<long>, ups array<int>, "
+        "texts array<string>, marks array<int>", rows=500)
     # written once without the texts: pages are parsed again for those
-    narrow = cut(parsed.select("host", "page", "subtrees"))
+    narrow = cut(parsed.select("host", "page", F.array_distinct("subtrees").alias("subtrees")))
     seen = (narrow.select("host", "page", F.explode("subtrees").alias("subtree"))
             .groupBy("host", "subtree", "page").agg(F.lit(1).alias("one")))
-    counts = seen.groupBy("host", "subtree").agg(F.sum("one").alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    sizes = (narrow.groupBy("host", "page").agg(F.lit(1).alias("one"))
-             .groupBy("host").agg(F.sum("one").alias("host_pages")))
-    template = (counts.join(sizes, "host").where(F.col("n_pages") >= min_share * F.col("host_pages"))
-                .select("host", "subtree"))
+    template = (seen.groupBy("host", "subtree").agg(F.sum("one").alias("n_pages"))
+                .where(F.col("n_pages") >= min_pages).select("host", "subtree"))
     # pages that hold template, each with its list (bounded by the page itself)
     hits = (seen.join(template, ["host", "subtree"]).groupBy("host", "page")
             .agg(F.collect_set("subtree").alias("template")))
     cleaned = parsed.join(hits, ["host", "page"], "left")
-    blocks = F.filter(F.arrays_zip("texts", "marks"), lambda b: ~F.coalesce(
-        F.arrays_overlap(b["marks"], F.col("template")), F.lit(False)))
-    text = F.array_join(F.transform(blocks, lambda b: b["texts"]), "\n")
-    return (cleaned.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"),
-                           F.coalesce(F.size("template"), F.lit(0)).alias("n_template"))
-            .select(id_col, url_col, "text", F.char_length("text").cast("long").alias("n_chars"),
-                    F.greatest("n_template", F.lit(0)).alias("n_template")))
+
+    def delete(batch: pa.RecordBatch):
+        out: dict[str, list] = {"id": batch.column(0), "url": batch.column(1), "text": [], "n_template": []}
+        for subtrees, ups, texts, marks, template in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
+            listed = set(template or ())
+            gone: list[bool] = []
+            for subtree, up in zip(subtrees, ups):  # those around come first
+                gone.append(subtree in listed or up >= 0 and gone[up])
+            out["text"].append("\n".join(t for t, m in zip(texts, marks) if m < 0 or not gone[m]))
+            out["n_template"].append(len(listed))
+        yield out
+
+    done = map_batches(cleaned.select("id", "url", "subtrees", "ups", "texts", "marks", "template"), delete,
+                       f"id {kinds[id_col]}, url string, text string, n_template int", rows=500)
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
+                       F.char_length("text").cast("long").alias("n_chars"), "n_template")

@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from surveyspark.llm import html
 
 
@@ -79,3 +84,54 @@ def test_marked_articles_of_the_given_pages(spark):
         blocks = (" ".join(html_lib.unescape(p).split()) for p in re.split("<[^>]+>", article))
         want[r["page_id"]] = "\n".join(b for b in blocks if b)
     assert {r["page_id"]: r["text"] for r in html.extract(given).collect()} == want
+
+
+def plain_templates(rows):
+    """The whole operator again: every page against every page of its host."""
+    parsed = {(u, m): html.parse(m or "") for _, u, m in rows}
+    pages = {}
+    for url, markup in parsed:
+        pages.setdefault(html.host_of(url), set()).add(markup or "")
+    out = []
+    for i, url, markup in rows:
+        hashes, blocks, ups = parsed[url, markup]
+        template = {h for h in hashes if sum(h in html.parse(m)[0] for m in pages[html.host_of(url)]) >= html.MIN_PAGES}
+        kept = []
+        for text, mark, keep in blocks:
+            while keep and mark >= 0:
+                keep, mark = hashes[mark] not in template, ups[mark]
+            kept += [text] if keep else []
+        out.append((i, "\n".join(kept), len(template)))
+    return sorted(out, key=str)
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(5)
+    boxes = [f"<div><ul><li>m{i}<li>n{i}</ul><p>menu {i}</p></div>" for i in range(6)]
+    rows = []
+    for i in range(90):
+        body = [rng.choice(boxes) for _ in range(3)] + [f"<section><p>story {rng.randrange(60)}</p>{rng.choice(boxes)}</section>"]
+        rng.shuffle(body)
+        rows.append((i, f"http://h{rng.choice([0, 0, 0, 1, 2])}/", "".join(body) + f"<p>end {i % 50}"))
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = plain_templates(rows)
+    assert sorted(((r["page_id"], r["text"], r["n_template"]) for r in got), key=str) == want
+    assert any(n for *_, n in want)
+
+
+@pytest.mark.parametrize("markup", [
+    "<a " * 300_000, '<a href="' * 120_000, "<script" * 150_000, "</a" * 300_000, "<p>x<script>" + "</script " * 120_000,
+    "<div>x" * 100_000, "<div>x" * 100_000 + "</section></b>" * 50_000, "<ul><li>x" * 60_000, "<!" * 400_000,
+    "<a '\"" * 150_000 + ">"])
+def test_hostile_pages_take_linear_time(markup):
+    began = time.time()
+    html.parse(markup)
+    assert time.time() - began < 10
+
+
+def test_unclosed_tags_are_text():
+    assert text_of("<p>a<b") == "a<b"
+    assert text_of("<p>a<!-- b <i> c") == "a"
+    assert text_of("<p>a<x <!-- b") == "a<x"
+    assert text_of("<p>a &amp; <b &lt;") == "a & <b <"
+    assert text_of("<p>a<script>b</script") == "a"
