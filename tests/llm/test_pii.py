@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -150,3 +151,13 @@ def test_no_planted_value_survives(spark, table):
         assert not any(v in after[i] for v in values)
         if not values:
             assert after[i] == text
+
+
+def test_long_runs_neither_overflow_nor_stall(spark):
+    texts = ["x@" + "a." * 100_000 + "com", "y" * 300_000, "a" * 300_000, "1" * 300_000, "é" * 300_000 + "1", "1." * 150_000,
+             "+1 " * 100_000, "AB12" * 75_000, "x@" * 150_000, "1-" * 150_000, "4111 " * 60_000]
+    began = time.time()
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert got[0]["text"].endswith("@pseudonym.invalid") and got[0]["n_replaced"] == 1
+    assert [r["text"] == t for r, t in zip(got, texts)][1] and got[4]["text"] == texts[4]
