@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.llm.common import map_batches
+from surveyspark.llm.common import cut, map_batches
 
 #: Sentences of fewer words are no units of their own.
 SHORT = 5
@@ -159,15 +159,17 @@ def dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
     def hashed(batch: pa.RecordBatch):
-        out: dict[str, list] = {"id": [], "text_hash": [], "unit": [], "hi": [], "lo": []}
-        for i, text, text_hash in zip(*(c.to_pylist() for c in batch.columns)):
-            for number, hi, lo in digests(text, min_words):
-                for name, value in zip(out, (i, text_hash, number, hi, lo)):
-                    out[name].append(value)
+        out: dict[str, list] = {"id": batch.column(0), "text_hash": batch.column(2), "unit": [], "hi": [], "lo": []}
+        for text in batch.column(1).to_pylist():
+            counted = list(digests(text, min_words))
+            for at, name in enumerate(("unit", "hi", "lo")):
+                out[name].append([unit[at] for unit in counted])
         yield out
 
-    found = map_batches(rows.select("id", "text", "text_hash"), hashed,
-                        f"id {id_type}, text_hash long, unit int, hi long, lo long")
+    # texts are cut and hashed once; the written table has 20 bytes a unit
+    written = cut(map_batches(rows.select("id", "text", "text_hash"), hashed,
+                              f"id {id_type}, text_hash long, unit array<int>, hi array<long>, lo array<long>"))
+    found = written.select("id", "text_hash", F.inline(F.arrays_zip("unit", "hi", "lo")))
     first = (found.groupBy("hi", "lo")
              .agg(F.min(F.struct("id", "text_hash", "unit")).alias("kept"), F.count("*").alias("n"))
              .where("n > 1").select("hi", "lo", "kept"))
