@@ -21,6 +21,7 @@ from .functions.binning import REFERENCE_LABELS
 from .operators import cleaning as cl
 from .operators import compare, linear_gram, metrics, models, tuning
 from .operators import distribution as dist
+from .operators import forest as ft
 from .operators import monthly, preview, profiling
 from .operators import split as sp
 from .sources import (CLEAN_COLUMNS, LABEL, MODEL_FEATURES, SURVEY_KEY, read_table, source_version,
@@ -422,7 +423,7 @@ def q_generalisation_ratio(spark, sf_dir):
                                                 tuning.ranking(cv.fit_log)))
 
 
-# -- elastic net and forest (rows-only checks; see tests for invariants) -----------
+# -- elastic net and forest --------------------------------------------------------
 
 def elastic_net_grid():
     lr = models.linear_stage(LABEL, models.SCALED, max_iter=5)
@@ -480,25 +481,31 @@ def elastic_net_cv_spark_ml(spark, sf_dir) -> tuning.CVResult:
 
 
 def forest_cv(spark, sf_dir) -> tuning.CVResult:
+    """4-fold search over trees x depths: every setting is read off the trees of
+    one fit at the greatest depth."""
     def build():
         train, _ = train_test(spark, sf_dir)
-        folded = sp.with_folds(train, portable_hash("fold"), 4)
-        rf = models.forest_stage(LABEL, models.SCALED, seed=SEED)
-        grid = (ParamGridBuilder().addGrid(rf.numTrees, FOREST_TREES)
-                .addGrid(rf.maxDepth, FOREST_DEPTHS).build())
-        return tuning.cross_validate(folded, rf, grid, LABEL, "fold", 4,
-                                     feature_stages=models.feature_stages(MODEL_FEATURES),
-                                     parallelism=8)
+        grown = ft.grow(sp.with_folds(train, portable_hash("fold"), 4), MODEL_FEATURES, LABEL, SURVEY_KEY,
+                        trees=max(FOREST_TREES), depth=max(FOREST_DEPTHS), fold_col="fold", folds=4, seed=SEED)
+        return ft.search(grown, [(n, d) for n in FOREST_TREES for d in FOREST_DEPTHS])
     return _memoized(spark, sf_dir, "forest_cv", build)
 
 
-def default_forest(spark, sf_dir):
+def default_forest(spark, sf_dir) -> ft.Forest:
+    """20 trees of depth 5, the usual defaults."""
     def build():
         train, _ = train_test(spark, sf_dir)
-        return models.forest(LABEL, MODEL_FEATURES, seed=SEED).fit(train)
+        return ft.grow(train, MODEL_FEATURES, LABEL, SURVEY_KEY, trees=20, depth=5, seed=SEED).forest(20, 5)
     return _memoized(spark, sf_dir, "forest", build)
 
 
+def q_forest_small_rmse(spark, sf_dir):
+    """Three bagged trees of depth two over eight bins."""
+    train, test = train_test(spark, sf_dir)
+    small = ft.grow(train, MODEL_FEATURES, LABEL, SURVEY_KEY, trees=3, depth=2, bins=8, seed=SEED).forest(3, 2)
+    return rounded(_test_rmse(small, test).select(F.lit("forest").alias("model"), "rmse"))
+
+
 def q_elastic_net_cv(spark, sf_dir):
     return rounded(tuning.ranking(elastic_net_cv(spark, sf_dir).fit_log))
 
@@ -528,14 +535,13 @@ def q_forest_rmse(spark, sf_dir):
 
 
 def q_forest_importances(spark, sf_dir):
-    return rounded(models.importances(spark, default_forest(spark, sf_dir), MODEL_FEATURES,
-                                      "forest"))
+    return rounded(default_forest(spark, sf_dir).importances(spark, "forest"))
 
 
 def q_forest_best_importances(spark, sf_dir):
     """Importances of the default and of the tuned forest side by side."""
-    default = models.importances(spark, default_forest(spark, sf_dir), MODEL_FEATURES, "forest")
-    tuned = models.importances(spark, forest_cv(spark, sf_dir).best_model, MODEL_FEATURES, "forest_best")
+    default = default_forest(spark, sf_dir).importances(spark, "forest")
+    tuned = forest_cv(spark, sf_dir).best_model.importances(spark, "forest_best")
     return rounded(default.select("feature", F.col("importance").alias("forest")).join(
         tuned.select("feature", F.col("importance").alias("forest_best")), "feature"))
 
@@ -558,7 +564,7 @@ def q_forest_generalisation_ratio(spark, sf_dir):
 def q_importance_vs_coefficient(spark, sf_dir):
     coefs = models.coefficients(spark, fitted(spark, sf_dir, "ols_all_scaled"), MODEL_FEATURES,
                                 "scaled")
-    imps = models.importances(spark, default_forest(spark, sf_dir), MODEL_FEATURES, "forest")
+    imps = default_forest(spark, sf_dir).importances(spark, "forest")
     return rounded(compare.importance_vs_coefficient(coefs, imps))
 
 
@@ -614,6 +620,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elastic_net_cv": q_elastic_net_cv,
     "elastic_net_comparison": q_elastic_net_comparison,
     "forest_stump_rmse": q_forest_stump_rmse,
+    "forest_small_rmse": q_forest_small_rmse,
     "forest_rmse": q_forest_rmse,
     "forest_importances": q_forest_importances,
     "forest_best_importances": q_forest_best_importances,

@@ -8,6 +8,7 @@ bigint so both sides hash alike.
 
 from __future__ import annotations
 
+from . import oracle_forest as forest
 from .sources.survey import CLEAN_COLUMNS, MODEL_FEATURES, SURVEY_KEY, with_survey
 
 # Declared schema of ``survey`` (FIXTURES.md B), in column order.
@@ -313,6 +314,12 @@ def _elastic(sql: str) -> str:
     return _edited(SPLIT + _elastic_all() + sql).replace("with survey as", "with recursive survey as", 1)
 
 
+FOREST_HASH = _hash("fold")
+SMALL_FOREST = SPLIT + forest.grown(3, 2, bins=8) + forest.placed("f_te", "0", 3, 2, "bt")
+DEFAULT_FOREST = SPLIT + forest.grown(20, 5)
+FOREST_CV = SPLIT + forest.searched([2, 4, 5, 8], [2, 3, 4, 5, 6], 4, FOREST_HASH)
+BEST_RMSE = forest.rmse("bt", "trees", "depth", ", best")
+
 RANK_COLS = ("param_id, params, round(avg_metric, 6) as avg_metric, "
              "round(std_metric, 6) as std_metric, round(last_fold_metric, 6) as last_fold_metric, "
              "folds, rank")
@@ -452,6 +459,25 @@ best as (select x, sl / nl as low, (st - sl) / (nt - nl) as high from c where nt
          order by sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) desc limit 1)
 select 'stump' as model, round(sqrt(avg(power(bmi - case when prim_min <= x then low else high end, 2))), 6) as rmse
 from te, best"""),
+    "forest_small_rmse": _edited(SMALL_FOREST + f"""
+select 'forest' as model, round(rmse, 6) as rmse from {forest.rmse("bt", "3", "2")}"""),
+    "forest_rmse": _edited(DEFAULT_FOREST + forest.placed("f_te", "0", 20, 5, "bt") + f"""
+select 'forest' as model, round(rmse, 6) as rmse from {forest.rmse("bt", "20", "5")}"""),
+    "forest_importances": _edited(DEFAULT_FOREST + f"""
+select 'forest' as model, {forest.feature_name()} as feature, round(importance, 6) as importance
+from {forest.importances(0, "20", "5")}"""),
+    "forest_best_importances": _edited(FOREST_CV + forest.grown(20, 5, name="d") + f"""
+select {forest.feature_name("a.f")} as feature, round(a.importance, 6) as forest, round(b.importance, 6) as forest_best
+from {forest.importances(0, "20", "5", "d")} a join {forest.importances(4, "trees", "depth", "f", ", best")} b on a.f = b.f"""),
+    "forest_cv": _edited(FOREST_CV + f"\nselect {RANK_COLS} from rk"),
+    "forest_topk": _edited(FOREST_CV + f"\nselect {RANK_COLS} from rk where rank <= 5"),
+    "forest_generalisation_ratio": _edited(FOREST_CV + f"""
+select round(rmse, 6) as test_metric, round(avg_metric, 6) as best_cv, round(rmse / avg_metric, 6) as ratio
+from {BEST_RMSE}, (select * from rk where rank = 1)"""),
+    "importance_vs_coefficient": _edited(DEFAULT_FOREST + _least_squares("tr") + ", z as (" + " union all ".join(
+        f"select {i} as f, abs(b{i + 1} * sd{i + 1}) as abs_coefficient from coef" for i in range(len(MODEL_FEATURES))) + f""")
+select {forest.feature_name("z.f")} as feature, round(abs_coefficient, 6) as abs_coefficient, round(importance, 6) as importance
+from z join {forest.importances(0, "20", "5")} i on i.f = z.f"""),
     "ols_residuals": _edited(SPLIT + """
 , f as (select regr_slope(bmi, prim_min) as s, regr_intercept(bmi, prim_min) as i from tr)
 select l_orderkey, activity_n, l_partkey, l_suppkey, round(i + s * prim_min, 6) as prediction,

@@ -19,6 +19,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -93,3 +95,18 @@ def data_version(spark: SparkSession, paths: list[str]) -> str:
             f = files.next()
             found.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
     return repr(sorted(found))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application, so
+    that functions from its modules load there without an installation."""
+    sc = spark.sparkContext
+    if getattr(sc, "_surveyspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="surveyspark-py-")) / "surveyspark.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._surveyspark_shipped = True

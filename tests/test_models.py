@@ -18,7 +18,8 @@ from .conftest import SF_SMALL
 @pytest.fixture(scope="module")
 def train(spark):
     tr, _ = C.train_test(spark, SF_SMALL)
-    return tr.cache()
+    yield tr.cache()
+    tr.unpersist()  # a later module's plans would read the cache
 
 
 def test_gram_solver_matches_spark_ml(spark, train):
