@@ -22,6 +22,7 @@ from .operators import cleaning as cl
 from .operators import compare, linear_gram, metrics, models, tuning
 from .operators import distribution as dist
 from .operators import forest as ft
+from .operators import least_squares as lsq
 from .operators import monthly, preview, profiling
 from .operators import split as sp
 from .sources import (CLEAN_COLUMNS, LABEL, MODEL_FEATURES, SURVEY_KEY, read_table, source_version,
@@ -358,6 +359,38 @@ def q_ols_r2(spark, sf_dir):
                    .select(F.lit("ols").alias("model"), "r2"))
 
 
+# Every numeric column but the label, identifiers and the collinear one included.
+ALL_COLUMNS = ["case_id", "l_orderkey", "l_partkey", "l_suppkey", "activity_n", "prim_min", "sec_min", "soda", "exercise",
+               "income", "exfreq", "age", "loc", "earn", "sex"]
+
+
+def all_columns_fit(spark, sf_dir) -> lsq.LinearFit:
+    def build():
+        train, _ = exact_train_test(spark, sf_dir)
+        return lsq.least_squares(train.where("earn is not null"), ALL_COLUMNS, LABEL)
+    return _memoized(spark, sf_dir, "ols_all_columns", build)
+
+
+def q_ols_all_columns(spark, sf_dir):
+    """Rank-revealing least squares on all numeric columns, over the exact-size split."""
+    _, test = exact_train_test(spark, sf_dir)
+    fit = all_columns_fit(spark, sf_dir)
+    return rounded(metrics.r2(fit.transform(test.where("earn is not null")), LABEL).select(
+        F.lit("ols").alias("model"), F.lit(len(ALL_COLUMNS)).alias("n_columns"), F.lit(fit.rank).alias("rank"), "r2"))
+
+
+def q_ols_all_columns_effects(spark, sf_dir):
+    """The fit's coefficients times their columns' standard deviations."""
+    train, _ = exact_train_test(spark, sf_dir)
+    fit = all_columns_fit(spark, sf_dir)
+    spread = train.where("earn is not null").agg(*[F.stddev_samp(c).alias(c) for c in ALL_COLUMNS]).first()
+    scale = spark.createDataFrame([("intercept", 1.0, 4)] + [(c, spread[c], 6) for c in ALL_COLUMNS],
+                                  "feature string, sd double, places int")
+    effect = F.col("coefficient") * F.col("sd")
+    return (fit.table(spark, "ols").join(F.broadcast(scale), "feature")  # one row a column
+            .select("feature", (F.when(F.col("places") == 4, F.round(effect, 4)).otherwise(F.round(effect, 6)) + F.lit(0.0)).alias("effect")))
+
+
 def q_forest_stump_rmse(spark, sf_dir):
     """One tree of one split through the forest code: exactly checkable."""
     _, test = train_test(spark, sf_dir)
@@ -619,6 +652,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elastic_net_fold_metrics": q_elastic_net_fold_metrics,
     "elastic_net_cv": q_elastic_net_cv,
     "elastic_net_comparison": q_elastic_net_comparison,
+    "ols_all_columns": q_ols_all_columns,
+    "ols_all_columns_effects": q_ols_all_columns_effects,
     "forest_stump_rmse": q_forest_stump_rmse,
     "forest_small_rmse": q_forest_small_rmse,
     "forest_rmse": q_forest_rmse,

@@ -177,12 +177,12 @@ b as (select (v22 * c1y - v12 * c2y) / (v11 * v22 - v12 * v12) as b1,
         (v11 * c2y - v12 * c1y) / (v11 * v22 - v12 * v12) as b2, * from st),
 coef as (select my - b1 * m1 - b2 * m2 as b0, * from b)"""
 
-def _least_squares(source: str) -> str:
+def _least_squares(source: str, features: list[str] = MODEL_FEATURES) -> str:
     """CTEs ending in ``coef``: ``b0`` and ``b1 .. bp`` of least squares of the
-    label on all features, by sweeping the matrix of covariances feature by
+    label on ``features``, by sweeping the matrix of covariances feature by
     feature; ``sd1 .. sdp`` are the features' sample standard deviations."""
-    p = len(MODEL_FEATURES)
-    x = {i: f for i, f in enumerate([*MODEL_FEATURES, "bmi"], 1)}
+    p = len(features)
+    x = {i: f for i, f in enumerate([*features, "bmi"], 1)}
     y = p + 1
 
     def a(i: int, j: int) -> str:
@@ -314,6 +314,27 @@ def _elastic(sql: str) -> str:
     return _edited(SPLIT + _elastic_all() + sql).replace("with survey as", "with recursive survey as", 1)
 
 
+# All numeric columns but the label. ``activity_n`` equals ``exfreq`` on every cleaned
+# row, so predictions are those of the others alone, and the shortest solution gives
+# each of the two half of the effect.
+ALL_COLUMNS = [n for n, _ in SURVEY_TYPES if n not in ("bmi", "activity_n")]
+ALL_OLS = f"""
+, e as (select * from edited where earn is null or earn <> -1),
+r as (select *, row_number() over (order by {ORDER_HASH}, l_orderkey, activity_n,
+                                            l_partkey, l_suppkey) as rn,
+             count(*) over () as total from e),
+tr as (select * from r where rn > ceil(3E-1 * total) and earn is not null),
+te as (select * from r where rn <= ceil(3E-1 * total) and earn is not null){_least_squares("tr", ALL_COLUMNS)}"""
+
+
+def _all_effects() -> str:
+    rows = ["select 'intercept' as feature, round(b0, 4) + 0E0 as effect from coef"]
+    for i, f in enumerate(ALL_COLUMNS, 1):
+        share = f"round(b{i} * sd{i} / {2 if f == 'exfreq' else 1}, 6) + 0E0"
+        rows += [f"select '{n}', {share} from coef" for n in ([f, "activity_n"] if f == "exfreq" else [f])]
+    return "\n" + "\nunion all ".join(rows)
+
+
 FOREST_HASH = _hash("fold")
 SMALL_FOREST = SPLIT + forest.grown(3, 2, bins=8) + forest.placed("f_te", "0", 3, 2, "bt")
 DEFAULT_FOREST = SPLIT + forest.grown(20, 5)
@@ -451,6 +472,13 @@ m as (select avg(bmi) as mu from te)
 select 'ols' as model,
   round(1 - sum(power(bmi - ({PREDICTED}), 2)) / sum(power(bmi - mu, 2)), 6) as r2
 from te, coef, m"""),
+    "ols_all_columns": _edited(ALL_OLS + f"""
+, m as (select avg(bmi) as mu from te), twins as (select corr(activity_n, exfreq) as c from tr)
+select 'ols' as model, cast({len(ALL_COLUMNS) + 1} as integer) as n_columns,
+  cast({len(ALL_COLUMNS) + 1} - cast(any_value(c) > 1 - 1e-12 as integer) as integer) as rank,
+  round(1 - sum(power(bmi - ({"b0" + "".join(f" + b{i} * {f}" for i, f in enumerate(ALL_COLUMNS, 1))}), 2)) / sum(power(bmi - mu, 2)), 6) as r2
+from te, coef, m, twins"""),
+    "ols_all_columns_effects": _edited(ALL_OLS + _all_effects()),
     "forest_stump_rmse": _edited(SPLIT + """
 , v as (select prim_min as x, count(*) as n, sum(bmi) as s from tr group by prim_min),
 c as (select x, sum(n) over w as nl, sum(s) over w as sl, sum(n) over () as nt, sum(s) over () as st
