@@ -23,7 +23,7 @@ from .operators import compare, linear_gram, metrics, models, tuning
 from .operators import distribution as dist
 from .operators import forest as ft
 from .operators import least_squares as lsq
-from .operators import monthly, preview, profiling
+from .operators import moments, monthly, preview, profiling, sampling
 from .operators import split as sp
 from .sources import (CLEAN_COLUMNS, LABEL, MODEL_FEATURES, SURVEY_KEY, read_table, source_version,
                       survey_table)
@@ -205,6 +205,12 @@ def q_column_histograms(spark, sf_dir):
     return rounded(dist.column_histograms(cleaned(spark, sf_dir), CLEAN_COLUMNS, 10))
 
 
+def q_correlation_matrix(spark, sf_dir):
+    """All numeric columns of the survey but the case number (its mean has no six
+    decimals), missing values included."""
+    return rounded(moments.correlation_matrix(survey_table(spark, sf_dir), [LABEL, *ALL_COLUMNS[1:]]))
+
+
 def q_correlation_pairs(spark, sf_dir):
     return rounded(dist.correlation_pairs(cleaned(spark, sf_dir), CLEAN_COLUMNS))
 
@@ -405,6 +411,18 @@ def q_ols_residuals(spark, sf_dir):
         *SURVEY_KEY, "prediction", (F.col(LABEL) - F.col("prediction")).alias("residual")))
 
 
+def q_residual_sample(spark, sf_dir):
+    """A bounded sample of the residuals, in all and per activity, for a scatter chart."""
+    _, test = train_test(spark, sf_dir)
+    scored = fitted(spark, sf_dir, "ols1").transform(test).select(
+        *SURVEY_KEY, "prediction", (F.col(LABEL) - F.col("prediction")).alias("residual"))
+    order = portable_hash("sample")
+    whole = sampling.bottom_k(scored, order, 200, tiebreak=SURVEY_KEY).withColumn("stratum", F.lit("all"))
+    each = sampling.bottom_k(scored, order, 25, ["activity_n"], SURVEY_KEY).withColumn(
+        "stratum", F.concat(F.lit("activity "), F.col("activity_n").cast("string")))
+    return rounded(whole.unionByName(each))
+
+
 def ols_cv(spark, sf_dir) -> tuning.CVResult:
     """3-fold CV of one-feature least squares over ``fitIntercept``."""
     def build():
@@ -629,6 +647,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "joint_histogram": q_joint_histogram,
     "column_histograms": q_column_histograms,
     "correlation_pairs": q_correlation_pairs,
+    "correlation_matrix": q_correlation_matrix,
     "top_values": q_top_values,
     "rows_in_top_values": q_rows_in_top_values,
     "split_counts": q_split_counts,
@@ -643,6 +662,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coefficient_table_tuned": q_coefficient_table_tuned,
     "ols_r2": q_ols_r2,
     "ols_residuals": q_ols_residuals,
+    "residual_sample": q_residual_sample,
     "cv_fold_metrics_ols": q_cv_fold_metrics_ols,
     "cv_running_average": q_cv_running_average,
     "cv_ranking": q_cv_ranking,

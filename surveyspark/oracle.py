@@ -335,6 +335,18 @@ def _all_effects() -> str:
     return "\n" + "\nunion all ".join(rows)
 
 
+def _matrix_sql() -> str:
+    names = ["bmi", "l_orderkey", "l_partkey", "l_suppkey", "activity_n", "prim_min", "sec_min", "soda", "exercise",
+             "income", "exfreq", "age", "loc", "earn", "sex"]
+    rows = []
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            x, y = f"cast({a} as double)", f"cast({b} as double)"
+            rows.append(f"select '{a}' as col_x, '{b}' as col_y, count(*) as n, round(avg({x}), 6) as mean_x, round(avg({y}), 6) as mean_y, "
+                        f"round(corr({x}, {y}), 6) + 0E0 as corr from survey where {a} is not null and {b} is not null")
+    return with_survey("\nunion all\n".join(rows))
+
+
 FOREST_HASH = _hash("fold")
 SMALL_FOREST = SPLIT + forest.grown(3, 2, bins=8) + forest.placed("f_te", "0", 3, 2, "bt")
 DEFAULT_FOREST = SPLIT + forest.grown(20, 5)
@@ -506,6 +518,19 @@ from {BEST_RMSE}, (select * from rk where rank = 1)"""),
         f"select {i} as f, abs(b{i + 1} * sd{i + 1}) as abs_coefficient from coef" for i in range(len(MODEL_FEATURES))) + f""")
 select {forest.feature_name("z.f")} as feature, round(abs_coefficient, 6) as abs_coefficient, round(importance, 6) as importance
 from z join {forest.importances(0, "20", "5")} i on i.f = z.f"""),
+    "correlation_matrix": _matrix_sql(),
+    "residual_sample": _edited(SPLIT + f"""
+, f as (select regr_slope(bmi, prim_min) as s, regr_intercept(bmi, prim_min) as i from tr),
+z as (select l_orderkey, activity_n, l_partkey, l_suppkey, round(i + s * prim_min, 6) as prediction,
+        round(bmi - (i + s * prim_min), 6) as residual, {_hash("sample")} as h from te, f),
+w as (select *, row_number() over (order by h, l_orderkey, activity_n, l_partkey, l_suppkey) as place,
+        row_number() over (partition by activity_n order by h, l_orderkey, activity_n, l_partkey, l_suppkey) as own_place,
+        count(*) over () as n, count(*) over (partition by activity_n) as own_n from z)
+select l_orderkey, activity_n, l_partkey, l_suppkey, prediction, residual, round(n / least(n, 200), 6) as weight, 'all' as stratum
+from w where place <= 200
+union all
+select l_orderkey, activity_n, l_partkey, l_suppkey, prediction, residual, round(own_n / least(own_n, 25), 6),
+  'activity ' || activity_n from w where own_place <= 25"""),
     "ols_residuals": _edited(SPLIT + """
 , f as (select regr_slope(bmi, prim_min) as s, regr_intercept(bmi, prim_min) as i from tr)
 select l_orderkey, activity_n, l_partkey, l_suppkey, round(i + s * prim_min, 6) as prediction,
