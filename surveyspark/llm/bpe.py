@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from surveyspark.llm.common import map_batches
 
 #: Bytes above which a word goes through the heap.
-LONG_WORD = 400
+LONG_WORD = 64
 #: Solved words kept by a task; a full table keeps those of the current block.
 CACHE_WORDS = 400_000
 #: Words looked up at once: bounds memory for very long texts.
 BLOCK_WORDS = 100_000
 
-#: Bytes of words merged by one recursive query.
-QUERY_BYTES = 300_000
+#: Rows that one recursive query may make: half the sum of its words' squared bytes.
+QUERY_ROWS = 2_000_000
 #: Over the length of any word in the query: ``rank * SPAN + pos`` orders pairs.
 SPAN = 1024
 
@@ -88,7 +88,7 @@ class WordCoder:
         self.split = regex.compile(pattern)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.solved: dict[str, tuple[str, bytes]] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.decimal = {rank: str(rank) for rank in ranks.values()}
         rows = [(ranks[t[:i]] * 65536 + ranks[t[i:]], rank) for t, rank in ranks.items()
                 for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -147,9 +147,9 @@ class WordCoder:
                       key=lambda i: len(raw[i]))
         at = 0
         while at < len(rest):
-            to, size = at, 0
-            while to < len(rest) and (to == at or size < QUERY_BYTES and len(raw[rest[to]]) <= 2 * len(raw[rest[at]]) + 32):
-                size += len(raw[rest[to]])
+            to, made = at, 0
+            while to < len(rest) and (to == at or made < QUERY_ROWS and len(raw[rest[to]]) <= 2 * len(raw[rest[at]]) + 32):
+                made += len(raw[rest[to]]) ** 2 // 2 + 1
                 to += 1
             wid, pos, ids = self._merge([raw[i] for i in rest[at:to]])
             parts.append(np.stack([np.array(rest[at:to])[wid], pos, ids]))

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -53,6 +55,19 @@ def test_cache_overflow_keeps_results(reference, monkeypatch):
         assert " ".join(coder.solved[w][0] for w in words) == " ".join(map(str, reference.encode_ordinary(text)))
 
 
+@pytest.mark.parametrize("size", [400, 64, 20])
+def test_long_words_stay_in_memory_and_time(reference, size, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    rng = random.Random(size)
+    words = ["".join(rng.choices("etaoinshrdlu", k=size)) for _ in range(1_000_000 // size)]
+    coder = bpe.WordCoder(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    began = time.time()
+    coder.learn(words)
+    assert time.time() - began < 30 and not list(tmp_path.iterdir())  # nothing spilled to the working folder
+    for word in words[::37]:
+        assert coder.solved[word][0] == " ".join(map(str, reference.encode_ordinary(word)))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, PATH, public_tokenizers.PATTERN).count() == 0
