@@ -31,24 +31,36 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier does not reject; learnt from ``docs`` and
+    ``labels``. Null and empty texts are scored like others; repeated rows go or stay
+    together; an empty table stays empty; other columns stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per SimHash class (three-word shingles, two bits): the least id, null
+    ids last, then the least text hash. Texts without words are one class; repeated
+    rows leave one; other columns stay."""
     return simhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that contain no benchmark item. Null and empty texts contain none;
+    repeated rows go or stay together; other columns stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kind = dict(docs.dtypes)["n_chars"]
-    return pii.pseudonymise(docs, PSEUDONYM_KEY, count_col=None).withColumn(
-        "n_chars", F.char_length("text").cast(kind))
+    """All rows with personal data replaced, and ``n_chars``, if there, renewed (null
+    for a null text); other columns stay."""
+    out = pii.pseudonymise(docs, PSEUDONYM_KEY, count_col=None)
+    kind = dict(docs.dtypes).get("n_chars")
+    return out.withColumn("n_chars", F.char_length("text").cast(kind)) if kind else out
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests per row; a null or empty text has no tokens. Other
+    columns are not read."""
     return bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("ids")
 
 
