@@ -4,9 +4,9 @@ temperature.
 Words are letter-digit runs and punctuation runs; every word also counts by its
 shape (upper, lower, title case, digits, ...). Each word falls into one of
 ``BUCKETS`` buckets, and each bucket has a fixed sparse ternary index vector.
-Fitting, on a bounded sample of labelled documents, sums for each bucket the
-index vectors of the neighbours of its words (random indexing); the sums are
-integers, so they do not depend on how rows were dealt. A document is the mean
+Random indexing sums for each bucket, over all documents, labelled or not, the
+index vectors of the neighbours of its words; the sums are integers, so they do
+not depend on how rows were dealt. A document is the mean
 of its words' normalised context vectors, of their index vectors and shapes,
 beside a few statistics of its repetition. A network with one hidden layer is
 trained on the driver on at most ``SAMPLE`` such rows; a temperature fitted on
@@ -89,22 +89,91 @@ def pieces(text: str):
     yield text[at:]
 
 
+class Buckets(dict):
+    """Buckets of words by one lookup; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = out = crc32(word.encode()) % BUCKETS
+        return out
+
+
+class Contexts:
+    """For each bucket, the index vectors of its words' neighbours, summed.
+
+    Neighbours are counted as pairs of buckets first, so that a pair costs the
+    same however often it occurs; the index vectors' ``NONZERO`` entries are then
+    added for the distinct pairs only.
+    """
+
+    #: Bucket pairs held before they are added up.
+    HELD = 1 << 21
+
+    def __init__(self):
+        self.sums = np.zeros(BUCKETS * DIMS, np.int64)
+        self.find = Buckets()
+        self.at = np.nonzero(index_vectors())[1].reshape(BUCKETS, NONZERO)
+        self.sign = np.take_along_axis(index_vectors(), self.at, axis=1).astype(np.float64)
+        self.pairs: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, text: str | None) -> None:
+        for piece in pieces(text or ""):
+            words = WORDS.findall(piece)
+            b = np.fromiter(map(self.find.__getitem__, words), np.int32, len(words))
+            for d in range(1, min(WINDOW, len(b) - 1) + 1):
+                self.pairs.append(b[:-d] * np.int32(BUCKETS) + b[d:])
+                self.held += len(b) - d
+            if self.held >= self.HELD:
+                self.settle()
+
+    def settle(self) -> None:
+        if self.pairs:
+            pair, times = np.unique(np.concatenate(self.pairs), return_counts=True)
+            left, right = np.divmod(pair, BUCKETS)
+            for word, other in ((left, right), (right, left)):
+                cell = word.astype(np.int64) * DIMS
+                for t in range(NONZERO):
+                    # whole numbers far below 2**53, so the doubles are exact
+                    added = np.bincount(cell + self.at[other, t], self.sign[other, t] * times, len(self.sums))
+                    self.sums += added.astype(np.int64)
+        self.pairs, self.held = [], 0
+
+    def result(self) -> np.ndarray:
+        self.settle()
+        return self.sums.reshape(BUCKETS, DIMS)
+
+
 def context_sums(texts: list[str | None]) -> np.ndarray:
     """For each bucket, the index vectors of its words' neighbours, summed."""
-    sums, index = np.zeros((BUCKETS, DIMS), np.int64), index_vectors()
+    contexts = Contexts()
     for text in texts:
-        for piece in pieces(text or ""):
-            b = np.fromiter(map(bucket, WORDS.findall(piece)), np.int64)
-            if len(b) < 2:
-                continue
-            near = np.zeros((len(b), DIMS), np.int32)
-            for d in range(1, min(WINDOW, len(b) - 1) + 1):
-                near[d:] += index[b[:-d]]
-                near[:-d] += index[b[d:]]
-            order = np.argsort(b, kind="stable")
-            starts = np.flatnonzero(np.diff(b[order], prepend=-1))
-            sums[b[order][starts]] += np.add.reduceat(near[order], starts)
-    return sums
+        contexts.add(text)
+    return contexts.result()
+
+
+def corpus_contexts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """``context_sums`` of all texts of ``docs``: sums per task, then per bucket, so
+    the driver gets ``BUCKETS`` rows whatever the input."""
+    names = [f"s{i}" for i in range(DIMS)]
+
+    def run(batches):
+        contexts = Contexts()
+        for batch in batches:
+            for text in batch.column(0):
+                contexts.add(text.as_py())
+        sums = contexts.result()
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_pydict(
+            {"bucket": some.astype(np.int32)} | {n: sums[some, i] for i, n in enumerate(names)})
+
+    parts = map_arrow(docs.select(text_col), run, "bucket int, " + ", ".join(f"{n} long" for n in names))
+    table = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    total = np.zeros((BUCKETS, DIMS), np.int64)
+    if table.num_rows:
+        total[table.column("bucket").to_numpy()] = np.stack([table.column(n).to_numpy() for n in names], axis=1)
+    return total
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
@@ -197,8 +266,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality") -> tuple[np.ndarray, Network] | None:
-    """Word vectors and network from at most ``SAMPLE`` labelled documents for
-    which ``learn`` (over ``id``) holds; None without any."""
+    """Word vectors from all texts, network from at most ``SAMPLE`` labelled
+    documents for which ``learn`` (over ``id``) holds; None without any."""
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
               .where(F.col("id").isNotNull() & F.col("label").isNotNull() & learn)
               .groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label")))
@@ -210,16 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                  .groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
                  .repartition(8))
 
-    def sums(batches):
-        total = np.zeros((BUCKETS, DIMS), np.int64)
-        for batch in batches:
-            total += context_sums(batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_pydict({"sums": [total.astype(np.int32).tobytes()]})
-
-    total = np.zeros((BUCKETS, DIMS), np.int64)
-    for row in map_arrow(sample.select("text"), sums, "sums binary").collect():  # 8 rows of 1 MB
-        total += np.frombuffer(row["sums"], np.int32).reshape(BUCKETS, DIMS)
-    vectors = word_vectors(total)
+    vectors = word_vectors(corpus_contexts(docs, text_col))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def rows(batch: pa.RecordBatch):

@@ -133,3 +133,25 @@ def test_language_without_labels_and_empty(spark):
     assert langid.identify(rows.limit(0)).count() == 0
     one = spark.createDataFrame([(i, "abc def", "xx") for i in range(9)] + [(9, "..", "xx")], rows.schema)
     assert {(r["doc_id"] == 9, r["lang_pred"]) for r in langid.identify(one).collect()} == {(False, "xx"), (True, "und")}
+
+
+def test_contexts_cover_all_documents(spark, monkeypatch):
+    texts = ["one two three two one", None, "", "alone", "four five, four five! six", "seven eight " * 60]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = quality.context_sums(texts)
+    assert np.array_equal(quality.corpus_contexts(docs.repartition(3), "text"), whole)
+    assert not quality.corpus_contexts(docs.limit(0), "text").any()
+    monkeypatch.setattr(quality.Contexts, "HELD", 5)
+    assert np.array_equal(quality.context_sums(texts), whole)
+    plain, index = np.zeros_like(whole), quality.index_vectors()
+    for text in texts:
+        b = [quality.bucket(w) for w in quality.WORDS.findall(text or "")]
+        for i, word in enumerate(b):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(b):
+                    plain[word] += index[b[j]]
+    assert np.array_equal(plain, whole)
+    # one labelled document; the words of the others have vectors all the same
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    vectors, _ = quality.fit(docs, labels, quality.F.lit(True))
+    assert np.array_equal(vectors, quality.word_vectors(whole))
