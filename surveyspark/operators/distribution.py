@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_index, bin_label, bin_lower, bin_upper
-from .profiling import value_counts
+from .frequent import most_frequent
 from .quantiles import exact_quantiles
 
 
@@ -197,7 +197,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def top_values(df: DataFrame, column: str, k: int = 25, dropna: bool = False) -> DataFrame:
     """The ``k`` most frequent values with counts; ties broken by value."""
-    return value_counts(df, column, dropna=dropna).limit(k)
+    return most_frequent(df, column, k, dropna=dropna)
 
 
 def rows_with_top_values(df: DataFrame, column: str, k: int = 25) -> DataFrame:
