@@ -37,7 +37,7 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), repeated_rows=True)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

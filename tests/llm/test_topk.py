@@ -60,3 +60,23 @@ def test_few_rows_and_none(spark):
     assert run(spark, [(1, [1.0]), (2, [1.0])]) == []
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 256 * 512)]
+
+
+def test_repeated_rows_are_rows(spark, monkeypatch):
+    """Every row but the query's own is a candidate, equal ones included."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-4, 5, 3)]) for i in range(90)]
+    rows += [rows[50]] * 3 + [rows[0]] + [rows[7]] * 40 + [(50, rows[7][1]), (50, [9.0, 9.0, 9.0])]
+    want = []
+    for at, (qi, q) in enumerate(rows):
+        if qi % 50 == 0:
+            scored = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(q, v)), i)
+                            for other, (i, v) in enumerate(rows) if other != at)[:5]
+            want += [(qi, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert run(spark, rows, repeated_rows=True) == sorted(want)
+    assert run(spark, rows) == plain(rows)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "CELL_BLOCKS", 1)
+    assert run(spark, rows, repeated_rows=True) == sorted(want)
+    assert run(spark, [(0, [1.0])] * 2, repeated_rows=True) == [(0, 1, 0, 256 * 256)] * 2
