@@ -7,9 +7,11 @@ documents and no two values of a format share one:
 
 * card numbers: all digits but the last are permuted, the last is a new Luhn
   digit; separators stay;
-* IBANs: country and letters stay, digits are permuted, check digits are new;
+* IBANs, compact or printed in fours: country, letters and spaces stay, digits are
+  permuted, check digits are new; both spellings of a number stay linked;
 * IPv4 addresses: a permutation of the 32-bit values;
-* phone numbers: country code and punctuation stay, the other digits permute;
+* phone numbers: country code (by the numbering plan's prefixes) and punctuation
+  stay, the other digits permute, so spaced and compact spellings stay linked;
 * social security numbers: a permutation of the valid numbers;
 * dates (yyyy-MM-dd, dd/MM/yyyy or else MM/dd/yyyy, dd.MM.yyyy): a permutation
   of the 146,097 days of the years 1800 to 2199.
@@ -42,12 +44,18 @@ ROUNDS = 8
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 HEX = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"
 KEY_PREFIX = r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|sk-[0-9A-Za-z]{20,}+)(?![0-9A-Za-z])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])"
+IBAN = (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)"
+        r"(?![0-9A-Za-z])")
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 CARD = (r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?<sep>[ -])[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{4}"
         r"|[0-9]{4}(?<gap>[ -])[0-9]{6}\k<gap>[0-9]{5})(?![0-9A-Za-z])")
 PHONE = (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
-         r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([-.])[0-9]{3}[-.][0-9]{4}(?![0-9])")
+         r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([-.])[0-9]{3}[-.][0-9]{4}(?![0-9])"
+         # abroad: pairs, 3-4 or 4-4, one long number; and ten digits in pairs after a 0
+         r"|(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]\)?(?:[ .-][0-9]{2}){4}|[ .-]?\(?[0-9]{1,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}"
+         r"|[ .-]\(?[0-9]{2,5}\)?[ .-]?[0-9]{4,9}|[0-9]{7,12})(?![0-9])"
+         r"|(?<![0-9.])0[1-9]([ .-])[0-9]{2}(?:[ .-][0-9]{2}){3}(?![0-9]|\.[0-9])")
+COUNTRY_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})[ .(-]*"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = (r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
         r"|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])")
@@ -143,17 +151,22 @@ def mod97(x: Column) -> Column:
 
 
 def iban(m: Column, key: str) -> Column:
-    country, own = F.substring(m, 1, 2), F.substr(m, _lit(5), F.length(m) - 4)
+    def compact(c: Column) -> Column:
+        country, own = F.substring(c, 1, 2), F.substr(c, _lit(5), F.length(c) - 4)
 
-    def of(d: Column) -> Column:
-        head, tail = F.substring(d, 1, 15), F.substring(d, 16, 15)
-        new = F.concat(F.when(d == "", _lit("")).otherwise(permute_digits(head, key, "iban")),
-                       F.when(tail == "", _lit("")).otherwise(permute_digits(tail, key, "iban tail")))
-        filled = _let(new, lambda x: refill(own, x))
-        return _let(filled, lambda x: F.concat(country, F.lpad((98 - mod97(F.concat(x, country, _lit("00")))).cast("string"), 2, "0"), x))
+        def of(d: Column) -> Column:
+            head, tail = F.substring(d, 1, 15), F.substring(d, 16, 15)
+            new = F.concat(F.when(d == "", _lit("")).otherwise(permute_digits(head, key, "iban")),
+                           F.when(tail == "", _lit("")).otherwise(permute_digits(tail, key, "iban tail")))
+            filled = _let(new, lambda x: refill(own, x))
+            return _let(filled, lambda x: F.concat(
+                country, F.lpad((98 - mod97(F.concat(x, country, _lit("00")))).cast("string"), 2, "0"), x))
+
+        valid = mod97(F.concat(own, F.substring(c, 1, 4))) == 1
+        spelt = _let(_let(only_digits(own), of), lambda x: F.when(m == c, x).otherwise(F.regexp_replace(x, "(.{4})(?=.)", "$1 ")))
+        return F.when(valid, spelt).otherwise(m)
 
-    valid = mod97(F.concat(own, F.substring(m, 1, 4))) == 1
-    return F.when(valid, _let(only_digits(own), of)).otherwise(m)
+    return _let(F.replace(m, _lit(" "), _lit("")), compact)
 
 
 def ip(m: Column, key: str) -> Column:
@@ -170,7 +183,7 @@ def ip(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^\+[0-9]{1,3}[ .(-]+", 0)
+    head = F.regexp_extract(m, COUNTRY_CODE, 0)
 
     def of(h: Column) -> Column:
         rest = F.substr(m, F.length(h) + 1, F.length(m))

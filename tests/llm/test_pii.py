@@ -161,3 +161,37 @@ def test_long_runs_neither_overflow_nor_stall(spark):
     assert time.time() - began < 60
     assert got[0]["text"].endswith("@pseudonym.invalid") and got[0]["n_replaced"] == 1
     assert [r["text"] == t for r, t in zip(got, texts)][1] and got[4]["text"] == texts[4]
+
+
+def test_phones_of_other_countries(spark):
+    old = ["call +44 20 7946 0958 now", "+49 30 12345678", "+33 1 23 45 67 89", "06 12 34 56 78", "+442079460958", "+15551234567",
+           "+1 555 123 4567", "+353 1 234 5678", "+1 555 123 4567 2024", "01.02.2003", "1.06.12.34.56.78", "+12", "+33-1.23.45.67.89",
+           "+442079460958, or +44 (20) 7946-0958"]
+    new = replaced(spark, old)
+    digits = [re.sub("[^0-9]", "", x) for x in new]
+    for i in (0, 1, 2, 3, 4, 5, 6, 7, 12):
+        assert new[i] != old[i] and re.sub("[0-9]", "9", new[i]) == re.sub("[0-9]", "9", old[i])
+    assert [new[i][at:at + 3] for i, at in ((0, 5), (1, 0), (2, 0), (4, 0))] == ["+44", "+49", "+33", "+44"]
+    assert new[5][:2] == new[6][:2] == "+1" and new[7][:4] == "+353"
+    assert digits[0] == digits[4] and digits[5] == digits[6] and digits[2] == digits[12]  # linked
+    assert digits[5][1:] == plain_digits("5551234567", "phone")
+    assert new[8] == new[6] + " 2024" and new[10:12] == old[10:12]
+    assert digits[13] == digits[4] * 2
+
+
+def test_printed_ibans(spark):
+    printed, compact = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    (a, b, bad, within, letters) = replaced(spark, [printed, compact, printed.replace("89", "88"), f"to {printed}.",
+                                                    "GB29 NWBK 6016 1331 9268 19"])
+    assert a.replace(" ", "") == b != compact and [len(g) for g in a.split(" ")] == [4, 4, 4, 4, 4, 2]
+    assert bad == printed.replace("89", "88") and within == f"to {a}."
+    assert letters[5:9] == "NWBK" and letters != "GB29 NWBK 6016 1331 9268 19"
+    number = letters.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
+def test_long_runs_of_new_formats_do_not_stall(spark):
+    texts = ["+33 1 " * 60_000, "06 " * 100_000, "DE89 3704 " * 40_000, "+1234567" * 40_000, "ABCD " * 60_000]
+    began = time.time()
+    replaced(spark, texts)
+    assert time.time() - began < 40
