@@ -109,8 +109,15 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     share = min(PER_LANGUAGE, SAMPLE / len(counts))
     rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))))
     draw = F.xxhash64(F.lit("sample"), "id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    sample = cut(rows.where(draw < rate[F.col("lang")]).select("id", "lang", "text", draw.alias("draw"))
-                 .orderBy(F.col("draw") / rate[F.col("lang")], "id", "text").limit(SAMPLE))
+    drawn = rows.where(draw < rate[F.col("lang")]).withColumn("text_hash", F.xxhash64("text"))
+    # keys alone are sorted; a row that repeats as a whole counts once
+    keys = (drawn.select("id", "lang", "text_hash").distinct()
+            .orderBy(draw / rate[F.col("lang")], "id", "lang", "text_hash").limit(SAMPLE)
+            .select(F.col("id").alias("k_id"), F.col("lang").alias("k_lang"), F.col("text_hash").alias("k_hash")))
+    picked = drawn.join(F.broadcast(keys), F.col("id").eqNullSafe(F.col("k_id"))  # at most SAMPLE keys
+                        & (F.col("lang") == F.col("k_lang")) & (F.col("text_hash") == F.col("k_hash")), "left_semi")
+    sample = cut(picked.dropDuplicates(["id", "lang", "text_hash"])
+                 .select("id", "lang", "text", draw.alias("draw")))
 
     def run(batch: pa.RecordBatch):
         found = [bins(t) for t in batch.column(2).to_pylist()]
