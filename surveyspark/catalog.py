@@ -25,8 +25,9 @@ from .operators import forest as ft
 from .operators import least_squares as lsq
 from .operators import moments, monthly, preview, profiling, sampling
 from .operators import split as sp
-from .sources import (CLEAN_COLUMNS, LABEL, MODEL_FEATURES, SURVEY_KEY, read_table, source_version,
-                      survey_table)
+from .plans import drop_folder, new_folder
+from .sources import (CLEAN_COLUMNS, LABEL, MODEL_FEATURES, SURVEY_KEY, CsvScan, read_table, scan_csv,
+                      source_version, survey_table)
 
 PLACES = 6
 
@@ -100,6 +101,59 @@ def q_monthly_mean_grouping_sets(spark, sf_dir):
     return rounded(out.withColumn("level", F.col("level").cast("int")))
 
 
+# -- delimited files -------------------------------------------------------
+
+# Share of a column's values that must fit its type (planted faults are 2 % a column).
+CSV_MIN_SHARE = 0.9
+
+
+def faulty_csv_scan(spark, sf_dir) -> CsvScan:
+    """The survey as delimited files and back. By order, some lines lose their last
+    field, some get one more, some have text for ``bmi`` or ``age``."""
+    src = survey_table(spark, sf_dir)
+    fault = F.col("l_orderkey") % 50
+
+    def field(name: str) -> Column:
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        if name == "bmi":
+            return F.when(fault == 21, F.lit("unknown")).otherwise(text)
+        return F.when(fault == 33, F.concat(text, F.lit("x"))).otherwise(text) if name == "age" else text
+
+    fields = [field(name) for name in src.columns]
+    line = (F.when(fault == 7, F.concat_ws(",", *fields[:-1]))
+             .when(fault == 13, F.concat_ws(",", *fields, F.lit("9"))).otherwise(F.concat_ws(",", *fields)))
+    folder = new_folder(spark)
+    # one column of whole lines: a separator that no line holds leaves them unquoted
+    src.select(line.alias(",".join(src.columns))).write.option("header", True).option("sep", "\x01").csv(folder)
+    scan = scan_csv(spark, folder, min_share=CSV_MIN_SHARE)
+    drop_folder(spark, folder)
+    return scan
+
+
+def q_csv_profile(spark, sf_dir):
+    """Per column of the scanned files: type, non-null values, range; and how many
+    lines were kept and quarantined, by reason."""
+    scan = faulty_csv_scan(spark, sf_dir)
+    names = scan.kept.columns
+    row = scan.kept.agg(F.count(F.lit(1)).alias("rows_kept"), F.array(*[F.struct(
+        F.lit(name).alias("column"), F.lit(scan.types[name]).alias("type"), F.count(name).alias("non_null"),
+        F.min(name).cast("double").alias("lowest"), F.max(name).cast("double").alias("highest"))
+        for name in names]).alias("columns"))
+    quarantined = scan.quarantine.agg(*[F.count_if(F.col("reason") == reason).alias(f"quarantined_{reason}")
+                                        for reason in ("fields", "values")])
+    return rounded(row.crossJoin(quarantined)   # one row each
+                      .select("rows_kept", "quarantined_fields", "quarantined_values", F.inline("columns")))
+
+
+def q_csv_quarantine(spark, sf_dir):
+    """Quarantined lines by reason and failing columns; the raw lines still hold
+    their second field, the order."""
+    lines = faulty_csv_scan(spark, sf_dir).quarantine
+    order = F.split("line", ",")[1].cast("bigint")
+    return (lines.groupBy("reason", F.concat_ws(",", "columns").alias("columns"))
+                 .agg(F.count(F.lit(1)).alias("lines"), F.sum(order).alias("sum_orderkey")))
+
+
 # -- preview / profiling ---------------------------------------------------
 
 def q_preview_head(spark, sf_dir):
@@ -624,6 +678,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_mean_by_year": q_monthly_mean_by_year,
     "monthly_mean_all_years": q_monthly_mean_all_years,
     "monthly_mean_grouping_sets": q_monthly_mean_grouping_sets,
+    "csv_profile": q_csv_profile,
+    "csv_quarantine": q_csv_quarantine,
     "preview_head": q_preview_head,
     "preview_tail": q_preview_tail,
     "column_profile": q_column_profile,

@@ -58,6 +58,20 @@ def _describe_sql() -> str:
     return with_survey("\nunion all\n".join(parts))
 
 
+def _csv_sql() -> str:
+    """Lines of orders 7 and 13 of every 50 have a wrong number of fields, those of
+    21 and 33 a value of a wrong type; a file has 64-bit whole numbers only."""
+    parts = [
+        f"select '{n}' as \"column\", '{'double' if t == 'double' else 'bigint'}' as type, "
+        f"count({n}) as non_null, round(cast(min({n}) as double), 6) as lowest, "
+        f"round(cast(max({n}) as double), 6) as highest, count(*) as rows_kept from kept"
+        for n, t in SURVEY_TYPES]
+    return with_survey(", kept as (select * from survey where l_orderkey % 50 not in (7, 13, 21, 33)),\n"
+                       "bad as (select count(*) filter (where l_orderkey % 50 in (7, 13)) as quarantined_fields,\n"
+                       "  count(*) filter (where l_orderkey % 50 in (21, 33)) as quarantined_values from survey)\n"
+                       "select c.*, bad.* from (" + "\nunion all\n".join(parts) + ") c, bad")
+
+
 def _profile_sql() -> str:
     parts = [
         f"select {i} as position, '{n}' as column_name, '{t}' as data_type, "
@@ -371,6 +385,12 @@ ORACLE: dict[str, str] = {
         "count(*) as rows, round(avg(exfreq), 6) as mean_exfreq "
         "from calendar where month is not null "
         "group by grouping sets ((year, month), (month))"),
+    "csv_profile": _csv_sql(),
+    "csv_quarantine": with_survey(
+        "select case when l_orderkey % 50 in (7, 13) then 'fields' else 'values' end as reason, "
+        "case l_orderkey % 50 when 21 then 'bmi' when 33 then 'age' else '' end as columns, "
+        "count(*) as lines, cast(sum(l_orderkey) as bigint) as sum_orderkey "
+        "from survey where l_orderkey % 50 in (7, 13, 21, 33) group by 1, 2"),
     "preview_head": with_survey(
         f"select {ROUNDED_SURVEY_COLS} from survey "
         "order by case_id, l_orderkey, activity_n, l_partkey, l_suppkey limit 5"),

@@ -23,6 +23,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:
@@ -56,13 +57,25 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` evaluated once into Parquet on the shared folder and read back."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A name on the shared folder that ``drop_folder`` or the end removes."""
     folder = f"{shared_folder(spark)}/surveyspark-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(drop_written)
     _written.add((spark.sparkContext.applicationId, folder))
+    return folder
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete what was written under a name of ``new_folder``."""
+    _delete(spark, folder)
+    _written.discard((spark.sparkContext.applicationId, folder))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once into Parquet on the shared folder and read back."""
+    spark = df.sparkSession
+    folder = new_folder(spark)
     df.write.parquet(folder)
     return spark.read.parquet(folder)
 
@@ -85,16 +98,13 @@ def drop_written(df: DataFrame | None = None) -> None:
 
 
 def data_version(spark: SparkSession, paths: list[str]) -> str:
-    """Length and modification time of all files under ``paths``, as text."""
-    found = []
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        files = fs.listFiles(path, True)
-        while files.hasNext():
-            f = files.next()
-            found.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
-    return repr(sorted(found))
+    """Number, and sums over hashes of path, length and modification time, of all
+    files under ``paths``. The files are listed by Spark as a table and not opened;
+    one row reaches the driver's Python."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+             .select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h")))
+    found = files.agg(F.count("h").alias("n"), F.sum("h").alias("h"), F.sum(F.col("h") % 999_999_937).alias("r")).first()
+    return repr(tuple(found))
 
 
 def ship(spark: SparkSession) -> None:
