@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..plans import written
@@ -63,55 +63,68 @@ def with_exact_split(df: DataFrame, test_fraction: float, order_col: str,
     """Mark the first ``ceil(test_fraction * n)`` rows in ``(order_col,
     *tiebreak)`` order as 'test', the rest 'train'.
 
-    The columns must be integers; nulls sort first. The rows are written once
-    with two more order columns, a hash of the whole row and a row number, so
-    the order is total and ties at the cutoff give exactly the rows still
-    needed (which of several equal rows is immaterial).
+    The columns must be integers; nulls sort first. ``df`` is read once a pass, so
+    it must give the same rows each time (files, or deterministic expressions).
 
-    No sort and no ranking: for each order column in turn, rows that agree with
-    the cutoff so far are counted per bucket of the column's range (at most
-    ``buckets`` counts; a running sum over them finds the bucket with the
+    No sort, no ranking and no copy: for each order column in turn, rows that
+    agree with the cutoff so far are counted per bucket of the column's range (at
+    most ``buckets`` counts; a running sum over them finds the bucket with the
     boundary), and that bucket is counted again until it is one value or the
-    boundary coincides with its end. Each pass returns one row to the driver;
-    60 bits take at most four passes of 65,536 buckets.
+    boundary coincides with its end. A pass reads the order columns that are in
+    use and returns one row to the driver; 60 bits take at most four passes of
+    65,536 buckets. Ties that the last column leaves are cut by a hash of the whole
+    row, and only rows that are equal as a whole and hold the cutoff are written,
+    with row numbers, so that exactly the rows still needed are taken.
     """
-    row_hash, row_no = "_split_row_hash", "_split_row_no"
-    data = written(df.withColumn(row_hash, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-                     .withColumn(row_no, F.monotonically_increasing_id()))
-    names = [order_col, *tiebreak, row_hash, row_no]
-    n = data.count()
-    need = math.ceil(float(test_fraction) * n)       # double arithmetic, as splitters do
-    if need <= 0 or need >= n:
-        return data.drop(row_hash, row_no).withColumn(out, F.lit("test" if need > 0 else "train"))
-    is_test, tied = F.lit(False), F.lit(True)        # rows before the cutoff; rows that agree with it so far
-    for name in names:
-        x = F.col(f"`{name}`").cast("bigint")
-        missing = data.where(tied & x.isNull()).count()
-        if need <= missing:
-            tied = tied & x.isNull()                 # the boundary lies among the missing values
-            if need == missing:
-                return _marked(data, is_test | tied, [row_hash, row_no], out)
-            continue
-        is_test, need = is_test | (tied & x.isNull()), need - missing
-        lo, hi = data.where(tied).agg(F.min(x), F.max(x)).first()
-        while True:
-            step = -(-(hi - lo + 1) // buckets)
-            inside = tied & (x >= F.lit(lo)) & (x <= F.lit(hi))
-            bucket = F.expr(f"cast((cast(`{name}` as decimal(20,0)) - {lo}) div {step} as bigint)")
-            counts = data.where(inside).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-            running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            hit = (counts.withColumn("_cum", F.sum("_c").over(running))   # at most `buckets` rows
-                         .where(F.col("_cum") >= F.lit(need)).orderBy("_b").first())
-            need -= hit["_cum"] - hit["_c"]
-            lo, hi = lo + hit["_b"] * step, min(hi, lo + (hit["_b"] + 1) * step - 1)
-            if need == hit["_c"]:                    # the whole bucket is test
-                return _marked(data, is_test | (tied & (x <= F.lit(hi))), [row_hash, row_no], out)
-            if lo == hi:
-                break
-        is_test, tied = is_test | (tied & (x < F.lit(lo))), tied & (x == F.lit(lo))
-    raise AssertionError("row numbers are unique, so the loop ends at a boundary")
-
-
-def _marked(data: DataFrame, is_test: Column, drop: list[str], out: str) -> DataFrame:
-    side = F.when(F.coalesce(is_test, F.lit(False)), F.lit("test")).otherwise(F.lit("train"))
-    return data.withColumn(out, side).drop(*drop)
+    need, before, tied = None, F.lit(False), F.lit(True)   # rows before the cutoff; rows that agree with it
+    columns = [F.col(f"`{c}`").cast("bigint") for c in (order_col, *tiebreak)]
+    for x in [*columns, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]:
+        rows = df.where(tied).select(x.alias("_x"))
+        found = _extent(rows)
+        if need is None:
+            n = found["n"]
+            need = math.ceil(float(test_fraction) * n)     # double arithmetic, as splitters do
+            if need <= 0 or need >= n:
+                return df.withColumn(out, F.lit("test" if need > 0 else "train"))
+        less, at, need = _cutoff(rows, found, x, need, buckets)
+        before, tied = before | (tied & less), tied & at
+        if not need:
+            return df.withColumn(out, _side(before))
+    number = "_split_row_no"
+    equal = written(df.where(tied).withColumn(number, F.monotonically_increasing_id()))
+    rows = equal.select(F.col(number).alias("_x"))
+    less, _, _ = _cutoff(rows, _extent(rows), F.col(number), need, buckets)
+    return (df.where(~tied).withColumn(out, _side(before))
+              .unionByName(equal.withColumn(out, _side(less)).drop(number)))
+
+
+def _extent(rows: DataFrame) -> Row:
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_x").isNull()).alias("missing"),
+                    F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+
+
+def _cutoff(rows: DataFrame, found: Row, x: Column, need: int, buckets: int) -> tuple[Column, Column, int]:
+    """The first ``need`` (fewer than all) of ``rows`` in the order of ``_x``, nulls
+    first, as (before, at, rest): all rows ``before`` and ``rest`` of the rows ``at``
+    one value; ``rest`` is 0 where the cutoff lies between two values. The
+    conditions are over ``x``, which ``_x`` was made of."""
+    if need <= found["missing"]:
+        return (x.isNull(), F.lit(False), 0) if need == found["missing"] else (F.lit(False), x.isNull(), need)
+    need, lo, hi = need - found["missing"], found["lo"], found["hi"]
+    while lo < hi:
+        step = -(-(hi - lo + 1) // buckets)
+        bucket = F.expr(f"cast((cast(_x as decimal(20,0)) - {lo}) div {step} as bigint)")
+        counts = (rows.where(F.col("_x").between(lo, hi))
+                      .groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c")))
+        running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hit = (counts.withColumn("_cum", F.sum("_c").over(running))   # at most `buckets` rows
+                     .where(F.col("_cum") >= F.lit(need)).orderBy("_b").first())
+        need -= hit["_cum"] - hit["_c"]
+        lo, hi = lo + hit["_b"] * step, min(hi, lo + (hit["_b"] + 1) * step - 1)
+        if need == hit["_c"]:                              # the cutoff is the bucket's end
+            return x.isNull() | (x <= F.lit(hi)), F.lit(False), 0
+    return x.isNull() | (x < F.lit(lo)), x.eqNullSafe(F.lit(lo)), need
+
+
+def _side(before: Column) -> Column:
+    return F.when(before, F.lit("test")).otherwise(F.lit("train"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveyspark.operators import split as sp
+from surveyspark.plans import plan_text
 
 
 @pytest.fixture()
@@ -63,6 +64,28 @@ def test_exact_split_with_equal_hashes_extremes_and_nulls(spark):
         assert got == sorted(rows, key=key)[:m]
 
 
+def test_exact_split_writes_nothing_but_equal_rows(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(sp, "written", lambda df: kept.append(df.collect()) or df)
+    df = spark.range(3000).selectExpr("id k", "id * 7919 % 100 o", "repeat('x', 100) payload")
+    sp.with_exact_split(df, 0.3, "o", ["k"], buckets=16).count()
+    sp.with_exact_split(df, 0.305, "o", [], buckets=16).count()      # the row hash decides
+    assert not kept
+    twice = df.union(df.where("o = 50"))                             # 3,030 rows, 30 of them twice
+    out = sp.with_exact_split(twice, 1500.5 / 3030, "o", ["k"], buckets=16)
+    assert [len(rows) for rows in kept] == [2] and out.count() == 3030
+    assert out.where("split = 'test'").count() == 1501
+
+
+def test_exact_split_passes_read_the_order_columns_only(spark, scratch, monkeypatch):
+    spark.range(2000).selectExpr("id k", "id % 10 o", "repeat('x', 100) payload").write.parquet(f"{scratch}/t")
+    plans, extent = [], sp._extent
+    monkeypatch.setattr(sp, "_extent", lambda rows: plans.append(plan_text(rows)) or extent(rows))
+    out = sp.with_exact_split(spark.read.parquet(f"{scratch}/t"), 0.305, "o", ["k"], buckets=64)
+    assert len(plans) == 2 and not any("payload" in p for p in plans)
+    assert out.where("split = 'test'").count() == 610
+
+
 def test_split_sides_and_folds_are_independent_of_the_label_noise(spark):
     """Within each activity the label's noise term does not differ by side."""
     from surveyspark import catalog as C
