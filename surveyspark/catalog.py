@@ -478,14 +478,19 @@ def q_residual_sample(spark, sf_dir):
 
 
 def ols_cv(spark, sf_dir) -> tuning.CVResult:
-    """3-fold CV of one-feature least squares over ``fitIntercept``."""
+    """3-fold CV of one-feature least squares over ``fitIntercept``, from one
+    per-fold aggregation; the chosen point is refitted on all training rows."""
     def build():
         train, _ = train_test(spark, sf_dir)
         folded = sp.with_folds(train, portable_hash("fold"), 3)
         lr = LinearRegression(labelCol=LABEL, featuresCol=models.FEATURES, regParam=0.0)
         grid = ParamGridBuilder().addGrid(lr.fitIntercept, [True, False]).build()
-        return tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3,
-                                     feature_stages=Pipeline(stages=[models.assembler(ONE)]))
+
+        def refit(point):
+            return Pipeline(stages=[models.assembler(ONE), lr.copy({lr.fitIntercept: point[2]})]).fit(train)
+        return linear_gram.gram_cross_validate(
+            folded, ONE, LABEL, "fold", 3, [(0.0, 0.0, pm[lr.fitIntercept]) for pm in grid],
+            [tuning.param_label(pm) for pm in grid], refit=refit)
     return _memoized(spark, sf_dir, "ols_cv", build)
 
 

@@ -15,7 +15,7 @@ or more scans per fit. The per-fold matrices are ``(p+1) x (p+1)``; solving
 on the driver is O(p^2) per coordinate sweep and independent of row count.
 
 Objective (the one Spark ML's ``LinearRegression`` minimises with
-``standardization=True`` and an intercept), with ``z`` the standardised
+``standardization=True``; here with an intercept), with ``z`` the standardised
 features, ``w'`` the standardised coefficients, ``sigma_y`` the label's
 standard deviation::
 
@@ -82,21 +82,32 @@ def _moments(n: float, s: np.ndarray, c: np.ndarray):
     return mean, cov
 
 
+def _about(origin: np.ndarray, n: float, s: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Mean products of the columns as they were before ``origin`` was subtracted."""
+    cross = np.outer(s / n, origin)
+    return c / n + cross + cross.T + np.outer(origin, origin)
+
+
 def solve_elastic_net(n: float, s: np.ndarray, c: np.ndarray, reg: float, mix: float,
-                      tol: float = 1e-12, max_sweeps: int = 100_000):
+                      tol: float = 1e-12, max_sweeps: int = 100_000,
+                      origin: np.ndarray | None = None):
     """Coefficients ``(intercept, w)`` in the shifted units of ``s``/``c``.
 
     Features and label are standardised with population moments (as the
     normal-equation solver does); the intercept is recovered from the means.
+    ``origin``, the shift of the statistics, asks for a fit without an intercept:
+    products are taken about zero in place of the means, scales stay the same, and
+    the returned intercept only carries the shift. A constant feature gets 0.
     """
     p = len(s) - 1
     mean, cov = _moments(n, s, c)
     sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
     sd_y = sd[p]
+    products = cov if origin is None else _about(origin, n, s, c)
     active = sd[:p] > 0
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = cov[:p, :p] / np.outer(sd[:p], sd[:p])
-        q = cov[:p, p] / sd[:p]
+        g = products[:p, :p] / np.outer(sd[:p], sd[:p])
+        q = products[:p, p] / sd[:p]
     g[~active, :] = 0.0
     g[:, ~active] = 0.0
     q[~active] = 0.0
@@ -122,7 +133,7 @@ def solve_elastic_net(n: float, s: np.ndarray, c: np.ndarray, reg: float, mix: f
         else:
             raise ArithmeticError(f"no convergence in {max_sweeps} sweeps (reg={reg}, mix={mix})")
     coef = np.where(active, w / np.where(sd[:p] > 0, sd[:p], 1.0), 0.0)
-    intercept = mean[p] - coef @ mean[:p]
+    intercept = mean[p] - coef @ mean[:p] if origin is None else coef @ origin[:p] - origin[p]
     return intercept, coef
 
 
@@ -134,17 +145,18 @@ def sse(n: float, s: np.ndarray, c: np.ndarray, intercept: float, coef: np.ndarr
 
 
 def gram_cross_validate(df: DataFrame, features: Sequence[str], label: str, fold_col: str,
-                        num_folds: int, grid: Sequence[tuple[float, float]],
+                        num_folds: int, grid: Sequence[tuple],
                         labels: Sequence[str], refit=None) -> CVResult:
-    """RMSE cross-validation of ``(regParam, elasticNetParam)`` points.
+    """RMSE cross-validation of ``(regParam, elasticNetParam)`` points, or of
+    ``(regParam, elasticNetParam, fitIntercept)``.
 
     ``labels`` name the grid points in the fit log. ``refit`` (optional)
-    is called with the best ``(regParam, elasticNetParam)`` and returns the
+    is called with the best point of ``grid`` and returns the
     final model fitted on all rows (e.g. a Spark ML pipeline).
     """
     spark = df.sparkSession
     data = df.select(*features, label, fold_col)
-    _, per_fold = fold_statistics(data, features, label, fold_col)
+    shift, per_fold = fold_statistics(data, features, label, fold_col)
     absent = [f for f in range(num_folds) if f not in per_fold]
     if absent or len(per_fold) < 2:
         raise ValueError(f"folds without rows: {absent}")
@@ -156,10 +168,11 @@ def gram_cross_validate(df: DataFrame, features: Sequence[str], label: str, fold
     for f in range(num_folds):
         vn, vs, vc = per_fold[f]
         tn, ts, tc = total_n - vn, total_s - vs, total_c - vc
-        for j, (reg, mix) in enumerate(grid):
-            key = (f, reg, 0.0 if reg == 0 else mix)
+        for j, (reg, mix, *rest) in enumerate(grid):
+            intercept = not rest or bool(rest[0])
+            key = (f, reg, 0.0 if reg == 0 else mix, intercept)
             if key not in solved:
-                b0, w = solve_elastic_net(tn, ts, tc, reg, mix)
+                b0, w = solve_elastic_net(tn, ts, tc, reg, mix, origin=None if intercept else shift)
                 solved[key] = (b0, w)
             b0, w = solved[key]
             rmse = float(np.sqrt(max(sse(vn, vs, vc, b0, w), 0.0) / vn))

@@ -37,6 +37,37 @@ def test_gram_solver_matches_spark_ml(spark, train):
         assert abs(lr.intercept - b0) < 100 * tol
 
 
+def test_gram_solver_without_intercept_matches_spark_ml(spark, train):
+    shift, stats = linear_gram.fold_statistics(train.withColumn("fold", F.lit(0)), MODEL_FEATURES, LABEL, "fold")
+    va = models.assembler(MODEL_FEATURES).transform(train)
+    data = np.array(train.select(*MODEL_FEATURES, LABEL).collect(), float)
+    sd = data.std(axis=0)
+    for reg, mix, tol in [(0.0, 0.0, 1e-8), (0.05, 0.0, 1e-8), (0.02, 0.4, 1e-5)]:
+        lr = LinearRegression(labelCol=LABEL, featuresCol="features", regParam=reg, fitIntercept=False,
+                              elasticNetParam=mix, maxIter=1000, tol=1e-13).fit(va)
+        b0, w = linear_gram.solve_elastic_net(*stats[0], reg, mix, origin=shift)
+        # the library stops its L1 iterations at about 1e-6; the slopes of the objective are exact
+        assert np.max(np.abs(lr.coefficients.toArray() - w)) < tol
+        assert abs(b0 + shift[-1] - w @ shift[:-1]) < 1e-9 and lr.intercept == 0
+        slope = (data[:, :-1] / sd[:-1]).T @ (data[:, -1] - data[:, :-1] @ w) / len(data)
+        slope -= reg * (1 - mix) / sd[-1] * w * sd[:-1]
+        assert np.all(w != 0) and np.max(np.abs(slope - reg * mix * np.sign(w))) < 1e-9
+
+
+def test_gram_cv_over_fit_intercept_agrees_with_spark_ml_cv(spark, train):
+    folded = sp.with_folds(train, C.portable_hash("fold"), 3)
+    lr = LinearRegression(labelCol=LABEL, featuresCol=models.FEATURES, regParam=0.0)
+    grid = ParamGridBuilder().addGrid(lr.fitIntercept, [True, False]).build()
+    ml = tuning.cross_validate(folded, lr, grid, LABEL, "fold", 3, refit=False,
+                               feature_stages=models.feature_stages(["prim_min", "age"], scale=False))
+    gram = linear_gram.gram_cross_validate(folded, ["prim_min", "age"], LABEL, "fold", 3,
+                                           [(0.0, 0.0, True), (0.0, 0.0, False)], ["a", "b"], refit=lambda p: p)
+    want = {(r.fold, r.param_id): r.metric for r in ml.fit_log.collect()}
+    got = {(r.fold, r.param_id): r.metric for r in gram.fit_log.collect()}
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert gram.best_model == (0.0, 0.0, gram.best_index == 0) and gram.best_index == ml.best_index
+
+
 def test_large_penalty_zeroes_coefficients(spark, train):
     df = train.withColumn("fold", F.lit(0))
     _, stats = linear_gram.fold_statistics(df, MODEL_FEATURES, LABEL, "fold")
