@@ -47,25 +47,25 @@ def _kind(value: Column) -> Column:
 
 
 def infer_types(strings: DataFrame, min_share: float = 1.0) -> dict[str, str]:
-    """Type per string column, from all rows in one aggregate (six counts a column
-    reach the driver): the type that fits most non-null values, the narrowest of
+    """Type per string column, from all rows in one aggregate (at most six counts a
+    column reach the driver): the type that fits most non-null values, the narrowest of
     equals, if it fits at least ``min_share`` of them; else string, as is a column
     without any value. A whole number also fits double."""
     if not 0 < min_share <= 1:
         raise ValueError("min_share must lie in (0, 1]")
-    numbered = range(len(strings.columns))
-    values = [F.col(f"`{name}`") for name in strings.columns]
-    kinds = strings.select(*[v.isNotNull().alias(f"v{i}") for i, v in enumerate(values)],
-                           *[_kind(v).alias(f"k{i}") for i, v in enumerate(values)])
-    found = kinds.agg(*[F.count_if(f"v{i}").alias(f"{i}") for i in numbered],
-                      *[F.count_if(F.col(f"k{i}") == kind).alias(f"{i}_{kind}")
-                        for i in numbered for kind in SPELLINGS]).first()
+    # one row a cell: the kind is worked out once, however many counts need it
+    cells = strings.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"`{name}`").alias("value"))
+                                              for i, name in enumerate(strings.columns)])))
+    counts = (cells.where(F.col("value").isNotNull()).groupBy("at", _kind(F.col("value")).alias("kind"))
+                   .agg(F.count(F.lit(1)).alias("n")))
+    found = {(r["at"], r["kind"]): r["n"] for r in counts.collect()}
     types = {}
     for i, name in enumerate(strings.columns):
-        fits = {kind: found[f"{i}_{kind}"] for kind in SPELLINGS}
+        fits = {kind: found.get((i, kind), 0) for kind in SPELLINGS}
+        values = sum(fits.values()) + found.get((i, None), 0)
         fits["double"] += fits["bigint"]
         best = max(fits, key=fits.get)  # the first of equals
-        types[name] = best if found[f"{i}"] and fits[best] >= min_share * found[f"{i}"] else "string"
+        types[name] = best if values and fits[best] >= min_share * values else "string"
     return types
 
 

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from surveyspark.functions import case_month, case_year
-from surveyspark.sources import read_csv, read_table, scan_csv, survey, write_csv
+from surveyspark.sources import delimited, read_csv, read_table, scan_csv, survey, write_csv
 
 from .conftest import SF_SMALL
 
@@ -83,3 +83,13 @@ def test_scan_edges(spark, scratch):
     put(f"{scratch}/differ", "b.csv", "b,a\n1,2\n")
     with pytest.raises(Exception, match="(?i)header"):
         scan_csv(spark, f"{scratch}/differ")
+
+
+def test_kinds_are_worked_out_once_a_cell(spark, monkeypatch):
+    made = []
+    kind = delimited._kind
+    monkeypatch.setattr(delimited, "_kind", lambda value: made.append(value) or kind(value))
+    rows = [("1", "1.5", None, "x", "2020-01-02")] * 9 + [("2", "7", None, "true", "no")]
+    strings = spark.createDataFrame(rows, "a string, `b c` string, n string, s string, d string")
+    assert delimited.infer_types(strings, 0.9) == {"a": "bigint", "b c": "double", "n": "string", "s": "string", "d": "date"}
+    assert len(made) == 1  # one expression for all columns and counts, not one for each
