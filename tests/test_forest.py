@@ -1,6 +1,8 @@
 """Partition-independent forests: against an exhaustive numpy tree, a repartition,
 and direct fits of every smaller setting."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from surveyspark import catalog as C
 from surveyspark.operators import forest as ft
 from surveyspark.operators import split as sp
+from surveyspark.plans import plan_text
 from surveyspark.sources import LABEL, MODEL_FEATURES, SURVEY_KEY
 
 from .conftest import SF_SMALL
@@ -129,3 +132,36 @@ def test_search_takes_a_pass_a_level(spark, folded, monkeypatch):
     found = ft.search(grid, [(n, d) for n in (1, 2, 3) for d in (1, 2, 3)])
     assert levels == [0, 1, 2] and found.fit_log.count() == 36
     assert (found.best_model.trees, found.best_model.depth) == [(n, d) for n in (1, 2, 3) for d in (1, 2, 3)][found.best_index]
+
+
+def test_weights_hash_a_key_once_a_tree(spark):
+    df = spark.createDataFrame([(i, "x|y" if i % 3 else None) for i in range(200)], "id long, s string")
+    salts = [f"7|tree {t}" for t in range(6)]
+    drawn = df.select("id", "s", ft.poisson_weights(["id", "s"], salts).alias("w"))
+    assert plan_text(drawn).count("md5(") <= 2  # in the plan's tree and its details; 8 a tree before
+    for r in drawn.collect():
+        for salt, w in zip(salts, r.w, strict=True):
+            u = int(hashlib.md5(f"{salt}|{r.id}|{r.s or ''}".encode()).hexdigest()[:15], 16)
+            assert w == sum(u >= bound for bound in ft.POISSON)
+
+
+def test_source_rows_are_read_once(spark):
+    _, _, df = numbers(spark, 100)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    ft.grow(df.withColumn("a", counted("a")), ["a", "b"], "y", ["id"], trees=2, depth=2)
+    assert read.value == 100
+    with pytest.raises(ValueError, match="missing values in y"):
+        ft.grow(df.withColumn("y", F.lit(float("nan"))), ["a", "b"], "y", ["id"])
+
+
+def test_whole_sums_are_exact(spark):
+    at = np.array([0, 1, 0, 0])
+    for big in (5, 2**53, 2**61):
+        assert ft._whole_sums(at, np.array([big, 1, 1, -3]), 2).tolist() == [big - 2, 1]
+    assert ft._whole_sums(at[:0], at[:0], 2).tolist() == [0, 0]
